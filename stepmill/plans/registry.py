@@ -1,6 +1,481 @@
-"""All queries of the core with their SQL."""
+"""All queries of the core with their SQL; each reads whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stepmill.functions import scores, text
+from stepmill.functions.html import page_nodes
+from stepmill.functions.schema import ATTRS, OPERATIONS
+from stepmill.operators import predict, records, sampling, sanity, scoring, steps, traces
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def rows_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The eval rows, one for each id, candidates in the order of ``idx``."""
+    rows = scoring.unique_rows(read(spark, folder, "eval_rows"))
+    return rows.withColumn("candidates", F.array_sort("candidates", lambda a, b: a.getField("idx") - b.getField("idx")))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """``df`` with all doubles rounded to 6 places, so that the order of sums does not show."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# SQL shared by several queries
+_ROWS = """
+    rows0 as (select *, row_number() over (partition by id order by coalesce(load_no, 0), added_at) as rn0 from eval_rows),
+    rows1 as (select * exclude (rn0) replace (list_sort(candidates, 'ASC') as candidates) from rows0 where rn0 = 1)"""
+_TOK = "list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'))"
+_EMB = """
+    z as (select vec_id, label, list_transform(embedding[1:10], lambda x: x::double) as z, list_transform(embedding[11:13], lambda x: x::double) as o from embeddings),
+    e as (select *, list_transform(z, lambda x: exp(x - list_max(z))) as ez from z),
+    p as (select *, list_transform(ez, lambda x: x / list_sum(ez)) as probs from e),
+    s as (select vec_id, label, case when vec_id % 2 = 0 then 'even' else 'odd' end as split, probs,
+          list_position(probs, list_max(probs)) - 1 as pred_idx,
+          list_sum(list_transform(probs, lambda x, i: pow(x - case when i - 1 = label then 1.0 else 0.0 end, 2))) as brier,
+          (['CLICK', 'TYPE', 'SELECT'])[list_position(o, list_max(o))] as pred_op, (['CLICK', 'TYPE', 'SELECT'])[label % 3 + 1] as gold_op from p)"""
+
+
+def _embedded(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings read as scored predictions: ten scores, three operation scores, the label as gold."""
+    emb = read(spark, folder, "embeddings")
+    part = lambda a, n: F.transform(F.slice("embedding", a, n), lambda x: x.cast("double"))
+    base = emb.select("vec_id", "label", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("split"), part(1, 10).alias("z"), part(11, 3).alias("o"))
+    soft = base.withColumn("probs", scores.softmax(F.col("z")))
+    op = scores.pick(OPERATIONS, scores.first_argmax(F.col("o")))
+    gold_op = scores.pick(OPERATIONS, F.col("label") % 3)
+    full = soft.select("vec_id", "split", F.col("label").alias("gold_idx"), scores.first_argmax(F.col("probs")).alias("pred_idx"), op.alias("pred_op"), gold_op.alias("gold_op"), scores.brier(F.col("probs"), F.col("label")).alias("brier"), F.array_max("probs").alias("top_prob"), "probs")
+    element, operation = F.col("pred_idx") == F.col("gold_idx"), F.col("pred_op") == F.col("gold_op")
+    return full.withColumns({"element_correct": element, "operation_correct": operation, "step_success": element & operation, "latency_ms": F.lit(None).cast("double")})
+
+
+@query(f"""
+    with {_EMB}
+    select case when grouping(split) = 1 then 'overall' else 'split' end as scope, split, count(*)::bigint as n,
+        round(avg((pred_idx = label)::int), 6) as element_acc, round(avg((pred_op = gold_op)::int), 6) as operation_acc,
+        round(avg((pred_idx = label and pred_op = gold_op)::int), 6) as step_success, round(avg(brier), 6) as brier, round(median(brier), 6) as brier_p50
+    from s group by grouping sets ((), (split))
+""")
+def score_metrics_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    scored = _embedded(spark, folder).withColumn("latency_ms", F.col("brier"))
+    return rounded(scoring.metrics(scored)).select("scope", "split", "n", "element_acc", "operation_acc", "step_success", "brier", F.col("latency_p50_ms").alias("brier_p50"))
+
+
+@query(f"with {_EMB} select label, count(*)::bigint as n, round(avg(brier), 6) as brier, round(avg(list_max(probs)), 6) as top_prob from s group by label")
+def brier_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    return _embedded(spark, folder).groupBy(F.col("gold_idx").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg("top_prob"), 6).alias("top_prob"))
+
+
+_PREDS = """
+    pr0 as (select *, row_number() over (partition by id order by latency_ms desc nulls last, element_probs desc) as rn0 from predictions),
+    pr as (select * from pr0 where rn0 = 1)"""
+_SCORED = f"""
+    {_ROWS}, {_PREDS},
+    j as (select r.id, r.split, r.website, r.gold_idx, r.operation as gold_op, p.latency_ms, p.usage, p.element_probs as ep,
+          [coalesce(p.operation_probs['CLICK'], 0), coalesce(p.operation_probs['TYPE'], 0), coalesce(p.operation_probs['SELECT'], 0)] as op from rows1 r join pr p on p.id = r.id),
+    s0 as (select *, (list_position(ep, list_max(ep)) - 1)::int as pred_idx, (['CLICK', 'TYPE', 'SELECT'])[list_position(op, list_max(op))] as pred_op from j),
+    sc as (select *, coalesce(pred_idx = gold_idx, false) as ec, coalesce(pred_op = gold_op, false) as oc,
+          list_sum(list_transform(ep, lambda x, i: pow(x - case when i - 1 = gold_idx then 1.0 else 0.0 end, 2))) as brier from s0)"""
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.per_row(rows_of(spark, folder), scoring.unique_predictions(read(spark, folder, "predictions")))
+
+
+@query(f"with {_SCORED} select id, split, pred_idx, gold_idx, pred_op, gold_op, ec as element_correct, oc as operation_correct, ec and oc as step_success, round(brier, 9) as brier, list_max(ep) as top_prob, latency_ms from sc")
+def score_per_row(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).select("id", "split", "pred_idx", "gold_idx", "pred_op", "gold_op", "element_correct", "operation_correct", "step_success", F.round("brier", 9).alias("brier"), "top_prob", "latency_ms")
+
+
+@query(f"""
+    with {_SCORED}
+    select case when grouping(split) = 1 then 'overall' else 'split' end as scope, split, count(*)::bigint as n, round(avg(ec::int), 6) as element_acc,
+        round(avg(oc::int), 6) as operation_acc, round(avg((ec and oc)::int), 6) as step_success, round(avg(brier), 6) as brier,
+        round(avg(latency_ms), 6) as latency_mean_ms, round(median(latency_ms), 6) as latency_p50_ms
+    from sc group by grouping sets ((), (split)) having grouping(split) = 1 or coalesce(split, '') <> ''
+""")
+def eval_metrics_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(scoring.metrics(_scored(spark, folder)))
+
+
+@query(f"with {_SCORED}, u as (select split, unnest(map_entries(usage)) as e from sc) select split, e.key as key, round(sum(e.value), 6) as total from u where e.value is not null group by all")
+def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(scoring.usage_totals(_scored(spark, folder), "split"))
+
+
+@query(f"""
+    with {_PREDS}, q as (select id, [coalesce(operation_probs['CLICK'], 0), coalesce(operation_probs['TYPE'], 0), coalesce(operation_probs['SELECT'], 0)] as o, list_transform(element_probs, lambda x: coalesce(x, 0)) as e from pr)
+    select id, round(case when list_sum(e) > 0 then list_max(e) / list_sum(e) else list_max(e) end, 6) as top_element,
+        round(case when list_sum(o) > 0 then o[1] / list_sum(o) else o[1] end, 6) as click from q
+""")
+def renormalize_probs(spark: SparkSession, folder: str) -> DataFrame:
+    one = scoring.unique_predictions(read(spark, folder, "predictions"))
+    return one.select("id", F.round(F.array_max(scores.renormalise(F.col("element_probs"))), 6).alias("top_element"), F.round(F.get(scores.renormalise(scores.by_keys(F.col("operation_probs"), OPERATIONS)), F.lit(0)), 6).alias("click"))
+
+
+@query("""
+    with z as (select vec_id, list_transform(embedding[1:10], lambda x: x::double) as f, list_transform(embedding[11:20], lambda x: x::double) as b from embeddings),
+    m as (select vec_id, list_transform(f, lambda x, i: (x + b[11 - i]) / 2) as m from z)
+    select vec_id, (list_position(m, list_max(m)) - 1)::int as pred_idx, round(list_max(m), 6) as top from m
+""")
+def order_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    emb = read(spark, folder, "embeddings")
+    none = F.create_map().cast("map<string,double>")
+    one = lambda a: emb.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", a, 10), lambda x: x.cast("double")).alias("element_probs"), none.alias("operation_probs"), F.lit(0.0).alias("latency_ms"))
+    both = predict.order_ensemble(one(1), one(11))
+    return both.select(F.col("id").alias("vec_id"), scores.first_argmax(F.col("element_probs")).alias("pred_idx"), F.round(F.array_max("element_probs"), 6).alias("top"))
+
+
+_CTOK = "list_distinct(regexp_extract_all(lower(concat_ws(' ', c.text, c.tag, c.role, " + ", ".join(f"case when c.attrs['{k}'] is not null then '{k} ' || c.attrs['{k}'] end" for k in ATTRS) + ")), '[a-z0-9]+'))"
+_LEX = f"""
+    {_ROWS},
+    q as (select id, candidates, list_distinct(regexp_extract_all(lower(coalesce(goal, '') || ' ' || coalesce(previous_actions[-1], '')), '[a-z0-9]+')) as q from rows1),
+    sc as (select id, candidates, list_transform(candidates, lambda c: len(list_intersect(q, {_CTOK}))::double) as s from q),
+    top as (select id, s, candidates[list_position(s, list_max(s))] as t, list_position(s, list_max(s)) - 1 as pred_idx from sc),
+    ex as (select *, list_transform(s, lambda x: exp(x - list_max(s))) as e from top),
+    lx as (select id, pred_idx::int as pred_idx, round(1 / list_sum(e), 6) as top_prob, case when lower(t.tag) = 'select' or lower(coalesce(t.role, '')) in ('combobox', 'listbox') then 'SELECT'
+          when lower(t.tag) in ('input', 'textarea') and lower(coalesce(t.role, '')) not in ('button', 'checkbox', 'radio', 'link') then 'TYPE' else 'CLICK' end as pred_op from ex)"""
+
+
+@query(f"with {_LEX} select * from lx")
+def lexical_predict(spark: SparkSession, folder: str) -> DataFrame:
+    got = predict.predict("lexical", rows_of(spark, folder))
+    return got.select("id", scores.first_argmax(F.col("element_probs")).alias("pred_idx"), F.round(F.array_max("element_probs"), 6).alias("top_prob"), scores.pick(OPERATIONS, scores.first_argmax(scores.by_keys(F.col("operation_probs"), OPERATIONS))).alias("pred_op"))
+
+
+@query(f"with {_ROWS} select id, 0 as pred_idx, 'CLICK' as pred_op, 1.0::double as top_prob from rows1")
+def first_predict(spark: SparkSession, folder: str) -> DataFrame:
+    got = predict.predict("first", rows_of(spark, folder))
+    return got.select("id", scores.first_argmax(F.col("element_probs")).alias("pred_idx"), scores.pick(OPERATIONS, scores.first_argmax(scores.by_keys(F.col("operation_probs"), OPERATIONS))).alias("pred_op"), F.array_max("element_probs").alias("top_prob"))
+
+
+_U = "('0x' || substr(md5('random:' || id || ':' || {k}), 1, 13))::bigint::double / 4503599627370496.0"
+
+
+@query(f"""
+    with {_ROWS}, r as (select id, list_transform(range(10), lambda i: {_U.format(k="i::varchar")}) as u, [{", ".join(_U.format(k=f"'{o}'") for o in OPERATIONS)}] as o from rows1)
+    select id, (list_position(u, list_max(u)) - 1)::int as pred_idx, (['CLICK', 'TYPE', 'SELECT'])[list_position(o, list_max(o))] as pred_op, round(list_max(u) / list_sum(u), 6) as top_prob from r
+""")
+def random_predict(spark: SparkSession, folder: str) -> DataFrame:
+    got = predict.predict("random", rows_of(spark, folder))
+    return got.select("id", scores.first_argmax(F.col("element_probs")).alias("pred_idx"), scores.pick(OPERATIONS, scores.first_argmax(scores.by_keys(F.col("operation_probs"), OPERATIONS))).alias("pred_op"), F.round(F.array_max("element_probs"), 6).alias("top_prob"))
+
+
+def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = rows_of(spark, folder)
+    done = None
+    for name in predict.NATIVE:
+        one = scoring.per_row(rows, predict.predict(name, rows)).withColumn("adapter", F.lit(name))
+        done = one if done is None else done.unionByName(one)
+    return scoring.metrics(done.withColumn("dataset_name", F.lit("eval_rows")), "adapter", "dataset_name"), rows
+
+
+_BOARD = f"""
+    {_LEX}, ra as (select id, list_transform(range(10), lambda i: {_U.format(k="i::varchar")}) as u, [{", ".join(_U.format(k=f"'{o}'") for o in OPERATIONS)}] as o from rows1),
+    preds as (
+        select 2 as place, 'first' as adapter, id, 0 as pred_idx, 'CLICK' as pred_op, null::double[] as p from rows1
+        union all select 1, 'random', id, (list_position(u, list_max(u)) - 1)::int, (['CLICK', 'TYPE', 'SELECT'])[list_position(o, list_max(o))], list_transform(u, lambda x: x / list_sum(u)) from ra
+        union all select 3, 'lexical', l.id, l.pred_idx, l.pred_op, list_transform(ex.e, lambda x: x / list_sum(ex.e)) from lx l join ex on ex.id = l.id),
+    board as (
+        select place, adapter, count(*)::bigint as n, avg(coalesce(p.pred_idx = r.gold_idx, false)::int) as element_acc, avg(coalesce(p.pred_op = r.operation, false)::int) as operation_acc,
+            avg(coalesce(p.pred_idx = r.gold_idx and p.pred_op = r.operation, false)::int) as step_success,
+            avg(case when p.p is null then case when r.gold_idx is null then 1.0 when r.gold_idx = 0 then 0.0 else 2.0 end
+                else list_sum(list_transform(p.p, lambda x, i: pow(x - case when i - 1 = r.gold_idx then 1.0 else 0.0 end, 2))) end) as brier
+        from preds p join rows1 r on r.id = p.id group by place, adapter)"""
+
+
+@query(f"with {_BOARD} select 'eval_rows' as dataset_name, place, adapter, n, round(element_acc, 6) as element_acc, round(operation_acc, 6) as operation_acc, round(step_success, 6) as step_success, round(brier, 6) as brier from board")
+def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(scoring.leaderboard(_results(spark, folder)[0])).drop("latency_mean_ms", "latency_p50_ms")
+
+
+@query(f"""
+    with {_BOARD}, x as (select max(element_acc) filter (adapter = 'random') as rnd from board), g as (select avg(coalesce(gold_idx = 0, false)::int) as g0 from rows1)
+    select adapter, case adapter when 'random' then 'random element accuracy in [5%,15%]' when 'first' then 'first element accuracy equals the rate of gold at 0' else 'lexical beats random' end as gate,
+        case adapter when 'random' then case when n >= 200 then element_acc between 0.05 and 0.15 end when 'first' then abs(element_acc - g0) < 1e-9 else element_acc > rnd end as ok, round(element_acc, 6) as value
+    from board, x, g
+""")
+def gates(spark: SparkSession, folder: str) -> DataFrame:
+    results, rows = _results(spark, folder)
+    first = rows.agg(F.avg(F.coalesce((F.col("gold_idx") == 0).cast("int"), F.lit(0))).alias("gold_first_rate")).withColumn("dataset_name", F.lit("eval_rows"))
+    return scoring.gates(results, first).select("adapter", "gate", "ok", F.round("value", 6).alias("value"))
+
+
+@query(f"with {_BOARD} select adapter, round(element_acc * 100, 6) as element_acc, round(operation_acc * 100, 6) as operation_acc, round(step_success * 100, 6) as step_success from board")
+def chart_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.chart_rows(_results(spark, folder)[0]).drop("dataset_name")
+
+
+_LABEL = """'[' || coalesce(action_type, 'None') || '] ' || substr(case when input_text is not null and input_text not in ('', 'no input text') then input_text else coalesce(string_split(dom_path, '>')[-1], '') end, 1, 40)
+    || ' -> ' || coalesce(case action_type when 'click' then 'CLICK' when 'type' then 'TYPE' when 'select' then 'SELECT' else action_type end, 'None')"""
+_HIST = f"h as (select *, coalesce(list({_LABEL}) over (partition by trace_uid order by source_step_index, logged_at nulls first, source_step_id nulls first, rid rows between 5 preceding and 1 preceding), []) as prev from (select *, row_number() over (partition by trace_uid, source_step_index, source_step_id, logged_at order by action_type) as rid from action_log))"
+
+
+@query(f"with {_HIST} select trace_uid, source_step_index, source_step_id, array_to_string(prev, ' | ') as history, len(prev)::int as n from h")
+def history_last5(spark: SparkSession, folder: str) -> DataFrame:
+    log = read(spark, folder, "action_log")
+    return traces.with_history(log).select("trace_uid", "source_step_index", "source_step_id", F.array_join("previous_actions", " | ").alias("history"), F.size("previous_actions").alias("n"))
+
+
+_ELIG = "(action_type in ('click', 'type', 'select') and coalesce(included_in_sft, false) and coalesce(selector, '') <> '' and coalesce(html_dom_url, '') <> '')"
+_UTRACE = "ut as (select * from (select *, row_number() over (partition by uid order by (coalesce(query, '') <> '') desc, coalesce(query, '') desc, coalesce(web_type, '') desc, coalesce(primary_host, '') desc) as rn from traces where uid is not null) where rn = 1)"
+
+
+@query(f"""
+    with {_UTRACE}
+    select 'webchain_' || trace_uid || '_' || source_step_id as id, query as goal, regexp_replace(coalesce(nullif(primary_host, ''), nullif(host, ''), ''), '^www\\.', '') as website, coalesce(web_type, '') as domain,
+        upper(action_type) as operation, case when input_text not in ('', 'no input text') then trim(input_text) end as value
+    from action_log left join ut on uid = trace_uid where {_ELIG} and coalesce(query, '') <> ''
+""")
+def eligible_actions(spark: SparkSession, folder: str) -> DataFrame:
+    full = traces.step_requests(read(spark, folder, "action_log"), read(spark, folder, "traces"))
+    return full.where("skip_reason is null").select("id", "goal", "website", "domain", "operation", "value")
+
+
+@query(f"with {_UTRACE} select case when not coalesce({_ELIG}, false) then 'not_eligible' when coalesce(query, '') = '' then 'no_goal' else 'written' end as skip_reason, count(*)::bigint as n from action_log left join ut on uid = trace_uid group by 1")
+def skip_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    return steps.skip_counts(traces.step_requests(read(spark, folder, "action_log"), read(spark, folder, "traces")))
+
+
+def _order_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders read as the negatives of their customer: a third without a known rank."""
+    rank = F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice")).cast("bigint"))
+    return read(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("step"), F.col("o_orderkey").cast("string").alias("node"), F.col("o_orderkey").alias("pos"), rank.alias("rank"), (F.col("o_orderpriority") != "1-URGENT").alias("usable"))
+
+
+_POOL = "pool as (select o_custkey::varchar as step, o_orderkey::varchar as node, o_orderkey as pos, case when o_orderstatus <> 'P' then floor(o_totalprice)::bigint end as rank, o_orderpriority <> '1-URGENT' as usable from orders)"
+_RANKED = f"""{_POOL}, k as (select *, max((rank is not null)::int) over (partition by step) > 0 as known from pool),
+    rk as (select *, row_number() over (partition by step order by case when known then coalesce(rank, 1000000000) else 0 end, case when not known then md5('7:' || step || ':' || node || ':' || pos) end, pos, node) as rn from k)"""
+
+
+@query(f"with {_RANKED} select step, node, rn::int as rn, known as by_rank from rk where rn <= 9")
+def hardest_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return steps.ranked_negatives(_order_pool(spark, folder), "step", "node", "pos", "rank", "7").select("step", "node", "rn", "by_rank")
+
+
+@query(f"""with {_RANKED}, f as (select *, row_number() over (partition by step order by (rn > 9)::int, case when rn <= 9 then rn else pos end) as slot from rk where usable)
+    select step, node, slot::int as slot from f where slot <= 9""")
+def refill_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    every = steps.ranked_negatives(_order_pool(spark, folder), "step", "node", "pos", "rank", "7", k=2**31 - 1)
+    return steps.refill(every, "step", "pos", F.col("usable")).select("step", "node", "slot")
+
+
+@query(f"with {_POOL} select step, node, rn::int as rn from (select *, row_number() over (partition by step order by md5('11:' || step || ':' || node || ':' || pos), pos) as rn from pool) where rn <= 9")
+def random_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return steps.random_negatives(_order_pool(spark, folder), "step", "node", "pos", "11").select("step", "node", "rn")
+
+
+@query(f"""
+    with {_ROWS}, g as (select id, unnest(['base', 'aug']) as variant, list_prepend(candidates[gold_idx + 1], list_filter(candidates, lambda c: c.idx <> gold_idx)) as items from rows1 where gold_idx is not null),
+    n as (select case when variant = 'aug' then id || '_aug' else id end as id, items from g),
+    o as (select id, list_sort(list_transform(items, lambda c, i: {{'o': md5('7:' || id || ':' || (i - 1)::varchar || ':shuffle'), 'i': i - 1, 't': c.text}})) as o from n)
+    select id, (list_position(list_transform(o, lambda x: x.i), 0) - 1)::int as gold_idx, array_to_string(list_transform(o, lambda x: coalesce(x.t, '')), '|') as texts from o
+""")
+def augmented_variants(spark: SparkSession, folder: str) -> DataFrame:
+    rows = steps.variants(rows_of(spark, folder).where("gold_idx is not null"))
+    gold = F.get("candidates", F.col("gold_idx"))
+    items = F.concat(F.array(gold), F.filter("candidates", lambda c: c.getField("idx") != F.col("gold_idx")))
+    placed, at = steps.shuffle_place(F.col("items"), F.col("id"), "7")
+    return rows.select("id", items.alias("items")).select("id", at.alias("gold_idx"), F.array_join(F.transform(placed, lambda c: F.coalesce(c.getField("text"), F.lit(""))), "|").alias("texts"))
+
+
+_VTOK = "list_distinct(regexp_extract_all(lower(concat_ws(' ', c.text, " + ", ".join(f"c.attrs['{k}']" for k in ATTRS) + ")), '[a-z0-9]+'))"
+
+
+@query(f"""
+    with {_ROWS}, e as (select id, goal, unnest(candidates) as c from rows1),
+    s as (select id, c.idx as idx, len(list_intersect({_TOK.format(x="goal")}, {_VTOK}))::int as score from e)
+    select id, idx, score, rn::int as rn from (select *, row_number() over (partition by id order by score desc, md5('7:' || id || ':' || idx || ':negs')) as rn from s) where rn <= 3
+""")
+def token_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
+    pool = rows_of(spark, folder).select("id", "goal", F.explode("candidates").alias("c"))
+    top = traces.hardest_by_overlap(pool, "id", F.col("goal"), F.col("c"), F.concat_ws(":", "id", "c.idx"), "7", k=3)
+    return top.select("id", "c.idx", "score", "rn")
+
+
+@query(f"""
+    with {_ROWS}, b as (select id, split, gold_idx, row_number() over (partition by split, gold_idx order by md5('3:' || id), id) as rn from rows1),
+    o as (select *, row_number() over (partition by split order by rn, md5('3:' || coalesce(split, '') || ':' || coalesce(gold_idx::varchar, '') || ':bucket')) as place from b)
+    select id, split, gold_idx from o where place <= 25
+""")
+def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.round_robin(rows_of(spark, folder), "split", "gold_idx", "id", 25, "3").select("id", "split", "gold_idx")
+
+
+_CAP = """cnt as (select coalesce(website, '') as website, count(*) as n from rows1 group by 1),
+    caps as (select unnest(range(1, (select max(n) + 1 from cnt))) as c), reach as (select c, sum(least(n, c)) as s from cnt, caps group by c),
+    feas as (select coalesce(min(c) filter (s >= 500), (select max(n) from cnt)) as cap from reach),
+    cap as (select case when (select sum(least(n, 25)) from cnt) >= 500 then 25 else (select cap from feas) end as cap)"""
+
+
+@query(f"with {_ROWS}, {_CAP} select cap.cap::bigint as site_cap, feas.cap::bigint as feasible_cap from cap, feas")
+def min_feasible_cap(spark: SparkSession, folder: str) -> DataFrame:
+    counts = rows_of(spark, folder).groupBy(F.coalesce("website", F.lit("")).alias("website")).agg(F.count("*").alias("n"))
+    return sampling.site_cap(counts, 500).withColumnRenamed("cap", "site_cap").crossJoin(sampling.min_feasible_cap(counts, 500).withColumnRenamed("cap", "feasible_cap"))
+
+
+@query(f"""
+    with {_ROWS}, {_CAP}, r as (select id, coalesce(website, '') as website, row_number() over (partition by coalesce(website, '') order by md5('5:' || id), id) as rn from rows1)
+    select id, website from r, cap where rn <= cap.cap order by rn, md5('5:' || website || ':site'), website limit 500
+""")
+def capped_site_sample(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rows_of(spark, folder).withColumn("website", F.coalesce("website", F.lit("")))
+    return sampling.capped_by_group(rows, "website", "id", 500, "5").select("id", "website")
+
+
+_HOLD = """s as (select distinct coalesce(website, '') as website from eval_rows),
+    h as (select website, case when row_number() over (order by md5('9:' || website), website) <= greatest(1, round_even((select count(*) from s) * 0.10, 0)) then 'val' else 'train' end as split from s)"""
+
+
+@query(f"with {_HOLD} select e.id, h.split from (select distinct id, coalesce(website, '') as website from eval_rows) e join h on h.website = e.website")
+def group_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "eval_rows").select("id", F.coalesce("website", F.lit("")).alias("website"))
+    return sampling.with_split(rows, "website", sampling.hold_out(rows, "website", "9")).select("id", "split", "website").distinct().select("id", "split")
+
+
+@query("select website from (select distinct coalesce(website, '') as website from eval_rows where split = 'train') intersect select distinct coalesce(website, '') from eval_rows where split in ('val', 'cross_website', 'cross_domain')")
+def shared_sites(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "eval_rows").select("split", F.coalesce("website", F.lit("")).alias("website"))
+    return sampling.shared_groups(rows.where("split = 'train'"), rows.where("split in ('val', 'cross_website', 'cross_domain')"), "website")
+
+
+@query("""
+    with m as (select _meta.id as id, unnest([1, 2]) as copy from train_records union all select 'webchain_' || trace_uid || '_' || source_step_id, 1 from action_log)
+    select id, copy, count(*)::bigint as n from m group by all
+""")
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    a = read(spark, folder, "train_records").select(F.col("_meta.id").alias("id"))
+    b = read(spark, folder, "action_log").select(F.concat_ws("_", F.lit("webchain"), "trace_uid", "source_step_id").alias("id"))
+    return sampling.mixture([(a, 2), (b, 1)], "id", "13").groupBy("id", "copy").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_ROWS}, c as (select gold_idx, count(*) as n from rows1 where gold_idx between 0 and 9 group by 1), f as (select b::int as bucket, coalesce(n, 0)::bigint as n from range(10) t(b) left join c on c.gold_idx = b) select bucket, n, round(n / sum(n) over (), 6) as share from f")
+def gold_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(scoring.histogram(rows_of(spark, folder)))
+
+
+@query("""
+    with e as (select id, gold_idx, candidates, (list_filter(candidates, lambda c: c.idx = gold_idx)[1]).text as gt from eval_rows),
+    a as (select (count(id) - count(distinct id))::double as d, count(*) filter (not coalesce(len(candidates) = 10 and list_sort(list_transform(candidates, lambda c: c.idx)) = range(10)::int[], false))::double as b, avg(coalesce(trim(gt, ' ' || chr(9) || chr(10) || chr(13)) <> '', false)::int) as t from e),
+    h as (select count(*) filter (gold_idx = i) / count(gold_idx) as s from eval_rows, range(10) r(i) group by i), lh as (select min(s) as lo, max(s) as hi from h)
+    select unnest([{'name': 'duplicate_ids', 'value': d, 'ok': d = 0}, {'name': 'bad_candidates', 'value': b, 'ok': b = 0}, {'name': 'gold_place_low', 'value': round(lo, 6), 'ok': lo >= 0.06 and hi <= 0.14},
+        {'name': 'gold_place_high', 'value': round(hi, 6), 'ok': lo >= 0.06 and hi <= 0.14}, {'name': 'gold_text_share', 'value': round(t, 6), 'ok': t >= 0.95}, {'name': 'all', 'value': null, 'ok': d = 0 and b = 0 and lo >= 0.06 and hi <= 0.14 and t >= 0.95}], recursive := true) from a, lh
+""")
+def sanity_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(sanity.checks(read(spark, folder, "eval_rows")))
+
+
+@query(f"with {_ROWS} select operation, count(*)::bigint as n from rows1 group by 1")
+def operation_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return rows_of(spark, folder).groupBy("operation").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_ROWS}, c as (select website, count(*)::bigint as n from rows1 where website is not null group by 1) select website, n, (select count(*) from c)::bigint as distinct_groups from c order by n desc, website limit 5")
+def top_sites(spark: SparkSession, folder: str) -> DataFrame:
+    return sanity.top_groups(rows_of(spark, folder), "website")
+
+
+@query("select grouping_id(s, load_no)::int as level, s as split, load_no as shard, count(*)::bigint as n, count(distinct _annotation_id)::bigint as tasks from (select *, coalesce(split, '') as s from eval_rows) group by rollup (s, load_no)")
+def written_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return sanity.written_totals(read(spark, folder, "eval_rows"))
+
+
+@query("""
+    with e as (select questions.element as e, questions.operation as o, state, _meta.id as id from train_records)
+    select unnest([{'rule': 'element_options_not_10', 'n': count(*) filter (len(map_keys(e.criteria)) <> 10)}, {'rule': 'element_label_not_an_option', 'n': count(*) filter (not list_contains(map_keys(e.criteria), e.label))},
+        {'rule': 'operation_unknown', 'n': count(*) filter (o.label not in ('CLICK', 'TYPE', 'SELECT'))}, {'rule': 'operation_options_differ', 'n': count(*) filter (list_sort(map_keys(o.criteria)) <> ['CLICK', 'SELECT', 'TYPE'])},
+        {'rule': 'type_not_choice', 'n': count(*) filter (e.type <> 'choice' or o.type <> 'choice')}, {'rule': 'state_without_goal', 'n': count(*) filter (not starts_with(state, 'Goal: '))},
+        {'rule': 'id_missing', 'n': count(*) filter (id is null)}, {'rule': 'criteria_with_values', 'n': count(*) filter (len(list_filter(map_values(e.criteria), lambda v: v is not null)) > 0)}], recursive := true) from e
+""")
+def record_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return sanity.record_faults(read(spark, folder, "train_records"))
+
+
+@query()
+def render_states(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rows_of(spark, folder)
+    return rows.select("id", text.render_state(F.col("goal"), F.col("website"), F.col("domain"), F.col("previous_actions"), F.col("candidates")).alias("state"))
+
+
+@query()
+def training_records(spark: SparkSession, folder: str) -> DataFrame:
+    return records.training_records(rows_of(spark, folder))
+
+
+@query()
+def decision_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return records.decision_requests(rows_of(spark, folder), "b")
+
+
+@query("""
+    select o_orderkey, regexp_extract('https://u' || o_custkey || '@' || o_clerk_host || ':80/x', '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1) as host
+    from (select o_orderkey, o_custkey, lower(replace(o_orderstatus, ' ', '')) || '.example' as o_clerk_host from orders)
+""")
+def href_netloc(spark: SparkSession, folder: str) -> DataFrame:
+    href = F.concat(F.lit("https://u"), F.col("o_custkey").cast("string"), F.lit("@"), F.lower(F.replace("o_orderstatus", F.lit(" "), F.lit(""))), F.lit(".example:80/x"))
+    return read(spark, folder, "orders").select("o_orderkey", text.netloc(href).alias("host"))
+
+
+@query("""
+    with c as (select p_partkey, replace(replace(lower(p_type), ' ', '-'), '_', '-') || '_12_ab_345' as cls from part),
+    w as (select p_partkey, list_filter(string_split_regex(trim(regexp_replace(cls, '[-_]+', ' ', 'g')), '\\s+'), lambda t: len(t) > 2 and not regexp_matches(t, '^[0-9]+$'))[1:4] as w from c)
+    select p_partkey, array_to_string(w, ' ') as words from w
+""")
+def class_words(spark: SparkSession, folder: str) -> DataFrame:
+    cls = F.concat(F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit("_12_ab_345"))
+    return read(spark, folder, "part").select("p_partkey", text.class_words(cls).alias("words"))
+
+
+@query()
+def dom_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's candidates written as a page and parsed again."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    one = lambda c: F.concat(F.lit("<"), c.getField("tag"), F.lit(' backend_node_id="'), c.getField("idx").cast("string"), F.lit('" role="'), esc(c.getField("role")), F.lit('">'), esc(c.getField("text")), F.lit("</"), c.getField("tag"), F.lit(">"))
+    pages = rows_of(spark, folder).select("id", F.concat(F.lit("<div>"), F.array_join(F.transform("candidates", one), ""), F.lit("</div>")).alias("html"))
+    return pages.select("id", F.explode(page_nodes(F.col("html"))).alias("n")).select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
+
+
+@query(f"""
+    with {_SCORED}, w as (select id, pred_idx, gold_idx from sc where not ec order by id limit 5), r as (select w.*, unnest(rows1.candidates) as c from w join rows1 on rows1.id = w.id)
+    select id, c.idx as idx, c.tag as tag, c.text as text, c.idx = gold_idx as is_gold, c.idx = pred_idx as is_pred from r
+""")
+def suspect_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.suspect_rows(rows_of(spark, folder), _scored(spark, folder))
+
+
+@query(f"with {_ROWS} select id, goal from rows1 order by md5('17:' || id), id limit 5")
+def example_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.examples(rows_of(spark, folder), "id", 5, "17").select("id", "goal")
+
+
+@query("""
+    with r as (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by md5('2:' || l_orderkey || '-' || l_linenumber), l_orderkey || '-' || l_linenumber) as rn from lineitem)
+    select l_suppkey, l_orderkey, l_linenumber from r where rn <= 20
+""")
+def capped_lineitems(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty lines of every supplier: the capped sample at scale."""
+    lines = read(spark, folder, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    order = Window.partitionBy("l_suppkey").orderBy(scores.seeded(F.col("k"), "2"), "k")
+    return lines.withColumn("rn", F.row_number().over(order)).where("rn <= 20").select("l_suppkey", "l_orderkey", "l_linenumber")

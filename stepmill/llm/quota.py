@@ -35,28 +35,31 @@ def members(rows: DataFrame, fields: list[str]) -> DataFrame:
 
     Copies of an id agree; where they do not, the least value counts.
     """
-    one = rows.where("id is not null").groupBy("id").agg(*[F.min(F.col(f).cast("string")).alias(f) for f in fields])
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("category")) for f in fields])
+    if not fields:
+        return rows.sparkSession.createDataFrame([], "id string, field string, category string")
+    one = rows.where("id is not null").groupBy("id").agg(*[F.min(F.col(f).cast("string")).alias(f"_f{i}") for i, f in enumerate(fields)])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").alias("category")) for i, f in enumerate(fields)])
     return one.select("id", F.explode(pairs).alias("p")).select("id", "p.field", "p.category")
 
 
 def plan(rows: DataFrame, targets: DataFrame, most_targets: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(members, report): the report has one row per target with what is there and what it asks for.
 
-    ``unmet`` is true where a * 10000 < share_pct * sample_pct * n or
+    Nulls among the figures of a target count as 0.  ``unmet`` is true where a * 10000 < share_pct * sample_pct * n or
     a < min_rows, with a distinct ids of the category and n in all.
     """
-    goals = targets.select([f.strip().split()[0] for f in TARGETS.split(",")]).distinct().limit(most_targets + 1).collect()
+    names = [f.strip().split()[0] for f in TARGETS.split(",")]
+    goals = targets.select([F.coalesce(n, F.lit(0)).alias(n) if n in names[3:] else F.col(n) for n in names]).distinct().limit(most_targets + 1).collect()
     if len(goals) > most_targets:
         raise ValueError("targets are a small table; this one is not")
     spark = rows.sparkSession
-    fields = sorted({g.field for g in goals if g.field is not None and g.field in rows.columns}) or ["id"]
+    fields = sorted({g.field for g in goals if g.field is not None and g.field in rows.columns})
     each = cut(members(rows, fields))
-    n = each.select("id").where(F.lit(True)).count() // len(fields)
+    n = each.count() // len(fields) if fields else rows.select("id").where("id is not null").distinct().count()
     fixed = spark.createDataFrame([tuple(g) for g in goals], TARGETS)
     # counts by category, pre-aggregated; categories can be as many as sites, so this stays a table
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("category")) for f in fields])
-    held = rows.where("id is not null").select("id", F.explode(pairs).alias("p")).select("id", "p.field", "p.category").where("category is not null").distinct()
+    held = rows.where("id is not null").select("id", F.explode(pairs).alias("p")).select("id", "p.field", "p.category").where("category is not null").distinct() if fields else each
     counts = held.groupBy("field", "category").agg(F.count("*").alias("have"))
     report = fixed.join(counts, ["field", "category"], "left").withColumn("have", F.coalesce("have", F.lit(0).cast("bigint"))).withColumn("n", F.lit(n).cast("bigint"))
     short = F.col("have") * 10000 < F.col("share_pct").cast("bigint") * F.col("sample_pct") * F.col("n")

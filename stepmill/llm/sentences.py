@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from stepmill.session import rows_at_most
 
-_EOL = "\r\n|[\n\r\x0b\x0c\x85  ]"
+_EOL = "\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 _LINE = re.compile(f"(?:{_EOL})")
 _BULLET = re.compile(r"[^\S\r\n]*(?:[-•*]|\d{1,9}\.)(?=[^\S\r\n])")
 
 _MARKS = "[.!?…‼⁇⁈⁉。！？｡．।॥؟۔։።။។]"
 _CLOSERS = "[\"'”’»›)\\]}」』）】》〉］｝“]"
-_CANDIDATE = re.compile(rf"(?:(?:{_MARKS}+|(?<=[Ͱ-Ͽἀ-῿])[;;]|;)(?:[   ]?»|{_CLOSERS})*)+")
-_THAI_BLANK = re.compile(r"(?<=[ก-฾เ-๛])\s+(?=[ก-฾เ-๛])")
+_CANDIDATE = re.compile(rf"(?:(?:{_MARKS}+|(?<=[Ͱ-Ͽἀ-\u1fff])[;;]|;)(?:[ \u00a0\u202f]?»|{_CLOSERS})*)+")
+_THAI_BLANK = re.compile(r"(?<=[ก-\u0e3eเ-๛])\s+(?=[ก-\u0e3eเ-๛])")
 
 _THAI = re.compile("[ก-๛]")
 
@@ -34,8 +34,8 @@ _UP = "A-ZÀ-ÖØ-ÞŒА-ЯЁΑ-ΩΆ-Ώ"
 _LOW = "a-zß-öø-ÿœа-яёα-ωά-ώ"
 _OPEN = "[\"'“”„«‘(\\[¿¡]*"
 #: Letters of scripts without capitals.
-_FLAT = "؀-ۿऀ-෿ก-๛぀-ヿ㐀-鿿가-힣"
-_CJK = "぀-ヿ㐀-鿿"
+_FLAT = "\u0600-ۿऀ-\u0dffก-๛\u3040-ヿ㐀-鿿가-힣"
+_CJK = "\u3040-ヿ㐀-鿿"
 
 # Abbreviations after which a sentence goes on, by language.
 NEVER = {
@@ -100,7 +100,7 @@ FIRST: list[Rule] = [
     (True, r"\b(?:was|is|were|be|said|says|answer|answered|simply|just)\s+no\.$", r"\s"),
     (False, r"(?:^|\W)(?:[Nn]os?|N[oº]|[Pp]|[Pp]p|[Ss])\.$", r"\s?\d"),
     # file and host names: no blank follows and no sentence begins
-    (True, rf"(?:^|\s)[^\s.@/_\\]*[^\W\d_]{{2,}}\.$", rf"{_OPEN}[{_UP}](?:[{_LOW}’']*[\s,;:-]|[{_LOW}]{{0,3}}\.\s|[{_LOW}]+[.!?]?$)"),
+    (True, rf"(?:^|\s)[^\s.@/_\\]*[^\W\d_]{{3,}}\.$", rf"{_OPEN}[{_UP}](?:[{_LOW}’']*[\s,;:-]|[{_LOW}]{{0,3}}\.\s|[{_LOW}]+[.!?]?$)"),
     (True, rf"(?:^|\s)[^\s.@/_\\]*\d\.$", rf"{_OPEN}[{_UP}][{_LOW}]*[\s,;:-]"),
     (True, rf"[{_FLAT}]{{3,}}\.$", rf"[{_FLAT}]"),
     (True, rf"[!?…]$", rf"{_OPEN}(?:[{_UP}]|[{_FLAT}])"),
@@ -108,7 +108,7 @@ FIRST: list[Rule] = [
     (False, r"(?<![。！？｡।॥؟۔])[.!?…\"'”’»›)\]}“]$", r"[^\s]"),
     # a quotation whose sentence goes on
     (False, rf"{_QUOTE}$", r"\s*[—–-]\s"),
-    (False, rf"[!?！？؟‼⁉…।॥]+{_QUOTE}$", rf"\s*[؀-ۿऀ-෿]"),
+    (False, rf"[!?！？؟‼⁉…।॥]+{_QUOTE}$", rf"\s*[\u0600-ۿऀ-\u0dff]"),
     (False, rf"[!?]{_QUOTE}$", rf"\s+(?!(?:He|She|They|It|We|I|You|Er|Sie|Il|Elle|On)\b)[{_UP}][\w’'-]*\s+{_words(SAYING)}\b"),
     # Japanese particles after a closing bracket
     (False, r"[」』）】》〉”]$", r"\s?[ぁ-ゖ]"),
@@ -197,11 +197,11 @@ def _tables(text: str, start: int, at: int) -> _Compiled:
     c = text[i]
     if "Ѐ" <= c <= "ԯ":
         return _TABLES[CYRILLIC]
-    if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿":
+    if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "\u1fff":
         return _TABLES[GREEK]
-    if "ऀ" <= c <= "෿":
+    if "ऀ" <= c <= "\u0dff":
         return _TABLES[INDIC]
-    if "؀" <= c <= "ۿ":
+    if "\u0600" <= c <= "ۿ":
         return _TABLES[ARABIC]
     return _TABLES[LATIN] if c < "̀" or "Ḁ" <= c <= "ỿ" else []
 
@@ -256,7 +256,7 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
             if start < 0:
                 start, first = at, bullet.end() if bullet else at
             end = stop
-        if m and m.group() == " " and start >= 0:
+        if m and m.group() == "\u2029" and start >= 0:
             yield start, first, end
             start = -1
         at = after

@@ -168,7 +168,7 @@ def select(tree: _Tree, selector: str) -> list[int]:
     """Positions of the elements that a CSS selector matches (types, ids, classes, attributes, descendant and child steps, lists)."""
     found: set[int] = set()
     for part in re.split(r",(?![^\[]*\])", selector):
-        steps = re.findall(r"(>)|([^\s>]+(?:\[[^\]]*\][^\s>]*)*)", part.strip())
+        steps = re.findall(r"(>)|((?:\[[^\]]*\]|[^\s>\[])+)", part.strip())
         chain: list[tuple[str, list]] = []
         link = " "
         for child, compound in steps:

@@ -100,10 +100,11 @@ FIRST: list[Rule] = [
     (True, r"\b(?:was|is|were|be|said|says|answer|answered|simply|just)\s+no\.$", r"\s"),
     (False, r"(?:^|\W)(?:[Nn]os?|N[oº]|[Pp]|[Pp]p|[Ss])\.$", r"\s?\d"),
     # file and host names: no blank follows and no sentence begins
-    (True, rf"(?:^|\s)[^\s.@/_\\]*[^\W\d_]{{3,}}\.$", rf"{_OPEN}[{_UP}](?:[{_LOW}’']*[\s,;:-]|[{_LOW}]{{0,3}}\.\s|[{_LOW}]+[.!?]?$)"),
+    (False, r"(?<![^\W_])[A-Z][a-z]?\.$", r"[A-Z]\."),
+    (True, rf"(?:^|\s)[^\s.@/_\\]*[^\W\d_]{{2,}}\.$", rf"{_OPEN}[{_UP}](?:[{_LOW}’']*[\s,;:-]|[{_LOW}]{{0,3}}\.\s|[{_LOW}]+[.!?]?$)"),
     (True, rf"(?:^|\s)[^\s.@/_\\]*\d\.$", rf"{_OPEN}[{_UP}][{_LOW}]*[\s,;:-]"),
     (True, rf"[{_FLAT}]{{3,}}\.$", rf"[{_FLAT}]"),
-    (True, rf"[!?…]$", rf"{_OPEN}(?:[{_UP}]|[{_FLAT}])"),
+    (True, r"[!?…]$", rf"{_OPEN}(?:[{_UP}]|[{_FLAT}]|\d)"),
     (True, rf"\.[\"”»)\]’“]+$", rf"{_OPEN}[{_UP}]"),
     (False, r"(?<![。！？｡।॥؟۔])[.!?…\"'”’»›)\]}“]$", r"[^\s]"),
     # a quotation whose sentence goes on

@@ -11,6 +11,7 @@ GOLD = [
     "Which is right: “Pay now?” or “Pay later?”¦He wrote.¦Wait … then press.¦It kept loading...¦The end.",
     "Open report_v23.11.csv in shop.x.example now.¦Version 2.5 of it loads.",
     "Sorted by price or distance.\0¦The search box is there.\0¦Dr. Ort came!\0¦Again",
+    "The answer was no.\0¦Does it stay?\0¦142 were listed.¦She has a Ph.D. in law.¦The U.S. Army came.¦It left the U.S.¦It is big.",
     "Der Preis liegt z. B. bei 236,18 Euro.¦Am 3. Mai wurde um 14.30 Uhr geprüft.¦„Aus!“ stand über dem Knopf.¦Laut Nr. 17 ist sie ungültig.¦Sie kommt ca. 5 Tage später.",
     "La Sra. Orrdin eligió 3.¦¿Dónde está?¦El aviso decía «¡Agotado!» y no abría.¦El código n.º 39 vale.¦Muestra tallas, etc. en una tabla.",
     "« Rupture de stock ! » affichait la bannière.¦La carte ne s'affiche plus !¦Vers 18 h 30, p. ex. au guichet n° 3.¦M. Umbrek a choisi.",

@@ -29,16 +29,26 @@ _FOLD |= FORMS
 _FOLD |= {ord(a): b for a, b in [*_PROTO.items(), *_NEAR.items(), *LATIN_VARIANTS.items()] if b[0] != "\x00"}
 
 
+#: Finds out fast whether the table is needed; all astral characters go to it.
+_FOLDS = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_FOLD) if c < 0x10000) + "\U00010000-\U0010ffff]")
+
+
 def fold(text: str) -> str:
-    """``text`` without what problem 1 and letter case distinguish."""
-    if not text.isascii():
+    """``text`` without what problem 1 and letter case distinguish.
+
+    Capitals are compared by their own look before case goes (a Greek capital
+    nu is an N, a small one a v); the table is used only where it is needed.
+    """
+    if text.isascii():
+        return text.lower()
+    if _FOLDS.search(text):
+        text = text.translate(_FOLD)
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    text = text.casefold()
+    if not text.isascii() and _FOLDS.search(text):
         text = text.translate(_FOLD)
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text.casefold()).translate(_FOLD)
-            return text
-    return text.lower()
+    return text
 
 
 def words(text: str) -> list[str]:

@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepmill.session import cut
+from stepmill.session import broadcast_if_small, cut
 
 TARGETS = "target_set string, field string, category string, share_pct int, sample_pct int, min_rows int"
 
@@ -31,19 +31,20 @@ def start_of(target_set: str, seed: str) -> float:
 
 
 def members(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(id, field, category): the category of every distinct id in each field, null where it has none.
+    """(id, cats): every distinct id with its categories in each field, an array of (field, values).
 
-    Copies of an id agree; where they do not, the least value counts.
+    One shuffle by id, partly aggregated before it; copies of an id agree as a
+    rule, so the sets hold one value each.
     """
-    if not fields:
-        return rows.sparkSession.createDataFrame([], "id string, field string, category string")
-    one = rows.where("id is not null").groupBy("id").agg(*[F.min(F.col(f).cast("string")).alias(f"_f{i}") for i, f in enumerate(fields)])
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").alias("category")) for i, f in enumerate(fields)])
-    return one.select("id", F.explode(pairs).alias("p")).select("id", "p.field", "p.category")
+    sets = [F.collect_set(F.col(f).cast("string")).alias(f"_f{i}") for i, f in enumerate(fields)]
+    one = rows.where("id is not null").groupBy("id").agg(*sets) if fields else rows.where("id is not null").select("id").distinct()
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").alias("values")) for i, f in enumerate(fields)]
+    none = F.array().cast("array<struct<field:string,values:array<string>>>")
+    return one.select("id", (F.array(*pairs) if pairs else none).alias("cats"))
 
 
 def plan(rows: DataFrame, targets: DataFrame, most_targets: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(members, report): the report has one row per target with what is there and what it asks for.
+    """(members, report), members as from ``members``; the report has one row per target with what is there and what it asks for.
 
     Nulls among the figures of a target count as 0.  ``unmet`` is true where a * 10000 < share_pct * sample_pct * n or
     a < min_rows, with a distinct ids of the category and n in all.
@@ -55,11 +56,10 @@ def plan(rows: DataFrame, targets: DataFrame, most_targets: int = 100_000) -> tu
     spark = rows.sparkSession
     fields = sorted({g.field for g in goals if g.field is not None and g.field in rows.columns})
     each = cut(members(rows, fields))
-    n = each.count() // len(fields) if fields else rows.select("id").where("id is not null").distinct().count()
+    n = each.count()
     fixed = spark.createDataFrame([tuple(g) for g in goals], TARGETS)
     # counts by category, pre-aggregated; categories can be as many as sites, so this stays a table
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("category")) for f in fields])
-    held = rows.where("id is not null").select("id", F.explode(pairs).alias("p")).select("id", "p.field", "p.category").where("category is not null").distinct() if fields else each
+    held = each.select(F.explode("cats").alias("c")).select("c.field", F.explode("c.values").alias("category"))
     counts = held.groupBy("field", "category").agg(F.count("*").alias("have"))
     report = fixed.join(counts, ["field", "category"], "left").withColumn("have", F.coalesce("have", F.lit(0).cast("bigint"))).withColumn("n", F.lit(n).cast("bigint"))
     short = F.col("have") * 10000 < F.col("share_pct").cast("bigint") * F.col("sample_pct") * F.col("n")
@@ -94,13 +94,16 @@ def draw(rows: DataFrame, targets: DataFrame, seed: str = "stepmill") -> tuple[D
         "target_set string, field string, rest double, start double",
     )
     wanted = report.select("target_set", "category", F.when(F.col("have") > 0, F.col("draw") / F.col("have")).otherwise(0.0).alias("p"), F.least("min_rows", "have").alias("least"))
+    # an id with several values counts once, with the least; null where it has none
+    single = each.select("id", F.explode("cats").alias("c")).select("id", "c.field", F.array_min("c.values").alias("category"))
     # the targets are a small table by contract, so both lookups are sent to the rows
-    laid = each.join(F.broadcast(per_set), "field").join(F.broadcast(wanted), ["target_set", "category"], "left")
+    laid = single.join(F.broadcast(per_set), "field").join(F.broadcast(wanted), ["target_set", "category"], "left")
     laid = laid.withColumn("p", F.least(F.lit(1.0), F.coalesce("p", "rest"))).withColumn("u", uniform(F.col("id"), seed))
-    ranked = _rank(laid.where("p > 0").select("target_set", "category", "u", "id", "p", "start", "least"))
+    ranked = _rank(laid.where("p > 0").select("target_set", "category", "u", "id", "p"))
+    ranked = ranked.join(F.broadcast(per_set.select("target_set", "start")), "target_set").join(F.broadcast(wanted.drop("p")), ["target_set", "category"], "left")
     low, high = F.col("before") - F.col("start"), F.col("before") + F.col("p") - F.col("start")
     hit = F.ceil(high - F.lit(1e-9)) > F.ceil(low - F.lit(1e-9))
-    chosen = cut(ranked.withColumn("hit", hit).select("target_set", "category", "u", "id", "hit", "least"))
+    chosen = ranked.withColumn("hit", hit).select("target_set", "category", "u", "id", "hit", "least")
     got = chosen.where("hit and least is not null").groupBy("target_set", "category").agg(F.count("*").alias("got"))
     need = wanted.where("least > 0").join(got, ["target_set", "category"], "left").select("target_set", "category", (F.col("least") - F.coalesce("got", F.lit(0))).alias("need")).where("need > 0")
     spare = chosen.where("not hit").join(F.broadcast(need), ["target_set", "category"])
@@ -123,10 +126,12 @@ def _rank(laid: DataFrame) -> DataFrame:
     placed = placed.withColumn("_pid", F.shiftright("_at", 33))
     runs = placed.groupBy("target_set", "_pid", "category").agg(F.count("*").alias("_n"), F.max("p").alias("_p"), F.min("_at").alias("_first"))
     order = Window.partitionBy("target_set").orderBy("_pid", "_first").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.withColumn("_off", F.coalesce(F.sum(F.col("_n") * F.col("_p")).over(order), F.lit(0.0))).select("target_set", "_pid", "category", "_first", "_off")
-    same = [placed.target_set == offsets.target_set, placed._pid == offsets._pid, placed.category.eqNullSafe(offsets.category)]
-    joined = placed.join(offsets, same).select(placed["*"], offsets._first, offsets._off)
-    return joined.withColumn("before", F.col("_off") + (F.col("_at") - F.col("_first")) * F.col("p"))
+    offsets = runs.withColumn("_off", F.coalesce(F.sum(F.col("_n") * F.col("_p")).over(order), F.lit(0.0))).select(F.col("target_set").alias("_set"), F.col("_pid").alias("_part"), F.col("category").alias("_cat"), "_first", "_off")
+    # one row for each partition and each category that begins in it: sent to the rows if that is few, else joined by shuffle
+    offsets = broadcast_if_small(cut(offsets))
+    same = (F.col("target_set") == F.col("_set")) & (F.col("_pid") == F.col("_part")) & F.col("category").eqNullSafe(F.col("_cat"))
+    joined = placed.join(offsets, same)
+    return joined.withColumn("before", F.col("_off") + (F.col("_at") - F.col("_first")) * F.col("p")).select(*keys, "p", "before")
 
 
 def quota_report(sample: DataFrame, report: DataFrame) -> DataFrame:

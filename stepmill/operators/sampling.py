@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepmill.functions.scores import seeded
+from stepmill.operators.ranking import position
 from stepmill.session import broadcast_if_small
 
 
@@ -38,14 +39,16 @@ def min_feasible_cap(counts: DataFrame, target: int, n: str = "n") -> DataFrame:
     )
     need = F.ceil((F.lit(target) - F.col("below")) / F.col("at_least"))
     fits = line.withColumn("cap", F.greatest(need, F.col("prev") + 1)).where(F.col("cap") <= F.col("n"))
-    return line.agg(F.max("n").alias("most")).crossJoin(fits.agg(F.min("cap").alias("least"))).select(F.coalesce("least", "most", F.lit(0)).cast("bigint").alias("cap"))
+    least = fits.agg(F.min("cap")).scalar()
+    return line.agg(F.max("n").alias("most")).select(F.coalesce(least, F.col("most"), F.lit(0)).cast("bigint").alias("cap"))
 
 
 def site_cap(counts: DataFrame, target: int, share: float = 0.05) -> DataFrame:
     """One row (cap): ``share`` of the target where that many rows can be had, else the least feasible cap."""
     soft = max(1, int(target * share))
     reach = counts.agg(F.coalesce(F.sum(F.least(F.col("n"), F.lit(soft))), F.lit(0)).alias("reach"))
-    return reach.crossJoin(min_feasible_cap(counts, target)).select(F.when(F.col("reach") >= target, F.lit(soft)).otherwise(F.col("cap")).cast("bigint").alias("cap"))
+    hard = min_feasible_cap(counts, target).scalar()
+    return reach.select(F.when(F.col("reach") >= target, F.lit(soft)).otherwise(hard).cast("bigint").alias("cap"))
 
 
 def capped_by_group(rows: DataFrame, group: str, key: str, target: int, seed: str) -> DataFrame:
@@ -54,9 +57,9 @@ def capped_by_group(rows: DataFrame, group: str, key: str, target: int, seed: st
     inside = Window.partitionBy(group).orderBy(seeded(F.col(key), seed), key)
     # no group gives more than target rows: this static limit is taken before the shuffle
     first = rows.withColumn("_rn", F.row_number().over(inside)).where(F.col("_rn") <= target)
-    capped = first.crossJoin(F.broadcast(site_cap(counts, target))).where(F.col("_rn") <= F.col("cap"))
+    capped = first.where(F.col("_rn") <= site_cap(counts, target).scalar())
     name = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    return capped.orderBy("_rn", seeded(name, seed, "site"), name).limit(target).drop("_rn", "cap")
+    return capped.orderBy("_rn", seeded(name, seed, "site"), name).limit(target).drop("_rn")
 
 
 def hold_out(rows: DataFrame, group: str, seed: str, share: float = 0.10) -> DataFrame:
@@ -66,9 +69,9 @@ def hold_out(rows: DataFrame, group: str, seed: str, share: float = 0.10) -> Dat
     moved; null groups take part as one.
     """
     names = rows.select(F.coalesce(F.col(group), F.lit("")).alias(group)).distinct()
-    total = names.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("int")).alias("k"))
-    order = Window.orderBy(seeded(F.col(group), seed), group)
-    return names.withColumn("_rn", F.row_number().over(order)).crossJoin(F.broadcast(total)).select(group, F.when(F.col("_rn") <= F.col("k"), "val").otherwise("train").alias("split"))
+    placed = position(names, [seeded(F.col(group), seed), group])
+    held = placed.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("int"))).scalar()
+    return placed.select(group, F.when(F.col("pos") < held, "val").otherwise("train").alias("split"))
 
 
 def with_split(rows: DataFrame, group: str, held: DataFrame) -> DataFrame:

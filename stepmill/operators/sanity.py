@@ -28,8 +28,8 @@ def checks(rows: DataFrame) -> DataFrame:
         F.count_if(bad).cast("double").alias("bad_candidates"),
         F.avg(shown.cast("int")).alias("gold_text_share"),
     )
-    places = histogram(rows).agg(F.min("share").alias("low"), F.max("share").alias("high"))
-    both = one.crossJoin(places)
+    places = histogram(rows).agg(F.struct(F.min("share").alias("low"), F.max("share").alias("high"))).scalar()
+    both = one.withColumn("places", places).select("*", "places.low", "places.high")
     band = F.coalesce((F.col("low") >= BAND[0]) & (F.col("high") <= BAND[1]), F.lit(False))
     oks = [("duplicate_ids", F.col("duplicate_ids"), F.col("duplicate_ids") == 0), ("bad_candidates", F.col("bad_candidates"), F.col("bad_candidates") == 0), ("gold_place_low", F.col("low"), band), ("gold_place_high", F.col("high"), band), ("gold_text_share", F.col("gold_text_share"), F.coalesce(F.col("gold_text_share") >= TEXT_SHARE, F.lit(False)))]
     everything = oks[0][2] & oks[1][2] & band & oks[4][2]
@@ -40,8 +40,8 @@ def checks(rows: DataFrame) -> DataFrame:
 def top_groups(rows: DataFrame, group: str, n: int = 5) -> DataFrame:
     """The ``n`` most frequent groups and the number of distinct ones; ties by name."""
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    distinct = counts.agg(F.count(group).alias("distinct_groups"))
-    return counts.where(F.col(group).isNotNull()).orderBy(F.desc("n"), group).limit(n).crossJoin(F.broadcast(distinct))
+    distinct = counts.agg(F.count(group)).scalar()
+    return counts.where(F.col(group).isNotNull()).orderBy(F.desc("n"), group).limit(n).withColumn("distinct_groups", distinct)
 
 
 def written_totals(rows: DataFrame, shard: str = "load_no") -> DataFrame:

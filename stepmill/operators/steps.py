@@ -44,12 +44,28 @@ def ranked_negatives(negs: DataFrame, step: str, item: str, pos: str, rank: str,
 
     ``negs`` has one row per negative; ``rank`` is null where none is known.
     Least rank first, ties in input order; a step without a single known rank
-    takes a seeded random order.  One shuffle by step serves both windows.
+    takes a seeded random order.  Both orders are cut at ``k`` before the
+    shuffle as well as after it (a rank, where there is one, comes first in
+    the one order, so a step without any is known by its first row), so a step
+    with a third of all negatives sends ``k`` rows from each task.  Ranks are
+    below NO_RANK.
     """
+    chance = seeded(F.concat_ws(":", step, item, pos), seed)
+    by_rank = Window.partitionBy(step).orderBy(F.coalesce(rank, F.lit(NO_RANK)), pos, item)
+    by_chance = Window.partitionBy(step).orderBy(chance, pos, item)
+    first = negs.withColumn("rn", F.row_number().over(by_rank)).where(F.col("rn") <= k).withColumn("by_rank", F.lit(True))
+    drawn = negs.withColumn("rn", F.row_number().over(by_chance)).where(F.col("rn") <= k).withColumn("by_rank", F.lit(False))
+    both = first.unionByName(drawn)
+    known = F.max((F.col("by_rank") & F.col(rank).isNotNull() & (F.col("rn") == 1)).cast("int")).over(Window.partitionBy(step)) > 0
+    return both.withColumn("_known", known).where(F.col("by_rank") == F.col("_known")).drop("_known")
+
+
+def ordered_negatives(negs: DataFrame, step: str, item: str, pos: str, rank: str, seed: str) -> DataFrame:
+    """All negatives of every step with their place ``rn`` in the same order, and ``by_rank``."""
     known = F.max(F.col(rank).isNotNull().cast("int")).over(Window.partitionBy(step)) > 0
     chance = seeded(F.concat_ws(":", step, item, pos), seed)
     order = Window.partitionBy(step).orderBy(F.when(known, F.coalesce(rank, F.lit(NO_RANK)).cast("double")).otherwise(0.0), F.when(~known, chance), pos, item)
-    return negs.withColumn("by_rank", known).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return negs.withColumn("by_rank", known).withColumn("rn", F.row_number().over(order))
 
 
 def random_negatives(negs: DataFrame, step: str, item: str, pos: str, seed: str, k: int = NEGATIVES) -> DataFrame:
@@ -104,7 +120,7 @@ def build_rows(steps: DataFrame, ranks: DataFrame, nodes: DataFrame, seed: str =
     negs = steps.select("step_key", F.posexplode("negs").alias("pos", "c")).select("step_key", "pos", F.col("c.backend_node_id").alias("node"), F.col("c").alias("raw"))
     ranked_in = negs.join(ranks.select("step_key", F.col("backend_node_id").alias("node"), "rank"), ["step_key", "node"], "left")
     first_node = nodes.groupBy("step_key", F.col("backend_node_id").alias("node")).agg(F.min_by(F.struct(F.lit(0).alias("idx"), "tag", "role", "text", "attrs"), "pos").alias("shown"))
-    every = ranked_negatives(ranked_in, "step_key", "node", "pos", "rank", seed, k=2**31 - 1).withColumnRenamed("rn", "base_rn")
+    every = ordered_negatives(ranked_in, "step_key", "node", "pos", "rank", seed).withColumnRenamed("rn", "base_rn")
     chance = Window.partitionBy("step_key").orderBy(seeded(F.concat_ws(":", "step_key", "node", "pos"), f"{seed}-aug"), "pos")
     every = every.withColumn("aug_rn", F.row_number().over(chance)).join(first_node, ["step_key", "node"], "left")
     # negatives equal to a chosen one are not in the pool either

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepmill.functions.html import page_nodes
 from stepmill.functions.scores import seeded
 from stepmill.functions.text import clean_value, site_of, value_overlap
+from stepmill.operators.ranking import position
 from stepmill.operators.steps import shuffle_place
 
 # Recorded action types and the operations they stand for.
@@ -34,14 +35,29 @@ def action_label() -> Column:
     return F.concat(F.lit("["), kind, F.lit("] "), F.substring(F.coalesce(typed, path), 1, 40), F.lit(" -> "), F.coalesce(operation_of(F.col("action_type")), F.lit("None")))
 
 
-def with_history(actions: DataFrame, last: int = 5, tiebreak: tuple[str, ...] = ("logged_at", "source_step_id")) -> DataFrame:
+def with_history(actions: DataFrame, last: int = 5, tiebreak: tuple[str, ...] = ("logged_at", "source_step_id"), hot: int = 200_000) -> DataFrame:
     """``actions`` with ``previous_actions``: the labels of the ``last`` actions before each, oldest first.
 
-    All actions count, eligible or not.  The frame is bounded, so a trace is
-    sorted once and streamed; a very long one never sits in memory.
+    All actions count, eligible or not.  A trace of ordinary length is one
+    window with a bounded frame.  Traces of more than ``hot`` actions are laid
+    along one order and cut into blocks, each with the ``last`` rows before
+    it, so that none of them is one task's work.
     """
-    order = Window.partitionBy("trace_uid").orderBy("source_step_index", *tiebreak).rowsBetween(-last, -1)
-    return actions.withColumn("previous_actions", F.collect_list(action_label()).over(order))
+    order = ("source_step_index", *tiebreak)
+    label = action_label()
+    sizes = actions.groupBy("trace_uid").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("trace_uid")
+    long = [r.trace_uid for r in sizes.limit(10_000).collect()]
+    plain = Window.partitionBy("trace_uid").orderBy(*order).rowsBetween(-last, -1)
+    if not long:
+        return actions.withColumn("previous_actions", F.collect_list(label).over(plain))
+    hit = F.coalesce(F.col("trace_uid").isin([t for t in long if t is not None]), F.lit(None in long))
+    short = actions.where(~hit).withColumn("previous_actions", F.collect_list(label).over(plain))
+    laid = position(actions.where(hit), ["trace_uid", *order])
+    inside = laid.withColumn("_block", F.floor(F.col("pos") / hot)).withColumn("_lead", F.lit(False))
+    lead = inside.where(F.col("pos") % hot >= hot - last).withColumn("_block", F.col("_block") + 1).withColumn("_lead", F.lit(True))
+    block = Window.partitionBy("trace_uid", "_block").orderBy("pos").rowsBetween(-last, -1)
+    blocks = inside.unionByName(lead).withColumn("previous_actions", F.collect_list(label).over(block)).where(~F.col("_lead"))
+    return short.unionByName(blocks.drop("pos", "_block", "_lead"))
 
 
 def unique_traces(traces: DataFrame) -> DataFrame:

@@ -278,7 +278,7 @@ def hardest_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {_RANKED}, f as (select *, row_number() over (partition by step order by (rn > 9)::int, case when rn <= 9 then rn else pos end) as slot from rk where usable)
     select step, node, slot::int as slot from f where slot <= 9""")
 def refill_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    every = steps.ranked_negatives(_order_pool(spark, folder), "step", "node", "pos", "rank", "7", k=2**31 - 1)
+    every = steps.ordered_negatives(_order_pool(spark, folder), "step", "node", "pos", "rank", "7")
     return steps.refill(every, "step", "pos", F.col("usable")).select("step", "node", "slot")
 
 
@@ -333,7 +333,7 @@ _CAP = """cnt as (select coalesce(website, '') as website, count(*) as n from ro
 @query(f"with {_ROWS}, {_CAP} select cap.cap::bigint as site_cap, feas.cap::bigint as feasible_cap from cap, feas")
 def min_feasible_cap(spark: SparkSession, folder: str) -> DataFrame:
     counts = rows_of(spark, folder).groupBy(F.coalesce("website", F.lit("")).alias("website")).agg(F.count("*").alias("n"))
-    return sampling.site_cap(counts, 500).withColumnRenamed("cap", "site_cap").crossJoin(sampling.min_feasible_cap(counts, 500).withColumnRenamed("cap", "feasible_cap"))
+    return sampling.site_cap(counts, 500).select(F.col("cap").alias("site_cap"), sampling.min_feasible_cap(counts, 500).scalar().alias("feasible_cap"))
 
 
 @query(f"""

@@ -191,6 +191,14 @@ def test_traces_to_rows(spark):
     assert {(r.skip_reason, r.n) for r in steps.skip_counts(asked).collect()} == {("written", 6), ("not_eligible", 2), ("no_goal", 1)}
 
 
+def test_hot_traces_get_the_same_history(spark):
+    log = [("hot" if i % 4 else f"t{i % 8}", i // 2, f"s{i:04d}", "click", True, "a", "p", f"v{i}", None, None, None) for i in range(900)]
+    df = spark.createDataFrame(log, LOG)
+    one = {(r.trace_uid, r.source_step_id): r.previous_actions for r in traces.with_history(df).collect()}
+    two = {(r.trace_uid, r.source_step_id): r.previous_actions for r in traces.with_history(df.repartition(6), hot=50).collect()}
+    assert one == two and len(one) == 900
+
+
 def test_sources_round_trip(spark, tmp_path):
     rows = _eval(spark, 4).withColumn("goal", F.lit("a b\u0085é"))
     files.write_ascii_json(rows, f"{tmp_path}/a")

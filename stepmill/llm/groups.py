@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepmill.operators.ranking import running_sum
 from stepmill.session import broadcast_if_small, cut
 
 _BLANKS = r"(?U)^\s+|\s+$"
@@ -160,23 +161,6 @@ def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000) -> D
     return placed.where("grp <> ''").unionAll(dealt)
 
 
-def running_sum(df: DataFrame, order: list, of: str) -> DataFrame:
-    """``df`` with ``upto``: the sum of ``of`` up to and including each row in ``order``.
-
-    The rows are range-partitioned once and written; the sums of the
-    partitions, one number each, are added up in a window over that many rows,
-    and a window inside each partition gives the rest.
-    """
-    named = [(f"_k{i}", c if isinstance(c, Column) else F.col(c)) for i, c in enumerate(order)]
-    keyed = df.select("*", *[c.alias(n) for n, c in named])
-    keys = [n for n, _ in named]
-    laid = cut(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
-    sums = laid.groupBy("_pid").agg(F.sum(of).alias("_part"))
-    before = sums.select("_pid", F.coalesce(F.sum("_part").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    return laid.withColumn("_in", F.sum(of).over(inside)).join(F.broadcast(before), "_pid").withColumn("upto", F.col("_in") + F.col("_before")).drop("_pid", "_in", "_before", *keys)
-
-
 def split_report(records: DataFrame, assigned: DataFrame, shares: DataFrame) -> DataFrame:
     """(split, label, wanted_pct, n, pct_of_label): how near every split comes to its share, overall (label null) and by label."""
     each = records.join(assigned, "grp").groupBy("split", "label").agg(F.count("*").alias("n"))

@@ -46,12 +46,18 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens int")
 
 
-def pieces(sizes: DataFrame, windows: DataFrame) -> DataFrame:
+def pieces(sizes: DataFrame, windows: DataFrame, most: int = 1000) -> DataFrame:
     """(window_name, capacity, doc_id, piece, start_token, size): a text longer than the capacity is cut into full pieces and a rest.
 
-    The windows are a handful of rows; texts of 0 tokens need no room and give no piece.
+    The windows are a handful of rows (at most ``most``); texts of 0 tokens need no room and give no piece.
     """
-    wide = sizes.where("n_tokens > 0").crossJoin(F.broadcast(windows.select("window_name", F.col("capacity_tokens").alias("capacity")).where("capacity > 0")))
+    caps = windows.select("window_name", F.col("capacity_tokens").alias("capacity")).where("capacity > 0").distinct().limit(most + 1).collect()
+    if len(caps) > most:
+        raise ValueError(f"more than {most} windows")
+    each = F.array(*[F.struct(F.lit(c.window_name).alias("window_name"), F.lit(c.capacity).alias("capacity")) for c in sorted(caps)])
+    if not caps:
+        each = F.array().cast("array<struct<window_name:string,capacity:int>>")
+    wide = sizes.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(each).alias("w")).select("doc_id", "n_tokens", "w.*")
     cutting = wide.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("cast((n_tokens - 1) div capacity as int)"))))
     start = F.col("piece") * F.col("capacity")
     return cutting.select("window_name", "capacity", "doc_id", "piece", start.alias("start_token"), F.least(F.col("capacity"), F.col("n_tokens") - start).alias("size"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stepmill.functions.schema import LABELS, OPERATIONS, PREDICTION
 from stepmill.functions.scores import first_argmax, softmax, total, uniform
 from stepmill.functions.text import candidate_tokens, overlap, query_tokens
+from stepmill.session import spread
 
 #: A predictor takes one row (a dict without labels) and gives
 #: {"element_probs": [10], "operation_probs": {...}, optional "latency_ms", "usage"}.
@@ -66,9 +67,10 @@ def lexical_operation(cand: Column) -> Column:
 
 def predict_lexical(rows: DataFrame) -> DataFrame:
     """Softmax of the tokens each candidate shares with goal and last action; operation from the best one's tag and role."""
-    asked = rows.select("id", "candidates", query_tokens(F.col("goal"), F.col("previous_actions")).alias("q"))
-    scores = F.transform("candidates", lambda c: overlap(F.col("q"), candidate_tokens(c)).cast("double"))
-    scored = asked.select("id", "candidates", scores.alias("s"))
+    # the asked tokens are bound once for each row, not worked out again for each candidate
+    asked = F.array(query_tokens(F.col("goal"), F.col("previous_actions")))
+    scores = F.get(F.transform(asked, lambda q: F.transform("candidates", lambda c: overlap(q, candidate_tokens(c)).cast("double"))), F.lit(0))
+    scored = rows.select("id", "candidates", scores.alias("s"))
     op = lexical_operation(F.get("candidates", first_argmax(F.col("s"))))
     done = scored.select("id", softmax(F.col("s")).alias("p"), op.alias("op"))
     return _out(done, F.col("p"), _operations([F.when(F.col("op") == o, 0.7).otherwise(0.15) for o in OPERATIONS]))
@@ -102,7 +104,7 @@ def predict(name: str, rows: DataFrame) -> DataFrame:
                 out.append((row["id"], [float(p) for p in got["element_probs"]], dict(got["operation_probs"]), float(got.get("latency_ms", spent)), got.get("usage")))
             yield pd.DataFrame(out, columns=PREDICTION.names)
 
-    return seen.mapInPandas(run, PREDICTION)
+    return spread(seen).mapInPandas(run, PREDICTION)
 
 
 def order_ensemble(forward: DataFrame, backward: DataFrame, both_operations: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from stepmill.functions import scores, text
 from stepmill.functions.html import page_nodes
 from stepmill.functions.schema import ATTRS, OPERATIONS
 from stepmill.operators import predict, records, sampling, sanity, scoring, steps, traces
+from stepmill.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -454,7 +455,7 @@ def dom_nodes(spark: SparkSession, folder: str) -> DataFrame:
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     one = lambda c: F.concat(F.lit("<"), c.getField("tag"), F.lit(' backend_node_id="'), c.getField("idx").cast("string"), F.lit('" role="'), esc(c.getField("role")), F.lit('">'), esc(c.getField("text")), F.lit("</"), c.getField("tag"), F.lit(">"))
     pages = rows_of(spark, folder).select("id", F.concat(F.lit("<div>"), F.array_join(F.transform("candidates", one), ""), F.lit("</div>")).alias("html"))
-    return pages.select("id", F.explode(page_nodes(F.col("html"))).alias("n")).select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
+    return spread(pages).select("id", F.explode(page_nodes(F.col("html"))).alias("n")).select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
 
 
 @query(f"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,30 @@ def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     bound is joined by shuffle.
     """
     return F.broadcast(df) if rows_at_most(df, limit) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is heavy for each row.
+
+    Small inputs often come in one file; large ones have many partitions and
+    stay as they are, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that their Python can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stepmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="stepmill-code-"), "stepmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("stepmill", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._stepmill_shipped = True

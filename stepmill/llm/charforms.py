@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepmill.session import spread
+
 #: Bits of the kinds of unusual characters found in a text.
 INVISIBLE, BLANK, WIDTH, ACCENT, SCRIPT = 1, 2, 4, 8, 16
 
@@ -155,7 +157,14 @@ WIDE_SIGNS = {cp: chr(cp - 0xFEE0) for cp in range(0xFF01, 0xFF5F) if cp not in
 
 
 def _class(chars) -> str:
-    return "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+    """A pattern class with neighbours as ranges: classes with many single astral characters are searched slowly."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]"
 
 
 _INVISIBLE_RE = re.compile(_class(INVISIBLES))
@@ -423,7 +432,7 @@ def unify(texts: DataFrame) -> DataFrame:
 def unusual(texts: DataFrame) -> DataFrame:
     """The distinct (id, field, idx, canonical, kinds) of texts not written in their ordinary characters."""
     odd = texts.where(suspect(F.col("text")))
-    short = odd.where(F.col("field") != "state").withColumn("r", canonical_form(F.col("text")))
-    states = odd.where(F.col("field") == "state").withColumn("r", canonical_form(F.col("text"), state=True))
+    short = spread(odd.where(F.col("field") != "state")).withColumn("r", canonical_form(F.col("text")))
+    states = spread(odd.where(F.col("field") == "state")).withColumn("r", canonical_form(F.col("text"), state=True))
     cases = short.unionAll(states).select("id", "field", "idx", "r.canonical", "r.kinds").where("kinds > 0")
     return cases.dropDuplicates(["id", "field", "idx"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepmill.llm.charforms import _NEAR, _PROTO, FORMS, INVISIBLES, LATIN_VARIANTS
-from stepmill.session import rows_at_most
+from stepmill.session import rows_at_most, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _HAN = re.compile("[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -205,4 +205,4 @@ def _scan(documents: DataFrame, held: list[tuple[int, str]], min_words: int, min
                     rows += [(doc, *x) for x in leaks_in(auto, has_words, has_chars, text)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_pos", "end_pos"]).astype({"doc_id": "Int64", "item_id": "int64", "start_pos": "int32", "end_pos": "int32"})
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(run, SCHEMA)
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(run, SCHEMA)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepmill.session import cut
+from stepmill.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Split of a text before byte pairs are merged: the pattern published with the vocabulary.
@@ -43,7 +43,7 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             sizes = [len(enc.encode_ordinary(t)) if t is not None else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": pd.Series(sizes, dtype="int32")})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, n_tokens int")
 
 
 def pieces(sizes: DataFrame, windows: DataFrame, most: int = 1000) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepmill.session import rows_at_most
+from stepmill.session import rows_at_most, spread
 
 _EOL = "\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 _LINE = re.compile(f"(?:{_EOL})")
@@ -350,4 +350,4 @@ def split_sentences(documents: DataFrame, names: frozenset[str] = frozenset()) -
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "start_pos": pd.Series(starts, dtype="int32"), "end_pos": pd.Series(ends, dtype="int32")})
 
     kept = documents.select("doc_id", "text").where("text is not null")
-    return kept.mapInPandas(run, SCHEMA)
+    return spread(kept).mapInPandas(run, SCHEMA)

@@ -13,10 +13,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stepmill.functions.schema import ATTRS_TYPE
 
@@ -223,10 +224,15 @@ def parse(page: str | bytes | None, selectors: tuple[str, ...] = (), limit: int
 def page_nodes(html: Column, selector: Column | None = None) -> Column:
     """Array of the nodes of a page; with a selector, matches holds 0 for its hits and 1 for interactive elements."""
 
-    @F.pandas_udf(T.ArrayType(NODE))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(NODE))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = to_arrow_type(T.ArrayType(NODE))
         names = NODE.names
         for pages, chosen in batches:
-            yield pd.Series([[dict(zip(names, (*n[:6], dict(zip(ATTRS_TYPE.names, n[6], strict=True)), n[7]), strict=True)) for n in parse(p, (s or "", INTERACTIVE))] for p, s in zip(pages, chosen, strict=True)])
+            rows = []
+            for page, selectors in zip(pages.to_pylist(), chosen.to_pylist(), strict=True):
+                found = parse(page, (selectors or "", INTERACTIVE))
+                rows.append([dict(zip(names, (*n[:6], dict(zip(ATTRS_TYPE.names, n[6], strict=True)), n[7]), strict=True)) for n in found])
+            yield pa.array(rows, type=kind)
 
     return run(html, selector if selector is not None else F.lit(None).cast("string"))

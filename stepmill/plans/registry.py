@@ -11,7 +11,6 @@ from stepmill.functions import scores, text
 from stepmill.functions.html import page_nodes
 from stepmill.functions.schema import ATTRS, OPERATIONS
 from stepmill.operators import predict, records, sampling, sanity, scoring, steps, traces
-from stepmill.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,9 +32,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def rows_of(spark: SparkSession, folder: str) -> DataFrame:
-    """The eval rows, one for each id, candidates in the order of ``idx``."""
-    rows = scoring.unique_rows(read(spark, folder, "eval_rows"))
+def rows_of(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The id and the named columns of the eval rows, one row for each id, candidates in the order of ``idx``.
+
+    Only these columns are read and shuffled.
+    """
+    rows = scoring.unique_rows(read(spark, folder, "eval_rows").select("id", *columns, "load_no", "added_at")).drop("load_no", "added_at")
+    if "candidates" not in columns:
+        return rows
     return rows.withColumn("candidates", F.array_sort("candidates", lambda a, b: a.getField("idx") - b.getField("idx")))
 
 
@@ -102,7 +106,7 @@ _SCORED = f"""
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.per_row(rows_of(spark, folder), scoring.unique_predictions(read(spark, folder, "predictions")))
+    return scoring.per_row(rows_of(spark, folder, "split", "website", "gold_idx", "operation"), scoring.unique_predictions(read(spark, folder, "predictions")))
 
 
 @query(f"with {_SCORED} select id, split, pred_idx, gold_idx, pred_op, gold_op, ec as element_correct, oc as operation_correct, ec and oc as step_success, round(brier, 9) as brier, list_max(ep) as top_prob, latency_ms from sc")
@@ -162,13 +166,13 @@ _LEX = f"""
 
 @query(f"with {_LEX} select * from lx")
 def lexical_predict(spark: SparkSession, folder: str) -> DataFrame:
-    got = predict.predict("lexical", rows_of(spark, folder))
+    got = predict.predict("lexical", rows_of(spark, folder, "goal", "previous_actions", "candidates"))
     return got.select("id", scores.first_argmax(F.col("element_probs")).alias("pred_idx"), F.round(F.array_max("element_probs"), 6).alias("top_prob"), scores.pick(OPERATIONS, scores.first_argmax(scores.by_keys(F.col("operation_probs"), OPERATIONS))).alias("pred_op"))
 
 
 @query(f"with {_ROWS} select id, 0 as pred_idx, 'CLICK' as pred_op, 1.0::double as top_prob from rows1")
 def first_predict(spark: SparkSession, folder: str) -> DataFrame:
-    got = predict.predict("first", rows_of(spark, folder))
+    got = predict.predict("first", rows_of(spark, folder, "candidates"))
     return got.select("id", scores.first_argmax(F.col("element_probs")).alias("pred_idx"), scores.pick(OPERATIONS, scores.first_argmax(scores.by_keys(F.col("operation_probs"), OPERATIONS))).alias("pred_op"), F.array_max("element_probs").alias("top_prob"))
 
 
@@ -185,7 +189,7 @@ def random_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = rows_of(spark, folder)
+    rows = rows_of(spark, folder, "split", "website", "goal", "previous_actions", "candidates", "gold_idx", "operation")
     done = None
     for name in predict.NATIVE:
         one = scoring.per_row(rows, predict.predict(name, rows)).withColumn("adapter", F.lit(name))
@@ -295,7 +299,7 @@ def random_negatives(spark: SparkSession, folder: str) -> DataFrame:
     select id, (list_position(list_transform(o, lambda x: x.i), 0) - 1)::int as gold_idx, array_to_string(list_transform(o, lambda x: coalesce(x.t, '')), '|') as texts from o
 """)
 def augmented_variants(spark: SparkSession, folder: str) -> DataFrame:
-    rows = steps.variants(rows_of(spark, folder).where("gold_idx is not null"))
+    rows = steps.variants(rows_of(spark, folder, "candidates", "gold_idx").where("gold_idx is not null"))
     gold = F.get("candidates", F.col("gold_idx"))
     items = F.concat(F.array(gold), F.filter("candidates", lambda c: c.getField("idx") != F.col("gold_idx")))
     placed, at = steps.shuffle_place(F.col("items"), F.col("id"), "7")
@@ -311,7 +315,7 @@ _VTOK = "list_distinct(regexp_extract_all(lower(concat_ws(' ', c.text, " + ", ".
     select id, idx, score, rn::int as rn from (select *, row_number() over (partition by id order by score desc, md5('7:' || id || ':' || idx || ':negs')) as rn from s) where rn <= 3
 """)
 def token_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
-    pool = rows_of(spark, folder).select("id", "goal", F.explode("candidates").alias("c"))
+    pool = rows_of(spark, folder, "goal", "candidates").select("id", "goal", F.explode("candidates").alias("c"))
     top = traces.hardest_by_overlap(pool, "id", F.col("goal"), F.col("c"), F.concat_ws(":", "id", "c.idx"), "7", k=3)
     return top.select("id", "c.idx", "score", "rn")
 
@@ -322,7 +326,7 @@ def token_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
     select id, split, gold_idx from o where place <= 25
 """)
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.round_robin(rows_of(spark, folder), "split", "gold_idx", "id", 25, "3").select("id", "split", "gold_idx")
+    return sampling.round_robin(rows_of(spark, folder, "split", "gold_idx"), "split", "gold_idx", "id", 25, "3").select("id", "split", "gold_idx")
 
 
 _CAP = """cnt as (select coalesce(website, '') as website, count(*) as n from rows1 group by 1),
@@ -333,7 +337,7 @@ _CAP = """cnt as (select coalesce(website, '') as website, count(*) as n from ro
 
 @query(f"with {_ROWS}, {_CAP} select cap.cap::bigint as site_cap, feas.cap::bigint as feasible_cap from cap, feas")
 def min_feasible_cap(spark: SparkSession, folder: str) -> DataFrame:
-    counts = rows_of(spark, folder).groupBy(F.coalesce("website", F.lit("")).alias("website")).agg(F.count("*").alias("n"))
+    counts = rows_of(spark, folder, "website").groupBy(F.coalesce("website", F.lit("")).alias("website")).agg(F.count("*").alias("n"))
     return sampling.site_cap(counts, 500).select(F.col("cap").alias("site_cap"), sampling.min_feasible_cap(counts, 500).scalar().alias("feasible_cap"))
 
 
@@ -342,7 +346,7 @@ def min_feasible_cap(spark: SparkSession, folder: str) -> DataFrame:
     select id, website from r, cap where rn <= cap.cap order by rn, md5('5:' || website || ':site'), website limit 500
 """)
 def capped_site_sample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = rows_of(spark, folder).withColumn("website", F.coalesce("website", F.lit("")))
+    rows = rows_of(spark, folder, "website").withColumn("website", F.coalesce("website", F.lit("")))
     return sampling.capped_by_group(rows, "website", "id", 500, "5").select("id", "website")
 
 
@@ -374,7 +378,7 @@ def mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_ROWS}, c as (select gold_idx, count(*) as n from rows1 where gold_idx between 0 and 9 group by 1), f as (select b::int as bucket, coalesce(n, 0)::bigint as n from range(10) t(b) left join c on c.gold_idx = b) select bucket, n, round(n / sum(n) over (), 6) as share from f")
 def gold_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(scoring.histogram(rows_of(spark, folder)))
+    return rounded(scoring.histogram(rows_of(spark, folder, "gold_idx")))
 
 
 @query("""
@@ -390,12 +394,12 @@ def sanity_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_ROWS} select operation, count(*)::bigint as n from rows1 group by 1")
 def operation_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return rows_of(spark, folder).groupBy("operation").agg(F.count("*").alias("n"))
+    return rows_of(spark, folder, "operation").groupBy("operation").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_ROWS}, c as (select website, count(*)::bigint as n from rows1 where website is not null group by 1) select website, n, (select count(*) from c)::bigint as distinct_groups from c order by n desc, website limit 5")
 def top_sites(spark: SparkSession, folder: str) -> DataFrame:
-    return sanity.top_groups(rows_of(spark, folder), "website")
+    return sanity.top_groups(rows_of(spark, folder, "website"), "website")
 
 
 @query("select grouping_id(s, load_no)::int as level, s as split, load_no as shard, count(*)::bigint as n, count(distinct _annotation_id)::bigint as tasks from (select *, coalesce(split, '') as s from eval_rows) group by rollup (s, load_no)")
@@ -416,18 +420,18 @@ def record_faults(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def render_states(spark: SparkSession, folder: str) -> DataFrame:
-    rows = rows_of(spark, folder)
+    rows = rows_of(spark, folder, "goal", "website", "domain", "previous_actions", "candidates")
     return rows.select("id", text.render_state(F.col("goal"), F.col("website"), F.col("domain"), F.col("previous_actions"), F.col("candidates")).alias("state"))
 
 
 @query()
 def training_records(spark: SparkSession, folder: str) -> DataFrame:
-    return records.training_records(rows_of(spark, folder))
+    return records.training_records(rows_of(spark, folder, "goal", "previous_actions", "candidates", "gold_idx", "operation"))
 
 
 @query()
 def decision_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return records.decision_requests(rows_of(spark, folder), "b")
+    return records.decision_requests(rows_of(spark, folder, "goal", "website", "domain", "previous_actions", "candidates"), "b")
 
 
 @query("""
@@ -454,8 +458,8 @@ def dom_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Every row's candidates written as a page and parsed again."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     one = lambda c: F.concat(F.lit("<"), c.getField("tag"), F.lit(' backend_node_id="'), c.getField("idx").cast("string"), F.lit('" role="'), esc(c.getField("role")), F.lit('">'), esc(c.getField("text")), F.lit("</"), c.getField("tag"), F.lit(">"))
-    pages = rows_of(spark, folder).select("id", F.concat(F.lit("<div>"), F.array_join(F.transform("candidates", one), ""), F.lit("</div>")).alias("html"))
-    return spread(pages).select("id", F.explode(page_nodes(F.col("html"))).alias("n")).select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
+    pages = rows_of(spark, folder, "candidates").select("id", F.concat(F.lit("<div>"), F.array_join(F.transform("candidates", one), ""), F.lit("</div>")).alias("html"))
+    return pages.select("id", F.explode(page_nodes(F.col("html"))).alias("n")).select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
 
 
 @query(f"""
@@ -463,12 +467,12 @@ def dom_nodes(spark: SparkSession, folder: str) -> DataFrame:
     select id, c.idx as idx, c.tag as tag, c.text as text, c.idx = gold_idx as is_gold, c.idx = pred_idx as is_pred from r
 """)
 def suspect_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.suspect_rows(rows_of(spark, folder), _scored(spark, folder))
+    return scoring.suspect_rows(rows_of(spark, folder, "candidates"), _scored(spark, folder))
 
 
 @query(f"with {_ROWS} select id, goal from rows1 order by md5('17:' || id), id limit 5")
 def example_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.examples(rows_of(spark, folder), "id", 5, "17").select("id", "goal")
+    return sampling.examples(rows_of(spark, folder, "goal"), "id", 5, "17").select("id", "goal")
 
 
 @query("""

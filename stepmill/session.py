@@ -58,7 +58,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that is heavy for each row.
 
     Small inputs often come in one file; large ones have many partitions and
-    stay as they are, so nothing is shuffled there.
+    stay as they are, so nothing is shuffled there.  Meant for plans without a
+    shuffle so far: counting the partitions of others would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

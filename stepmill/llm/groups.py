@@ -111,7 +111,8 @@ def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000) -> D
     deviation from the wanted counts per split and label grows least.  All
     smaller groups are ordered by main label and hash and laid along a running
     sum, cut where the room left in each split ends; each cut errs by less
-    than one small group.
+    than one small group.  No records give no assignment; null labels are a
+    label of their own; no shares are an error.
     """
     spark = records.sparkSession
     wanted = {r.split: float(r.share_pct) for r in shares.orderBy("split").collect() if r.split is not None}

@@ -223,7 +223,9 @@ def request_overlaps(rows: DataFrame) -> DataFrame:
 
     ``exact`` is true where the goals agree word for word in canonical form.
     Requests are compared once per distinct goal and key; the pairs of tasks
-    that the result asks for are made only in the last join.
+    that the result asks for are made only in the last join.  Null and blank
+    goals, goals without a word, null tasks and other splits have no overlaps;
+    a task is never its own partner.
     """
     goals = cut(task_goals(rows))
     keys = cut(request_keys(goals))

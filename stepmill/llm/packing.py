@@ -141,7 +141,8 @@ def pack(items: DataFrame, per_partition: int = 20_000, rounds: int = 4, slack:
     never moved.  In each round the containers of uncertified partitions with
     more than ``slack`` of the capacity free, and any that are not half full,
     hand their items on; the pool, much smaller, is packed again in as many
-    partitions as it needs, at last in one.
+    partitions as it needs, at last in one.  Equal sizes are taken in order of
+    the ids; no items give no containers.
     """
     full = items.where("size = capacity").select(
         "window_name", "doc_id", "piece", "start_token", "size",

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from stepmill.llm import charforms, groups, leaks, overlap, packing, permanent, quota, sentences
 from stepmill.session import cut
 
-#: Most distinct site names that p8 sends to the executors.
-MOST_NAMES = 100_000
-
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -133,8 +130,7 @@ def p7_stretches(spark: SparkSession, folder: str) -> DataFrame:
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every document."""
     documents = _read(spark, folder, "documents")
-    names = sentences.small_letter_names(documents.select("website"), MOST_NAMES)
-    return sentences.split_sentences(documents, names)
+    return sentences.split_sentences(documents, sentences.small_letter_names(documents))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

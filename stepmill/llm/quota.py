@@ -77,8 +77,10 @@ def draw(rows: DataFrame, targets: DataFrame, seed: str = "stepmill") -> tuple[D
     """(sample, report) for ``targets``; sample has (target_set, id, category, topped_up).
 
     Ids whose category has no target share what the targets leave of the
-    sample's size.  A category with fewer ids than asked is taken whole.  The
-    same rows and seed give the same sample on any partitioning.
+    sample's size.  A category with fewer ids than asked is taken whole.  Rows
+    with a null id take no part; an id with a null value belongs to no
+    category; no rows give an empty sample and every minimum unmet.  The same
+    rows and seed give the same sample on any partitioning.
     """
     each, report = plan(rows, targets)
     goals = report.collect()

@@ -323,31 +323,47 @@ def sentence_spans(text: str | None, names: frozenset[str] = frozenset()) -> lis
 SCHEMA = "doc_id bigint, start_pos int, end_pos int"
 
 
-def small_letter_names(sites: DataFrame, most: int) -> frozenset[str]:
-    """The distinct names of the column ``website`` that begin with a small letter, checked to be at most ``most``."""
+def small_letter_names(sites: DataFrame) -> DataFrame:
+    """(name): the distinct values of the column ``website`` that begin with a small letter, without a leading ``www.``."""
     plain = F.regexp_replace(F.trim("website"), r"^(?i)www\.", "")
-    names = sites.select(plain.alias("n")).where(F.col("n").rlike("^[a-z][\\w.-]+$")).distinct()
-    if not rows_at_most(names, most):
-        raise ValueError(f"more than {most} site names; join them to the documents and pass each its own")
-    return frozenset(r.n for r in names.collect())
+    return sites.select(plain.alias("name")).where(F.col("name").rlike("^[a-z][\\w.-]+$")).distinct()
 
 
-def split_sentences(documents: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
+def _with_names(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """``documents`` with those of the names that follow a mark in each, by joins: for more names than one set should hold."""
+    after = F.regexp_extract_all("text", F.lit(r"(?U)[.!?\u2026]\S{0,3}\s+([a-z][\w.-]*\w)"), F.lit(1))
+    words = documents.select("doc_id", F.explode(F.array_distinct(after)).alias("name"))
+    held = words.join(names, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    return documents.join(held, "doc_id", "left")
+
+
+def split_sentences(documents: DataFrame, names: DataFrame | None = None, most: int = 100_000) -> DataFrame:
     """(doc_id, start_pos, end_pos): one row per sentence of ``documents`` (doc_id, text).
 
-    Positions count Unicode characters.  The documents are only mapped, never
-    shuffled, so neither long texts nor hot sources gather anywhere.
+    Positions count Unicode characters.  ``names`` (name) are names in small
+    letters that may begin a sentence: up to ``most`` are sent to the
+    executors, and the documents are then only mapped, never shuffled; more
+    are joined to the documents that use them.  Null, empty and blank texts
+    have no sentences.
     """
+    kept = documents.select("doc_id", "text").where("text is not null")
+    known: frozenset[str] = frozenset()
+    if names is not None and rows_at_most(names, most):
+        known = frozenset(r.name for r in names.collect())
+    elif names is not None:
+        kept = _with_names(kept, names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, starts, ends = [], [], []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for a, b in sentence_spans(text, names):
+            own = batch["names"] if "names" in batch else [known] * len(batch)
+            for doc, text, few in zip(batch["doc_id"], batch["text"], own, strict=True):
+                for a, b in sentence_spans(text, known if few is None else frozenset(few)):
                     ids.append(doc)
                     starts.append(a)
                     ends.append(b)
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "start_pos": pd.Series(starts, dtype="int32"), "end_pos": pd.Series(ends, dtype="int32")})
 
-    kept = documents.select("doc_id", "text").where("text is not null")
-    return spread(kept).mapInPandas(run, SCHEMA)
+    if "names" not in kept.columns:
+        kept = spread(kept)
+    return kept.mapInPandas(run, SCHEMA)

@@ -69,4 +69,8 @@ def test_table(spark):
     assert got == [(0, 0, 8), (1, 0, 6), (1, 0, 6), (1, 7, 13), (1, 7, 13)]
     assert s.split_sentences(docs.limit(0)).count() == 0
     sites = spark.createDataFrame([("www.ab.c ",), ("AB",), (None,), ("ab",)], "website string")
-    assert s.small_letter_names(sites, 10) == {"ab.c", "ab"}
+    names = s.small_letter_names(sites)
+    assert {r.name for r in names.collect()} == {"ab.c", "ab"}
+    more = spark.createDataFrame([(1, "It sells lamps, etc. ab asks. At 9 a.m. ab.c asks. So etc. it."), (2, "He said “Pay?” ab asks."), (3, "None."), (None, "x")], "doc_id bigint, text string")
+    one = sorted(map(tuple, s.split_sentences(more, names).na.fill(0, ["doc_id"]).collect()))
+    assert one == sorted(map(tuple, s.split_sentences(more, names, most=1).na.fill(0, ["doc_id"]).collect())) and len(one) == 9

@@ -25,7 +25,8 @@ _BULLET = re.compile(r"[^\S\r\n]*(?:[-•*]|\d{1,9}\.)(?=[^\S\r\n])")
 
 _MARKS = "[.!?…‼⁇⁈⁉。！？｡．।॥؟۔։።။។]"
 _CLOSERS = "[\"'”’»›)\\]}」』）】》〉］｝“]"
-_CANDIDATE = re.compile(rf"(?:(?:{_MARKS}+|(?<=[Ͱ-Ͽἀ-\u1fff])[;;]|;)(?:[ \u00a0\u202f]?»|{_CLOSERS})*)+")
+#: A final mark, or a semicolon (a mark after Greek letters), with the marks and what closes after it.
+_CANDIDATE = re.compile(rf"[{_MARKS[1:-1]};\u037e](?:{_MARKS}|[ \u00a0\u202f]?»|{_CLOSERS})*")
 _THAI_BLANK = re.compile(r"(?<=[ก-\u0e3eเ-๛])\s+(?=[ก-\u0e3eเ-๛])")
 
 _THAI = re.compile("[ก-๛]")
@@ -164,26 +165,36 @@ BY_LANGUAGE: dict[str, list[Rule]] = {
 #: The languages whose tables apply after a letter of a script.
 LATIN, CYRILLIC, GREEK, INDIC, ARABIC = ("en", "de", "es", "fr"), ("ru",), ("el",), ("hi",), ("ar",)
 
-_Compiled = list[tuple[bool, re.Pattern, re.Pattern]]
+#: By the character before the position, the rules that can match there.
+_Compiled = dict[str, list[tuple[bool, re.Pattern, re.Pattern]]]
+_ENDS = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA0, 0x3100), *range(0xFF00, 0xFF70)]) if re.match(f"{_MARKS}|{_CLOSERS}|[;\u037e»]", c)]
+
+
+def _may_end(before: str, c: str) -> bool:
+    """Whether a text that ends in ``c`` can match; decided by the pattern's last element where that is plain."""
+    if before.endswith("\\.$") and "|" not in before.rsplit(")", 1)[-1]:
+        return c == "."
+    m = re.search(r"(\[(?:[^\]\\]|\\.)*\])\+?\$$", before)
+    return not m or bool(re.match(m.group(1), c))
 
 
 def _compile(rules: Iterable[Rule]) -> _Compiled:
-    return [(b, re.compile(before), re.compile(after)) for b, before, after in rules]
+    made = [(b, before, re.compile(before), re.compile(after)) for b, before, after in rules]
+    return {c: [(b, x, y) for b, before, x, y in made if _may_end(before, c)] for c in _ENDS}
 
 
 _FIRST, _LAST = _compile(FIRST), _compile(LAST)
 _TABLES = {langs: _compile(r for lang in langs for r in BY_LANGUAGE[lang]) for langs in (LATIN, CYRILLIC, GREEK, INDIC, ARABIC)}
+_NO_TABLE = _compile([])
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"\s+([^\W_]+(?:\.[^\W_]+)*)")
-#: What needs no table: a whole word that is no abbreviation, a full stop, a blank.
-_TAIL = re.compile(r"(?<![^\s(\"“«„‘’'-])([^\W\d_]{2,})\.$")
-_GOES_ON = re.compile(r"\s*[,;:،؛，；、：\])}）]")
 _KNOWN = frozenset(
     w.casefold()
     for table in (*NEVER.values(), *MAYBE.values(), "no nos Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec")
     for x in table.split()
     for w in re.findall(r"[^\W\d_]+", x.replace("\\s", ""))
 )
+_GREEK = re.compile("[Ͱ-Ͽἀ-\u1fff]")
 _SIGN = re.compile(_MARKS + "|[;;]")
 _BACK, _AHEAD = 60, 40
 
@@ -204,33 +215,55 @@ def _tables(text: str, start: int, at: int) -> _Compiled:
         return _TABLES[INDIC]
     if "\u0600" <= c <= "ۿ":
         return _TABLES[ARABIC]
-    return _TABLES[LATIN] if c < "̀" or "Ḁ" <= c <= "ỿ" else []
+    return _TABLES[LATIN] if c < "\u0300" or "Ḁ" <= c <= "ỿ" else _NO_TABLE
+
+
+_GOES_ON = frozenset(",;:،؛，；、：])}）")
+_BEFORE_WORD = frozenset(" \t\r\n(\"“«„‘’'-")
+
+
+def _plain(text: str, at: int, end: int) -> bool | None:
+    """What needs no table: inside a number or name no, after a whole word that is no abbreviation yes; else None."""
+    mark, after = text[at - 1], text[at]
+    if mark == ".":
+        if after.isascii() and (after.isdigit() or after.islower()):
+            return False
+        if not after.isspace():
+            return None
+        i = at - 2
+        while i >= 0 and text[i].isalpha():
+            i -= 1
+        word = text[i + 1 : at - 1]
+        if len(word) < 2 or (i >= 0 and text[i] not in _BEFORE_WORD) or word.casefold() in _KNOWN:
+            return None
+        return True
+    if mark in "。！？｡।॥" or (mark in "!?" and after.isspace()):
+        i = at
+        while i < end and text[i].isspace():
+            i += 1
+        return None if i == end or text[i] in _GOES_ON else True
+    return None
 
 
 def _decide(text: str, start: int, at: int, end: int, names: frozenset[str]) -> bool:
     """Whether a sentence ends at ``at``; ``start`` and ``end`` bound the block."""
     low, high = max(0, at - _BACK), min(end, at + _AHEAD)
-    mark, after_blank = text[at - 1], at < high and text[at].isspace()
-    if mark in "。！？｡।॥" or (mark in "!?" and after_blank):
-        if not _GOES_ON.match(text, at, high):
-            return True
-    elif mark == "." and after_blank and (m := _TAIL.search(text, low, at)) and m.group(1).casefold() not in _KNOWN:
-        return True
-    for breaks, before, after in _FIRST:
+    last = text[at - 1]
+    for breaks, before, after in _FIRST[last]:
         if after.match(text, at, high) and before.search(text, low, at):
             return breaks
     tables = _tables(text, start, at)
     named = False
     if names and (m := _WORD.match(text, at, high)) and m.group(1)[0].islower():
         named = m.group(1) in names
-    for breaks, before, after in tables:
+    for breaks, before, after in tables[last]:
         if named and not breaks and after.pattern != r"\s":
             continue
         if after.match(text, at, high) and before.search(text, low, at):
             return breaks
     if named:
         return not re.search(r"(?<![^\W_])[^\W\d_]\.$", text[low:at]) or bool(re.search(r"\b[ap]\.\s?m\.$", text[low:at]))
-    for breaks, before, after in _LAST:
+    for breaks, before, after in _LAST[last]:
         if after.match(text, at, high) and before.search(text, low, at):
             return breaks
     return True
@@ -268,10 +301,12 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
 def _closes(text: str, start: int, m: re.Match) -> int:
     """The end of the candidate: quotes that open something new are left out."""
     end = m.end()
+    if text[m.start()] == ";" and not _GREEK.match(text, max(0, m.start() - 1)):
+        return start
     sign = m.start()
     for i in range(m.start(), m.end()):
         c = text[i]
-        if _SIGN.match(c):
+        if _SIGN.match(c) and (c != ";" or _GREEK.match(text, max(0, i - 1))):
             sign = i
         elif c == "“" and text.count("„", start, i) <= text.count("“", start, i):
             return i
@@ -306,9 +341,15 @@ def sentence_spans(text: str | None, names: frozenset[str] = frozenset()) -> lis
     for start, first, end in _blocks(text):
         cuts = []
         for m in _CANDIDATE.finditer(text, first, end):
-            at = _closes(text, start, m)
-            if at < end and at > start and _decide(text, start, at, end, names):
-                cuts.append(at)
+            at = m.end()
+            if at - m.start() > 1:
+                at = _closes(text, start, m)
+            elif text[at - 1] == ";" and not _GREEK.match(text, max(0, at - 2)):
+                continue
+            if start < at < end:
+                sure = _plain(text, at, end) if at - m.start() == 1 else None
+                if sure or (sure is None and _decide(text, start, at, end, names)):
+                    cuts.append(at)
         if thai:
             cuts += [m.start() for m in _THAI_BLANK.finditer(text, first, end)]
             cuts = sorted(set(cuts))

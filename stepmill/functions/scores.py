@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once for each row, also where it stands inside a lambda of ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Stable softmax of an array; empty stays empty, a total of zero gives the uniform distribution."""
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda x: F.exp(x - top))
-    whole = total(exps)
-    return F.when(F.size(scores) == 0, scores).otherwise(
-        F.transform(exps, lambda e: F.when(whole > 0, e / F.nullif(whole, F.lit(0.0))).otherwise(1.0 / F.size(scores)))
-    )
+    def shares(exps: Column) -> Column:
+        return bind(total(exps), lambda whole: F.transform(exps, lambda e: F.when(whole > 0, e / F.nullif(whole, F.lit(0.0))).otherwise(1.0 / F.size(exps))))
+
+    exps = bind(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return F.when(F.size(scores) == 0, scores).otherwise(bind(exps, shares))
 
 
 def first_argmax(values: Column) -> Column:
@@ -36,9 +42,10 @@ def brier(probs: Column, gold: Column) -> Column:
 
 def renormalise(values: Column) -> Column:
     """Values divided by their sum where that is positive; nulls count as 0, all zeros stay."""
-    filled = F.transform(values, lambda v: F.coalesce(v, F.lit(0.0)))
-    whole = total(filled)
-    return F.when(whole > 0, F.transform(filled, lambda v: v / F.nullif(whole, F.lit(0.0)))).otherwise(filled)
+    def shares(filled: Column) -> Column:
+        return bind(total(filled), lambda whole: F.when(whole > 0, F.transform(filled, lambda v: v / F.nullif(whole, F.lit(0.0)))).otherwise(filled))
+
+    return bind(F.transform(values, lambda v: F.coalesce(v, F.lit(0.0))), shares)
 
 
 def by_keys(probs: Column, keys: tuple[str, ...]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepmill.functions.schema import LABELS, OPERATIONS, PREDICTION
-from stepmill.functions.scores import first_argmax, softmax, total, uniform
+from stepmill.functions.scores import bind, first_argmax, softmax, total, uniform
 from stepmill.functions.text import candidate_tokens, overlap, query_tokens
 
 #: A predictor takes one row (a dict without labels) and gives
@@ -51,7 +51,7 @@ def predict_first(rows: DataFrame) -> DataFrame:
 def predict_random(rows: DataFrame, seed: str = "random") -> DataFrame:
     """Uniform numbers seeded by the row's id, scaled to sum 1."""
     def scaled(values: Column) -> Column:
-        return F.transform(values, lambda v: v / total(values))
+        return bind(values, lambda v: bind(total(v), lambda whole: F.transform(v, lambda x: x / whole)))
 
     element = scaled(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: uniform(F.concat_ws(":", F.col("id"), i), seed)))
     ops = scaled(F.array(*[uniform(F.concat_ws(":", F.col("id"), F.lit(op)), seed) for op in OPERATIONS]))
@@ -67,8 +67,8 @@ def lexical_operation(cand: Column) -> Column:
 def predict_lexical(rows: DataFrame) -> DataFrame:
     """Softmax of the tokens each candidate shares with goal and last action; operation from the best one's tag and role."""
     # the asked tokens are bound once for each row, not worked out again for each candidate
-    asked = F.array(query_tokens(F.col("goal"), F.col("previous_actions")))
-    scores = F.get(F.transform(asked, lambda q: F.transform("candidates", lambda c: overlap(q, candidate_tokens(c)).cast("double"))), F.lit(0))
+    asked = query_tokens(F.col("goal"), F.col("previous_actions"))
+    scores = bind(asked, lambda q: F.transform("candidates", lambda c: overlap(q, candidate_tokens(c)).cast("double")))
     scored = rows.select("id", "candidates", scores.alias("s"))
     op = lexical_operation(F.get("candidates", first_argmax(F.col("s"))))
     done = scored.select("id", softmax(F.col("s")).alias("p"), op.alias("op"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepmill.llm import charforms, groups, leaks, overlap, packing, permanent, quota, sentences
-from stepmill.session import cut
+from stepmill.session import cut, kept_folder
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -90,14 +90,19 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return quota.quota_report(cut(sample), report)
 
 
+def _numbers_of(spark: SparkSession, folder: str) -> str:
+    """The one store of permanent numbers of the tables in ``folder``."""
+    return kept_folder(spark, "permanent-numbers", folder.rstrip("/"))
+
+
 def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """A fifth of the ids, the same on every run, keeping all ids of earlier deliveries."""
-    return permanent.stable_sample(_read(spark, folder, "eval_rows"))
+    """A fifth of the ids, the same on every run, keeping all ids of earlier deliveries and runs."""
+    return permanent.stable_sample(_read(spark, folder, "eval_rows"), folder=_numbers_of(spark, folder))
 
 
 def p5_history(spark: SparkSession, folder: str) -> DataFrame:
     """How that sample grows with the deliveries."""
-    return permanent.sample_history(_read(spark, folder, "eval_rows"))
+    return permanent.sample_history(_read(spark, folder, "eval_rows"), folder=_numbers_of(spark, folder))
 
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

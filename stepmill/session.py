@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -40,6 +41,11 @@ def table_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_folder(spark: SparkSession, name: str, key: str) -> str:
+    """The place below the shared folder that always belongs to ``name`` and ``key``, in later sessions too."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+
+
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """True if ``df`` has at most ``limit`` rows; reads no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit

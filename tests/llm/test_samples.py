@@ -86,3 +86,51 @@ def test_store_keeps_numbers_and_refuses_to_shrink(spark, tmp_path):
 
 def test_empty_permanent(spark):
     assert p.stable_sample(_rows(spark, 0).limit(0)).count() == 0
+
+
+def test_reopened_store_goes_on(spark, tmp_path):
+    folder = f"file://{tmp_path}/n"
+    first = p.PermanentNumbers(spark, folder)
+    first.insert(spark.createDataFrame([(f"i{i}",) for i in range(50)], "id string"), 1)
+    before = {tuple(r) for r in first.numbers().collect()}
+    chosen = {r.id for r in first.select(0.5).collect()}
+    written = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "n" / "load=1-0").iterdir()}
+    second = p.PermanentNumbers(spark, folder)
+    with pytest.raises(ValueError):
+        second.select(0.4)
+    second.insert(spark.createDataFrame([("i3",), ("new",)], "id string"), 11)
+    second.insert(spark.createDataFrame([("i4",)], "id string"), 1)
+    after = {tuple(r) for r in second.numbers().collect()}
+    assert before < after and {r[0] for r in after - before} == {"new"} and second.numbers().count() == 51
+    assert chosen <= {r.id for r in second.select(0.5).collect()}
+    assert written == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "n" / "load=1-0").iterdir()}
+
+
+def test_unfinished_inserts_are_passed_over(spark, tmp_path):
+    folder = f"file://{tmp_path}/n"
+    p.PermanentNumbers(spark, folder).insert(spark.createDataFrame([("a",)], "id string"), 1)
+    (tmp_path / "n" / "load=2-1").mkdir()
+    (tmp_path / "n" / "load=2-1" / "part-0.parquet").write_bytes(b"torn")
+    store = p.PermanentNumbers(spark, folder)
+    store.insert(spark.createDataFrame([("a",), ("b",)], "id string"), 2)
+    assert {(r.id, r.first_load) for r in store.numbers().collect()} == {("a", 1), ("b", 2)}
+
+
+def test_samples_of_new_deliveries_alone_keep_the_old(spark, tmp_path):
+    rows, folder = _rows(spark, 400), f"file://{tmp_path}/n"
+    whole = {tuple(r) for r in p.stable_sample(rows, 0.3).collect()}
+    old = {tuple(r) for r in p.stable_sample(rows.where("load_no < 4"), 0.3, folder=folder).collect()}
+    both = {tuple(r) for r in p.stable_sample(rows.where("load_no = 4"), 0.3, folder=folder).collect()}
+    assert old < both == whole
+    assert {tuple(r) for r in p.sample_history(rows.where("load_no = 4"), 0.3, folder=folder).collect()} == {tuple(r) for r in p.sample_history(rows, 0.3).collect()}
+
+
+def test_query_keeps_one_store_for_its_tables(spark, tmp_path):
+    from stepmill.llm.queries import QUERIES
+
+    rows, folder = _rows(spark, 200), f"{tmp_path}/tables"
+    rows.where("load_no < 4").write.parquet(f"{folder}/eval_rows.parquet")
+    old = {tuple(r) for r in QUERIES["p5_sample"](spark, folder).collect()}
+    rows.where("load_no = 4").write.mode("overwrite").parquet(f"{folder}/eval_rows.parquet")
+    assert old < {tuple(r) for r in QUERIES["p5_sample"](spark, folder + "/").collect()}
+    assert sum(r.new_ids for r in QUERIES["p5_history"](spark, folder).collect()) == 200

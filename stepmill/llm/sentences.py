@@ -90,6 +90,8 @@ def _lower(extra: str = "") -> str:
 #: (break?, pattern that ends at the position, pattern that begins there)
 Rule = tuple[bool, str, str]
 
+#: What stands before a mark and is no name of a file or host.
+_TOKEN = r"[^\s.@/_\\]*+"
 _QUOTE = "[\"'”’»›」』》〉“]"
 
 FIRST: list[Rule] = [
@@ -102,8 +104,8 @@ FIRST: list[Rule] = [
     (False, r"(?:^|\W)(?:[Nn]os?|N[oº]|[Pp]|[Pp]p|[Ss])\.$", r"\s?\d"),
     # file and host names: no blank follows and no sentence begins
     (False, r"(?<![^\W_])[A-Z][a-z]?\.$", r"[A-Z]\."),
-    (True, rf"(?:^|\s)[^\s.@/_\\]*[^\W\d_]{{2,}}\.$", rf"{_OPEN}[{_UP}](?:[{_LOW}’']*[\s,;:-]|[{_LOW}]{{0,3}}\.\s|[{_LOW}]+[.!?]?$)"),
-    (True, rf"(?:^|\s)[^\s.@/_\\]*\d\.$", rf"{_OPEN}[{_UP}][{_LOW}]*[\s,;:-]"),
+    (True, rf"(?:^|\s){_TOKEN}(?<=[^\W\d_]{{2}})\.$", rf"{_OPEN}[{_UP}](?:[{_LOW}’']*[\s,;:-]|[{_LOW}]{{0,3}}\.\s|[{_LOW}]+[.!?]?$)"),
+    (True, rf"(?:^|\s){_TOKEN}(?<=\d)\.$", rf"{_OPEN}[{_UP}][{_LOW}]*[\s,;:-]"),
     (True, rf"[{_FLAT}]{{3,}}\.$", rf"[{_FLAT}]"),
     (True, r"[!?…]$", rf"{_OPEN}(?:[{_UP}]|[{_FLAT}]|\d)"),
     (True, rf"\.[\"”»)\]’“]+$", rf"{_OPEN}[{_UP}]"),
@@ -165,8 +167,8 @@ BY_LANGUAGE: dict[str, list[Rule]] = {
 #: The languages whose tables apply after a letter of a script.
 LATIN, CYRILLIC, GREEK, INDIC, ARABIC = ("en", "de", "es", "fr"), ("ru",), ("el",), ("hi",), ("ar",)
 
-#: By the character before the position, the rules that can match there.
-_Compiled = dict[str, list[tuple[bool, re.Pattern, re.Pattern]]]
+#: By the character before the position, the rules that can match there, each with what it looks back to (null: a few characters).
+_Compiled = dict[str, list[tuple[bool, re.Pattern, re.Pattern, re.Pattern | None]]]
 _ENDS = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA0, 0x3100), *range(0xFF00, 0xFF70)]) if re.match(f"{_MARKS}|{_CLOSERS}|[;\u037e»]", c)]
 
 
@@ -178,9 +180,18 @@ def _may_end(before: str, c: str) -> bool:
     return not m or bool(re.match(m.group(1), c))
 
 
+def _looks_back_to(before: str) -> re.Pattern | None:
+    """What ends the way back for a pattern with a part of any length: a quotation, a token or blanks."""
+    if "[“「『]" in before:
+        return re.compile("[“”「」『』]")
+    if _TOKEN in before:
+        return re.compile(r"[\s.@/_\\]")
+    return re.compile(r"\S\s") if r"\s+" in before else None
+
+
 def _compile(rules: Iterable[Rule]) -> _Compiled:
-    made = [(b, before, re.compile(before), re.compile(after)) for b, before, after in rules]
-    return {c: [(b, x, y) for b, before, x, y in made if _may_end(before, c)] for c in _ENDS}
+    made = [(b, before, re.compile(before), re.compile(after), _looks_back_to(before)) for b, before, after in rules]
+    return {c: [(b, x, y, far) for b, before, x, y, far in made if _may_end(before, c)] for c in _ENDS}
 
 
 _FIRST, _LAST = _compile(FIRST), _compile(LAST)
@@ -196,7 +207,21 @@ _KNOWN = frozenset(
 )
 _GREEK = re.compile("[Ͱ-Ͽἀ-\u1fff]")
 _SIGN = re.compile(_MARKS + "|[;;]")
-_BACK, _AHEAD = 60, 40
+#: Characters before a mark that are read at a time; rules with a part of any length take more.
+_BACK = 60
+
+
+def _reach(text: str, low: int, at: int, far: re.Pattern) -> int:
+    """A place before ``at``, ``low`` or earlier, after which there is a ``far`` before the last character, and a word before that."""
+    stop = at - 1
+    while low > 0 and not far.search(text, low, stop):
+        low, stop = max(0, low - _BACK), low + 1
+    return max(0, low - _BACK)
+
+
+def _holds(text: str, before: re.Pattern, far: re.Pattern | None, low: int, at: int) -> bool:
+    """Whether ``before`` matches the text up to ``at``."""
+    return bool(before.search(text, _reach(text, low, at, far) if far else low, at))
 
 
 def _tables(text: str, start: int, at: int) -> _Compiled:
@@ -245,26 +270,26 @@ def _plain(text: str, at: int, end: int) -> bool | None:
     return None
 
 
-def _decide(text: str, start: int, at: int, end: int, names: frozenset[str]) -> bool:
-    """Whether a sentence ends at ``at``; ``start`` and ``end`` bound the block."""
-    low, high = max(0, at - _BACK), min(end, at + _AHEAD)
+def _decide(text: str, start: int, mark: int, at: int, end: int, names: frozenset[str]) -> bool:
+    """Whether a sentence ends at ``at``; ``start`` and ``end`` bound the block, the marks begin at ``mark``."""
+    low = max(0, mark - _BACK)
     last = text[at - 1]
-    for breaks, before, after in _FIRST[last]:
-        if after.match(text, at, high) and before.search(text, low, at):
+    for breaks, before, after, far in _FIRST[last]:
+        if after.match(text, at, end) and _holds(text, before, far, low, at):
             return breaks
     tables = _tables(text, start, at)
     named = False
-    if names and (m := _WORD.match(text, at, high)) and m.group(1)[0].islower():
+    if names and (m := _WORD.match(text, at, end)) and m.group(1)[0].islower():
         named = m.group(1) in names
-    for breaks, before, after in tables[last]:
+    for breaks, before, after, far in tables[last]:
         if named and not breaks and after.pattern != r"\s":
             continue
-        if after.match(text, at, high) and before.search(text, low, at):
+        if after.match(text, at, end) and _holds(text, before, far, low, at):
             return breaks
     if named:
         return not re.search(r"(?<![^\W_])[^\W\d_]\.$", text[low:at]) or bool(re.search(r"\b[ap]\.\s?m\.$", text[low:at]))
-    for breaks, before, after in _LAST[last]:
-        if after.match(text, at, high) and before.search(text, low, at):
+    for breaks, before, after, far in _LAST[last]:
+        if after.match(text, at, end) and _holds(text, before, far, low, at):
             return breaks
     return True
 
@@ -348,7 +373,7 @@ def sentence_spans(text: str | None, names: frozenset[str] = frozenset()) -> lis
                 continue
             if start < at < end:
                 sure = _plain(text, at, end) if at - m.start() == 1 else None
-                if sure or (sure is None and _decide(text, start, at, end, names)):
+                if sure or (sure is None and _decide(text, start, m.start(), at, end, names)):
                     cuts.append(at)
         if thai:
             cuts += [m.start() for m in _THAI_BLANK.finditer(text, first, end)]

@@ -74,3 +74,28 @@ def test_table(spark):
     more = spark.createDataFrame([(1, "It sells lamps, etc. ab asks. At 9 a.m. ab.c asks. So etc. it."), (2, "He said “Pay?” ab asks."), (3, "None."), (None, "x")], "doc_id bigint, text string")
     one = sorted(map(tuple, s.split_sentences(more, names).na.fill(0, ["doc_id"]).collect()))
     assert one == sorted(map(tuple, s.split_sentences(more, names, most=1).na.fill(0, ["doc_id"]).collect())) and len(one) == 9
+
+
+def test_rules_see_quotations_tokens_and_blanks_of_any_length():
+    long = "请在页面上重新选择一个颜色并再次提交您的订单然后等待确认" * 5
+    for quote in ("已售罄", long):
+        for text in (f"页面提示“{quote}！”变成灰色。", f"“{quote}！”测试员说。", f"提示「{quote}……」变成灰色。"):
+            assert [text[a:b] for a, b in s.sentence_spans(text)] == [text]
+        text = f"测试员说：“{quote}！”页面变成灰色。"
+        assert len(s.sentence_spans(text)) == 2
+    for word in ("Ende", "Ab" * 50, "Ab-" * 40 + "ab"):
+        assert len(s.sentence_spans(f"Das {word}.Dann weiter.")) == 2
+        assert len(s.sentence_spans(f"Das a/{word}.Dann weiter.")) == 1
+    for blanks in (" ", " " * 90):
+        assert len(s.sentence_spans(f"The answer was{blanks}no. 142 were listed.")) == 2
+        assert len(s.sentence_spans(f"It was “Sold out!”{blanks}, she wrote.")) == 1
+    assert len(s.sentence_spans("It was sold out!" + "”" * 90 + " and grey.")) == 1
+
+
+def test_long_texts_without_quotes_or_blanks_are_read_once():
+    import time
+
+    began = time.process_time()
+    for piece in ("很长的文字！”", "很长的文字.", "字" * 2000 + "”。", "a" * 3000 + ").B ", ".)" * 20):
+        s.sentence_spans(piece * (60_000 // len(piece)))
+    assert time.process_time() - began < 20

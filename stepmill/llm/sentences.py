@@ -261,13 +261,12 @@ def _plain(text: str, at: int, end: int) -> bool | None:
         word = text[i + 1 : at - 1]
         if len(word) < 2 or (i >= 0 and text[i] not in _BEFORE_WORD) or word.casefold() in _KNOWN:
             return None
-        return True
-    if mark in "。！？｡।॥" or (mark in "!?" and after.isspace()):
-        i = at
-        while i < end and text[i].isspace():
-            i += 1
-        return None if i == end or text[i] in _GOES_ON else True
-    return None
+    elif mark not in "。！？｡।॥" and not (mark in "!?" and after.isspace()):
+        return None
+    i = at
+    while i < end and text[i].isspace():
+        i += 1
+    return None if i == end or text[i] in _GOES_ON else True
 
 
 def _decide(text: str, start: int, mark: int, at: int, end: int, names: frozenset[str]) -> bool:

@@ -99,3 +99,10 @@ def test_long_texts_without_quotes_or_blanks_are_read_once():
     for piece in ("很长的文字！”", "很长的文字.", "字" * 2000 + "”。", "a" * 3000 + ").B ", ".)" * 20):
         s.sentence_spans(piece * (60_000 // len(piece)))
     assert time.process_time() - began < 20
+
+
+def test_signs_that_begin_no_sentence_after_a_whole_word_and_a_blank():
+    for sign in ",;:)]}،）":
+        for text in (f"See the page. {sign} and the next", f"See the page.\n {sign}"):
+            assert [text[a:b] for a, b in s.sentence_spans(text)] == [text]
+    assert len(s.sentence_spans("See the page. (And the next)")) == 2

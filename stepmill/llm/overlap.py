@@ -218,6 +218,16 @@ def request_keys(goals: DataFrame) -> DataFrame:
     return again.withColumn("k", _key(F.transform("w", lambda x: x.word))).select("form", "k.bag", "k.seq")
 
 
+def alike_sequences(keyed: DataFrame) -> DataFrame:
+    """(bag, eh, th, exact): the word sequences of evaluation and training that are the same request, by their hashes, from (side, bag, h, seq)."""
+    # one row for each distinct word sequence and side
+    seqs = cut(keyed.dropDuplicates(["side", "bag", "h"]))
+    e = seqs.where("side = 'eval'").select("bag", F.col("h").alias("eh"), F.col("seq").alias("es"))
+    t = seqs.where("side = 'train'").select("bag", F.col("h").alias("th"), F.col("seq").alias("ts"))
+    alike = e.join(t, "bag").withColumn("exact", F.col("eh") == F.col("th"))
+    return alike.where(F.col("exact")).unionAll(alike.where(~F.col("exact")).where(_bound("es", "ts"))).select("bag", "eh", "th", "exact")
+
+
 def request_overlaps(rows: DataFrame) -> DataFrame:
     """(eval_task, split, train_task, exact): every pair of an evaluation and a training task with the same request.
 
@@ -230,12 +240,7 @@ def request_overlaps(rows: DataFrame) -> DataFrame:
     goals = cut(task_goals(rows))
     keys = cut(request_keys(goals))
     keyed = goals.join(keys, goals.goal == keys.form)
-    # one row for each distinct word sequence and side
-    seqs = cut(keyed.select("side", "bag", F.xxhash64("seq").alias("h"), "seq").dropDuplicates(["side", "bag", "h"]))
-    e = seqs.where("side = 'eval'").select("bag", F.col("h").alias("eh"), F.col("seq").alias("es"))
-    t = seqs.where("side = 'train'").select("bag", F.col("h").alias("th"), F.col("seq").alias("ts"))
-    alike = e.join(t, "bag").withColumn("exact", F.col("eh") == F.col("th"))
-    alike = alike.where(F.col("exact")).unionAll(alike.where(~F.col("exact")).where(_bound("es", "ts"))).select("bag", "eh", "th", "exact")
+    alike = alike_sequences(keyed.select("side", "bag", F.xxhash64("seq").alias("h"), "seq"))
     who = cut(keyed.select("task", "side", "split", "bag", F.xxhash64("seq").alias("h")).distinct())
     left = who.where("side = 'eval'").select("bag", F.col("h").alias("eh"), F.col("task").alias("eval_task"), "split")
     right = who.where("side = 'train'").select("bag", F.col("h").alias("th"), F.col("task").alias("train_task"))
@@ -253,15 +258,60 @@ def overlap_counts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def classes(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """The class of every sequence in ``pairs``: the least one that it is tied to."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {x: find(x) for x in up}
+
+
+_CLASSES = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("class", T.LongType())]))
+
+
+@F.pandas_udf(_CLASSES)
+def _classes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for bags in batches:
+        yield bags.map(lambda pairs: [{"h": h, "class": c} for h, c in classes([(p["eh"], p["th"]) for p in pairs]).items()])
+
+
 def leaked_tasks(rows: DataFrame) -> DataFrame:
     """(task, split, request, partners): one row per task of either side with its request class and the number of its partners.
 
-    The form without pairs: classes are word bags, partners the tasks of the
-    other side in the class.
+    The form without pairs of tasks: a class holds the word sequences of one
+    bag that are tied by the check of ``request_overlaps``; partners are the
+    other tasks of the other side that it finds.  Tasks with the same
+    sequences in a class are counted together, so only the distinct sets of
+    sequences meet; a task with goals on both sides is not its own partner.
     """
     goals = cut(task_goals(rows))
-    keys = request_keys(goals)
-    keyed = cut(goals.join(keys, goals.goal == keys.form).select("task", "side", "split", "bag").distinct())
-    sizes = keyed.groupBy("bag").agg(F.count_distinct(F.when(F.col("side") == "train", F.col("task"))).alias("nt"), F.count_distinct(F.when(F.col("side") == "eval", F.col("task"))).alias("ne"))
-    both = sizes.where("nt > 0 and ne > 0")
-    return keyed.join(both, "bag").select("task", "split", F.md5("bag").alias("request"), F.when(F.col("side") == "eval", F.col("nt")).otherwise(F.col("ne")).alias("partners")).distinct()
+    keys = cut(request_keys(goals))
+    keyed = cut(goals.join(keys, goals.goal == keys.form).select("task", "side", "split", "bag", F.xxhash64("seq").alias("h"), "seq").dropDuplicates(["task", "side", "split", "bag", "h"]))
+    alike = cut(alike_sequences(keyed.select("side", "bag", "h", "seq")))
+    tied = alike.groupBy("bag").agg(F.collect_list(F.struct("eh", "th")).alias("pairs")).select("bag", F.explode(_classes("pairs")).alias("c")).select("bag", "c.h", "c.class")
+    placed = cut(keyed.drop("seq").join(tied, ["bag", "h"]))
+
+    def sets(*by: str) -> DataFrame:
+        return placed.groupBy("bag", "class", "side", "task", *by).agg(F.array_sort(F.collect_set("h")).alias("hs"))
+
+    own, whole = cut(sets("split")), cut(sets())
+    # the distinct sets of sequences of one side, with the tasks that have them
+    sizes = whole.groupBy("bag", "class", "side", "hs").agg(F.count("*").alias("n"))
+    near = alike.select(F.lit("eval").alias("side"), "bag", F.col("eh").alias("h"), F.col("th").alias("to")).unionAll(alike.select(F.lit("train"), "bag", "th", "eh"))
+    asked = own.select("bag", "class", "side", "hs").distinct().withColumn("h", F.explode("hs")).join(near, ["side", "bag", "h"])
+    held = sizes.select("bag", "class", "side", F.col("hs").alias("other"), "n", F.explode("hs").alias("to")).withColumn("side", F.when(F.col("side") == "eval", "train").otherwise("eval"))
+    met = cut(asked.join(held, ["bag", "class", "side", "to"]).select("bag", "class", "side", "hs", "other", "n").distinct())
+    per = met.groupBy("bag", "class", "side", "hs").agg(F.sum("n").alias("n"))
+    # a task on both sides whose own sets meet
+    twice = whole.select("bag", "class", "task", F.when(F.col("side") == "eval", "train").otherwise("eval").alias("side"), F.col("hs").alias("other"))
+    selves = own.join(twice, ["bag", "class", "task", "side"]).join(met.drop("n"), ["bag", "class", "side", "hs", "other"], "left_semi").select("bag", "class", "side", "task", "split", F.lit(1).alias("self"))
+    found = own.join(per, ["bag", "class", "side", "hs"]).join(selves, ["bag", "class", "side", "task", "split"], "left")
+    found = found.withColumn("partners", F.col("n") - F.coalesce("self", F.lit(0))).where("partners > 0")
+    return found.select("task", "split", F.md5(F.concat_ws(":", "bag", "class")).alias("request"), "partners")

@@ -56,3 +56,25 @@ def test_filler_words_and_long_goals():
     assert o.content("i would like to find me a room thanks a lot".split()) == "find me a room".split()
     assert o.content(["please"]) == ["please"]
     assert len(o.tokens("word " * 50_000)[0]) == 50_000
+
+
+def test_partners_without_pairs_are_those_of_the_pairs(spark):
+    party = "Reserve a cabin near Orvik lake for {} adults and {} children with breakfast"
+    a, b = party.format(2, 3), party.format(3, 2)
+    rows = _rows(spark, [
+        ("t1", "train", a, "s", None), ("t2", "train", a, "s", None), ("t3", "train", b, "s", None), ("e1", "val", a, "s", None), ("e2", "val", b, "s", None),
+        ("e3", "cross_domain", "Please " + b, "s", None), ("e3", "val", a, "s", None), ("both", "train", BASE, "s", None), ("both", "val", BASE, "s", None), ("t4", "train", BASE, "s", None),
+        ("lone", "train", "Read the news of Vennet harbour", "s", None), ("lone", "val", "Read the news of Vennet harbour", "s", None), ("e1", "val", b, "s", None),
+        ("m", "train", BASE, "s", None), ("m", "train", "Buy tickets for the Lotapex quartet in Mistrel no more than $263 each row 11", "s", None),
+    ])
+    pairs = {(r.eval_task, r.split, r.train_task) for r in o.request_overlaps(rows).collect()}
+    want = {}
+    for e, split, t in pairs:
+        want.setdefault((e, split), set()).add(t)
+        want.setdefault((t, "train"), set()).add(e)
+    got = {}
+    for r in o.leaked_tasks(rows).collect():
+        got.setdefault((r.task, r.split), []).append((r.request, r.partners))
+    assert {k: sum(n for _, n in v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert got["t1", "train"] == got["t2", "train"] and got["t1", "train"][0][0] != got["t3", "train"][0][0]
+    assert ("lone", "val") not in got and got["both", "val"][0][1] == 2

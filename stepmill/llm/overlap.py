@@ -134,22 +134,29 @@ def word_counts(forms: DataFrame) -> DataFrame:
     return per
 
 
+#: 2.06 standard deviations of the root of a count, which are 0.5 each whatever the count: one in fifty is above.
+_CHANCE = 1.03
+
+
 def corrections(counts: DataFrame, ratio: int = 100, least: int = 3) -> DataFrame:
     """(word, right): rare words that are a slip of a much more frequent ordinary word.
 
-    Much more frequent is ``ratio`` times, for words seen once or twice 8 times.
+    Much more frequent is ``ratio`` times, less what chance explains: the root
+    of the count may exceed the root of what ``ratio`` lets expect by
+    ``_CHANCE``.  It is 8 times at least, at any count.  A word of two letters
+    is only ever a slip of one of three.
 
     Ordinary words are mostly written small where case tells.  A word written
     only with a capital is a name and never corrected; numbers are not either.
     Words meet only where they share a deletion of one letter, never all with
     all.
     """
-    letters = counts.where((F.length("word") > 2) & ~F.col("word").rlike(r"\d"))
-    ordinary = letters.where((F.col("df") >= least) & (F.col("smalls") >= F.col("caps")))
+    letters = counts.where((F.length("word") > 1) & ~F.col("word").rlike(r"\d"))
+    ordinary = letters.where((F.length("word") > 2) & (F.col("df") >= least) & (F.col("smalls") >= F.col("caps")))
     odd = letters.where((F.col("smalls") > 0) | (F.col("caps") == 0))
     a = odd.select(F.col("word"), "df", F.explode(_delete_keys("word")).alias("key"))
     b = ordinary.select(F.col("word").alias("right"), F.col("df").alias("right_df"), F.explode(_delete_keys("word")).alias("key"))
-    rare = F.when(F.col("df") <= 2, F.col("df") * 8).otherwise(F.col("df") * ratio) <= F.col("right_df")
+    rare = (F.col("df") * 8 <= F.col("right_df")) & (F.sqrt("df") <= F.sqrt(F.col("right_df") / ratio) + _CHANCE)
     near = a.join(b, "key").where(rare & (F.col("word") != F.col("right")))
     near = near.select("word", "right", "right_df").distinct().where(_is_slip("word", "right"))
     return near.groupBy("word").agg(F.max_by("right", F.struct("right_df", "right")).alias("right"))

@@ -78,3 +78,16 @@ def test_partners_without_pairs_are_those_of_the_pairs(spark):
     assert {k: sum(n for _, n in v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     assert got["t1", "train"] == got["t2", "train"] and got["t1", "train"][0][0] != got["t3", "train"][0][0]
     assert ("lone", "val") not in got and got["both", "val"][0][1] == 2
+
+
+def test_slips_are_told_by_relative_frequency(spark):
+    def right(*counts):
+        table = spark.createDataFrame([(w, n, 0, n) for w, n in counts], "word string, df long, caps long, smalls long")
+        return {(r.word, r.right) for r in o.corrections(table).collect()}
+
+    for times in (1, 10):
+        assert right(("tickts", 2 * times), ("tickets", 160 * times)) == {("tickts", "tickets")}
+    assert right(("tickts", 1), ("tickets", 8)) == right(("tickts", 2), ("tickets", 16)) == right(("tickts", 50), ("tickets", 5000)) == {("tickts", "tickets")}
+    assert right(("cabin", 200), ("cabins", 1600)) == right(("cabin", 2), ("cabins", 15)) == set()
+    assert right(("fr", 2), ("for", 200)) == {("fr", "for")}
+    assert right(("of", 2), ("or", 200)) == right(("fr", 40), ("for", 400)) == right(("f", 1), ("fr", 200), ("for", 9)) == set()

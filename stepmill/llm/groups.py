@@ -110,8 +110,10 @@ def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000) -> D
     bounded set) are placed on the driver, each where the summed squared
     deviation from the wanted counts per split and label grows least.  All
     smaller groups are ordered by main label and hash and laid along a running
-    sum, cut where the room left in each split ends; each cut errs by less
-    than one small group.  No records give no assignment; null labels are a
+    sum; the stretch of each label is cut in proportion to the room left for
+    that label in each split, so that what the large groups lack or exceed of
+    it is made up for; each cut errs by less than one small group.  A small
+    group of several labels counts whole as its main one.  No records give no assignment; null labels are a
     label of their own; no shares are an error.
     """
     spark = records.sparkSession
@@ -142,22 +144,18 @@ def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000) -> D
             have[best][lab] += n
     placed = spark.createDataFrame(place or [("", names[0])], "grp string, split string")
     small = groups.where(F.col("n") < bound)
-    left = {s: max(0.0, share[s] * total - sum(have[s].values())) for s in names}
-    room = sum(left.values()) or 1.0
-    ends, run = [], 0.0
-    for s in names:
-        run += left[s] / room
-        ends.append((s, run))
+    # each label's stretch is cut by the room that the large groups left for this label in each split
+    cuts = []
+    for lab in all_labels:
+        left = [max(0.0, target[s][lab] - have[s][lab]) for s in names]
+        room = sum(left)
+        cuts.append((lab, [sum(left[: i + 1]) / room if room else 0.0 for i in range(len(names) - 1)]))
+    ends = spark.createDataFrame(cuts or [(None, [0.0] * (len(names) - 1))], "label string, ends array<double>")
     laid = running_sum(small.select("grp", "main", "n"), ["main", F.xxhash64("grp"), "grp"], "n")
-    size = laid.agg(F.sum("n")).first()[0] or 1
-    middle = (F.col("upto") - F.col("n") / 2) / F.lit(float(size))
-    # each label's stretch is dealt in the same proportions: fold the line by label
-    spot = laid.withColumn("at", middle)
-    bounds = spot.groupBy("main").agg(F.min(F.col("upto") - F.col("n")).alias("lo"), F.max("upto").alias("hi"))
-    spot = spot.join(bounds, spot.main.eqNullSafe(bounds.main)).select("grp", ((F.col("upto") - F.col("n") / 2 - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("at"))
-    choice = F.lit(ends[-1][0])
-    for s, end in reversed(ends[:-1]):
-        choice = F.when(F.col("at") < end, F.lit(s)).otherwise(choice)
+    bounds = laid.groupBy("main").agg(F.min(F.col("upto") - F.col("n")).alias("lo"), F.max("upto").alias("hi"))
+    bounds = bounds.join(F.broadcast(ends), bounds.main.eqNullSafe(ends.label)).drop("label").withColumnRenamed("main", "of")
+    spot = laid.join(bounds, laid.main.eqNullSafe(bounds.of)).withColumn("at", (F.col("upto") - F.col("n") / 2 - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    choice = F.get(F.array(*map(F.lit, names)), F.size(F.filter("ends", lambda end: end <= F.col("at"))))
     dealt = spot.select("grp", choice.alias("split"))
     return placed.where("grp <> ''").unionAll(dealt)
 

@@ -86,3 +86,19 @@ def test_empty_tables(spark):
     assert g.tied_sites(none).count() == 0
     records = g.record_groups(none)
     assert g.assign_splits(records, shares).count() == 0
+
+
+def test_small_groups_make_up_for_the_labels_of_the_large(spark):
+    # one large group of nothing but clicks, then many small ones of either label
+    rows = [(f"b{i}", "big", "CLICK") for i in range(3000)]
+    rows += [(f"s{i}", f"g{i // 2}", "TYPE" if i // 2 % 2 else None) for i in range(4000)]
+    rows += [(f"c{i}", f"h{i // 2}", "CLICK") for i in range(1000)]
+    records = spark.createDataFrame(rows, "id string, grp string, label string")
+    shares = spark.createDataFrame([("train", 75), ("val", 15), ("test", 10)], "split string, share_pct int")
+    split = g.assign_splits(records, shares, large=1000)
+    assert split.count() == split.select("grp").distinct().count() == 2501
+    report = {(r.scope, r.split, r.label): r.pct for r in g.split_report(records, split, shares).collect()}
+    for label in ("CLICK", "TYPE", None):
+        for name, pct in (("train", 75), ("val", 15), ("test", 10)):
+            assert abs(report["label", name, label] - pct) < 0.5, report
+    assert abs(report["all", "val", None] - 15) < 0.5

@@ -11,8 +11,10 @@ pool is left or nothing is gained.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,17 +97,20 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
-    """The greatest of several dual-feasible bounds on the number of bins.
+    """The greatest of several dual-feasible bounds on the number of bins; see ``counted_bound``."""
+    return counted_bound(Counter(sizes), capacity)
+
+
+def counted_bound(counts: dict[int, int], capacity: int) -> int:
+    """The greatest of several dual-feasible bounds on the number of bins, from the number of items of every size.
 
     The family u_k rounds a size x to floor((k+1)x/C)/k unless (k+1)x/C is
     whole; the family f_e counts sizes over C-e as a whole bin and drops those
-    under e.  Either never sums to more than 1 over what fits one bin.
+    under e, and is tried for every e that matters.  Either never sums to more
+    than 1 over what fits one bin.
     """
-    if not sizes:
+    if not counts:
         return 0
-    counts: dict[int, int] = {}
-    for s in sizes:
-        counts[s] = counts.get(s, 0) + 1
     best = -(-sum(s * n for s, n in counts.items()) // capacity)
     for k in range(1, 21):
         # exact in integers: k * u_k is (k + 1) * x / C where that is whole... compared after scaling by k * C
@@ -114,9 +119,13 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
             q, r = divmod((k + 1) * s, capacity)
             total += n * (s * k if r == 0 else q * capacity)
         best = max(best, -(-total // (k * capacity)))
-    steps = sorted({s for s in counts if 2 * s <= capacity})
-    for e in steps[:: max(1, len(steps) // 32)]:
-        total = sum(n * (capacity if s > capacity - e else 0 if s < e else s) for s, n in counts.items())
+    order = sorted(counts)
+    items = [0, *accumulate(counts[s] for s in order)]
+    tokens = [0, *accumulate(s * counts[s] for s in order)]
+    # between two sizes the greater e is the better one, so the sizes themselves are enough, and half the capacity
+    for e in [*order[: bisect_right(order, capacity // 2)], capacity // 2]:
+        low, high = bisect_left(order, e), bisect_right(order, capacity - e)
+        total = capacity * (items[-1] - items[high]) + tokens[high] - tokens[low]
         best = max(best, -(-total // capacity))
     return best
 
@@ -170,11 +179,22 @@ def pack(items: DataFrame, per_partition: int = 20_000, rounds: int = 4, slack:
     return done
 
 
+def _bound_of(counts: pd.DataFrame) -> pd.DataFrame:
+    bound = counted_bound(dict(zip(counts["size"].tolist(), counts["n"].tolist(), strict=True)), int(counts["capacity"].iloc[0]))
+    return counts[["window_name", "capacity"]].head(1).assign(bound=bound)
+
+
 def packing_report(packed: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window_name, capacity, items, tokens, containers, bound, spare_pct): containers against the least possible by tokens."""
+    """(window_name, capacity, items, tokens, containers, bound, spare_pct): containers against the least possible by ``counted_bound``.
+
+    The bound is that of all items of the window together; it needs only the
+    number of items of each size, of which there are no more than the capacity.
+    """
     per = packed.groupBy("window_name", "container").agg(F.count("*").alias("items"), F.sum("size").alias("tokens"))
     whole = per.groupBy("window_name").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count("*").alias("containers"))
     caps = windows.select("window_name", F.col("capacity_tokens").alias("capacity"))
     out = whole.join(F.broadcast(caps), "window_name")
-    bound = F.ceil(F.col("tokens") / F.col("capacity"))
-    return out.select("window_name", "capacity", "items", "tokens", "containers", bound.alias("bound"), F.round(100 * (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))), 4).alias("spare_pct"))
+    sizes = packed.groupBy("window_name", "size").agg(F.count("*").alias("n")).join(F.broadcast(caps.where("capacity > 0").distinct()), "window_name")
+    bounds = sizes.groupBy("window_name", "capacity").applyInPandas(_bound_of, "window_name string, capacity int, bound bigint")
+    out = out.join(bounds, ["window_name", "capacity"])
+    return out.select("window_name", "capacity", "items", "tokens", "containers", "bound", F.round(100 * (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))), 4).alias("spare_pct"))

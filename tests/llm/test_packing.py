@@ -71,3 +71,24 @@ def test_empty_packing(spark):
     none = spark.createDataFrame([], "doc_id bigint, n_tokens int")
     windows = spark.createDataFrame([("w", 10, 1)], WINDOWS)
     assert k.pack(k.pieces(none, windows)).count() == 0
+
+
+def test_bound_tries_every_size():
+    def every(sizes, cap):
+        return max(-(-sum(cap if x > cap - e else 0 if x < e else x for x in sizes) // cap) for e in range(cap // 2 + 1))
+
+    rnd = random.Random(5)
+    for _ in range(60):
+        cap = rnd.randint(200, 2000)
+        sizes = [rnd.randint(1, cap) for _ in range(rnd.randint(1, 400))]
+        assert k.lower_bound(sizes, cap) >= every(sizes, cap)
+    # 301 sizes up to half the capacity: e = 303 lies between those that a stride would try
+    sizes = [698] * 100 + [303] * 100 + list(range(1, 201)) + list(range(304, 404))
+    assert k.lower_bound(sizes, 1000) >= every(sizes, 1000) > -(-sum(sizes) // 1000)
+
+
+def test_report_has_the_bound_of_the_sizes(spark):
+    table = spark.createDataFrame([(i, 60) for i in range(50)] + [(i, 250) for i in range(50, 60)], "doc_id bigint, n_tokens int")
+    windows = spark.createDataFrame([("w", 100, 1), ("none", None, 1)], WINDOWS)
+    row = k.packing_report(k.pack(k.pieces(table, windows)), windows).collect()
+    assert [(r.window_name, r.tokens, r.containers, r.bound) for r in row] == [("w", 5500, 75, 75)]

@@ -421,12 +421,13 @@ def unify(texts: DataFrame) -> DataFrame:
     Only suspect texts go through Python; each class of fields is one narrow
     stage, nothing is shuffled.  Null texts stay null with kinds 0.
     """
-    odd = F.coalesce(suspect(F.col("text")), F.lit(False))
-    plain = texts.where(~odd).select("id", "field", "idx", "text", F.col("text").alias("canonical"), F.lit(0).alias("kinds"))
-    short = texts.where(odd & (F.col("field") != "state")).withColumn("r", canonical_form(F.col("text")))
-    states = texts.where(odd & (F.col("field") == "state")).withColumn("r", canonical_form(F.col("text"), state=True))
-    done = short.unionAll(states).select("id", "field", "idx", "text", "r.canonical", "r.kinds")
-    return plain.unionAll(done)
+
+    def done(part: DataFrame, state: bool) -> DataFrame:
+        # one look at each text: those that are plain go as nulls
+        r = part.withColumn("r", canonical_form(F.when(suspect(F.col("text")), F.col("text")), state=state))
+        return r.select("id", "field", "idx", "text", F.coalesce("r.canonical", "text").alias("canonical"), F.coalesce("r.kinds", F.lit(0)).alias("kinds"))
+
+    return done(texts.where(F.col("field") != "state"), False).unionAll(done(texts.where(F.col("field") == "state"), True))
 
 
 def unusual(texts: DataFrame) -> DataFrame:

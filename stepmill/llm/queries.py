@@ -17,21 +17,21 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that are not written in their ordinary characters."""
-    return _cases(spark, folder).select("id", "field", "idx")
+    return charforms.unusual(_texts(spark, folder)).select("id", "field", "idx")
 
 
-def _cases(spark: SparkSession, folder: str) -> DataFrame:
-    return charforms.unusual(charforms.texts_of(_read(spark, folder, "eval_rows"), _read(spark, folder, "train_records")))
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return charforms.texts_of(_read(spark, folder, "eval_rows"), _read(spark, folder, "train_records"))
 
 
 def p1_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    """The same texts with their canonical form and the kinds of what was replaced."""
-    return _cases(spark, folder)
+    """All texts in canonical form, with the kinds of what was replaced (0: none); repeated deliveries of the same text count once."""
+    return charforms.unify(_texts(spark, folder)).select("id", "field", "idx", "canonical", "kinds").distinct()
 
 
 def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
     """(field, texts, changed, forms): how many distinct spellings the goals and candidates have before and after."""
-    texts = charforms.texts_of(_read(spark, folder, "eval_rows"), _read(spark, folder, "train_records")).where("text is not null")
+    texts = _texts(spark, folder).where("text is not null")
     each = texts.groupBy("field", "text").agg(F.count("*").alias("n")).withColumn("id", F.lit(None).cast("string")).withColumn("idx", F.lit(0))
     done = charforms.unify(each)
     return done.groupBy("field").agg(F.count("*").alias("spellings"), F.count_if(F.col("kinds") > 0).alias("unusual"), F.countDistinct("canonical").alias("forms"))

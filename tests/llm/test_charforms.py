@@ -98,3 +98,20 @@ def test_filter_lets_every_case_through(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", c.suspect(F.col("t")).alias("s"))
     passed = {r.t for r in df.where("s").collect()}
     assert set(CASES) <= passed
+
+
+def test_query_gives_the_form_of_every_text(spark, tmp_path):
+    from stepmill.llm.queries import QUERIES
+
+    cands = [(0, "Find"), (1, "Ｆind"), (2, None)]
+    rows = spark.createDataFrame([("a", "plain goal", cands), ("a", "plain goal", cands), ("b", "caf\u00a0e", []), (None, None, None)], "id string, goal string, candidates array<struct<idx:int,text:string>>")
+    rows.write.parquet(f"{tmp_path}/eval_rows.parquet")
+    spark.createDataFrame([((("r",)), "Goal: x\n[1] <a> role=b \"c\"")], "_meta struct<id:string>, state string").write.parquet(f"{tmp_path}/train_records.parquet")
+    got = sorted(map(tuple, QUERIES["p1_canonical"](spark, str(tmp_path)).collect()), key=repr)
+    want = [
+        ("a", "goal", -1, "plain goal", 0), ("a", "candidate", 0, "Find", 0), ("a", "candidate", 1, "Find", c.WIDTH), ("a", "candidate", 2, None, 0), ("b", "goal", -1, "caf e", c.BLANK),
+        (None, "goal", -1, None, 0), ("r", "state", -1, "Goal: x\n[1] <a> role=b \"c\"", 0),
+    ]
+    assert got == sorted(want, key=repr)
+    cases = {tuple(r) for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()}
+    assert cases == {r[:3] for r in got if r[4]}

@@ -134,8 +134,7 @@ def p7_stretches(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every document."""
-    documents = _read(spark, folder, "documents")
-    return sentences.split_sentences(documents, sentences.small_letter_names(documents))
+    return sentences.split_sentences(_read(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,13 +11,13 @@ Thai has no marks: there blanks between two Thai characters are boundaries.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from stepmill.session import rows_at_most, spread
+from stepmill.session import spread
 
 _EOL = "\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 _LINE = re.compile(f"(?:{_EOL})")
@@ -38,25 +38,24 @@ _OPEN = "[\"'“”„«‘(\\[¿¡]*"
 _FLAT = "\u0600-ۿऀ-\u0dffก-๛\u3040-ヿ㐀-鿿가-힣"
 _CJK = "\u3040-ヿ㐀-鿿"
 
-# Abbreviations after which a sentence goes on, by language.
+# Abbreviations after which a sentence goes on, by language; a blank may follow a full stop inside.
 NEVER = {
-    "en": "Mr Mrs Ms Dr Prof St Fig Figs Eq Vol Ch Sec vs cf e\\.\\s?g i\\.\\s?e viz approx al Gen Col Sgt Lt Capt Rev Hon Gov Sen Rep Mt Ft pp incl excl resp tel ext dept est misc",
+    "en": "Mr Mrs Ms Dr Prof St Fig Figs Eq Vol Ch Sec vs cf e.g i.e viz approx al Gen Col Sgt Lt Capt Rev Hon Gov Sen Rep Mt Ft pp incl excl resp tel ext dept est misc",
     "de": "ca bzw bspw evtl ggf inkl exkl zzgl vgl Nr Nrn Dr Prof Hr Fr Frl Hrn Abs Art Bd Kap Str Tel Mio Mrd max geb gest lt sog Abb Aufl Ing Dipl St",
-    "es": "Sr Sra Srta Sres Dr Dra Dña Ud Uds Vd Vds aprox núm nro pág págs p\\.\\s?ej ej art cap Lic Ing Prof av avda tel fig",
-    "fr": "MM Mme Mlle Dr Pr Me Ste p\\.\\s?ex ex env éd cf art chap fig vol tél av apr boul réf",
-    "ru": "ул просп пл пер наб кв корп гр им проф акад доц см ср напр рис табл тел стр обл оз пос т\\.\\s?е т\\.\\s?к т\\.\\s?н",
-    "el": "κ κα κος κκ δηλ Δρ καθ αρ σελ τηλ π\\.\\s?χ βλ πρβλ",
+    "es": "Sr Sra Srta Sres Dr Dra Dña Ud Uds Vd Vds aprox núm nro pág págs p.ej ej art cap Lic Ing Prof av avda tel fig",
+    "fr": "MM Mme Mlle Dr Pr Me Ste p.ex ex env éd cf art chap fig vol tél av apr boul réf",
+    "ru": "ул просп пл пер наб кв корп гр им проф акад доц см ср напр рис табл тел стр обл оз пос т.е т.к т.н",
+    "el": "κ κα κος κκ δηλ Δρ καθ αρ σελ τηλ π.χ βλ πρβλ",
     "hi": "डॉ श्री श्रीमती प्रो कु सुश्री पं स्व रु नं पृ इं",
-    "ar": "[ء-ي]",
 }
 # Abbreviations that may end a sentence; a capital after them tells.
 MAYBE = {
-    "en": "etc a\\.\\s?m p\\.\\s?m A\\.M P\\.M Inc Ltd Co Corp Jr Sr hrs min sec kg km ft lb oz Ave Rd Blvd",
-    "de": "usw etc Std Min Sek Std u\\.\\s?a o\\.\\s?ä u\\.\\s?ä",
-    "es": "etc EE\\.\\s?UU a\\.\\s?m p\\.\\s?m",
+    "en": "etc a.m p.m A.M P.M Inc Ltd Co Corp Jr Sr hrs min sec kg km ft lb oz Ave Rd Blvd",
+    "de": "usw etc Std Min Sek u.a o.ä u.ä",
+    "es": "etc EE.UU a.m p.m",
     "fr": "etc",
-    "ru": "т\\.\\s?д т\\.\\s?п др пр руб коп тыс млн млрд кг гг г",
-    "el": "κ\\.\\s?λ\\.?π κ\\.\\s?τ\\.\\s?λ κ\\.\\s?ά κ\\.\\s?α μ\\.\\s?μ π\\.\\s?μ λπ",
+    "ru": "т.д т.п др пр руб коп тыс млн млрд кг гг г",
+    "el": "κ.λπ κ.λ.π κ.τ.λ κ.ά κ.α μ.μ π.μ λπ",
 }
 # Words that begin a sentence when capitalised in its middle.
 STARTERS = (
@@ -79,8 +78,13 @@ def _words(text: str) -> str:
     return "(?:" + "|".join(text.split()) + ")"
 
 
-def _after_word(words: str) -> str:
-    return rf"(?<![^\W_]){_words(words)}\.$"
+class Words(NamedTuple):
+    """The pattern of a full stop after one of ``words``, before which no letter or digit stands."""
+
+    words: str
+
+    def pattern(self) -> str:
+        return rf"(?<![^\W_]){_words(self.words.replace('.', r'[.]\s?'))}\.$"
 
 
 def _lower(extra: str = "") -> str:
@@ -88,7 +92,7 @@ def _lower(extra: str = "") -> str:
 
 
 #: (break?, pattern that ends at the position, pattern that begins there)
-Rule = tuple[bool, str, str]
+Rule = tuple[bool, str | Words, str]
 
 #: What stands before a mark and is no name of a file or host.
 _TOKEN = r"[^\s.@/_\\]*+"
@@ -128,50 +132,114 @@ LAST: list[Rule] = [
     (False, r"(?:…|\.\.)[\"'”’»›)\]]*$", _lower()),
     (False, r"[.!?…](?:[\"'”’»›)\]“]|\s»)+$", _lower()),
     # initials and single letters, unless a new sentence plainly begins
-    (True, rf"(?<![^\W_])(?:[A-Z]\.){{2,}}$", rf"\s+(?:{'|'.join(STARTERS)})\b"),
+    (True, rf"(?<![^\W_])(?:[A-Z]\.){{2}}$", rf"\s+(?:{'|'.join(STARTERS)})\b"),
     (False, rf"(?<![^\W_])[{_UP}]\.$", rf"\s+(?!(?:{'|'.join(STARTERS)})\b)"),
     (False, rf"(?<![^\W_])[{_LOW}]\.$", r"\s+"),
-    (False, rf"(?<![^\W_])(?:[{_UP}]\.){{2,}}$", r"\s+"),
+    (False, rf"(?<![^\W_])(?:[{_UP}]\.){{2}}$", r"\s+"),
 ]
 
 BY_LANGUAGE: dict[str, list[Rule]] = {
     "en": [
-        (False, _after_word(NEVER["en"]), r"\s"),
-        (False, _after_word(MAYBE["en"]), rf"\s+(?:{_words(DATES)}\b|{_OPEN}[{_LOW}])"),
-        (True, _after_word(MAYBE["en"]), r"\s+"),
-        (False, _after_word("Jan Feb Mar Apr Jun Jul Aug Sept? Oct Nov Dec"), r"\s+\d"),
+        (False, Words(NEVER["en"]), r"\s"),
+        (False, Words(MAYBE["en"]), rf"\s+(?:{_words(DATES)}\b|{_OPEN}[{_LOW}])"),
+        (True, Words(MAYBE["en"]), r"\s+"),
+        (False, Words("Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"), r"\s+\d"),
     ],
     "de": [
-        (False, _after_word(NEVER["de"]), r"\s"),
-        (False, _after_word(MAYBE["de"]), _lower()), (True, _after_word(MAYBE["de"]), r"\s+"),
+        (False, Words(NEVER["de"]), r"\s"),
+        (False, Words(MAYBE["de"]), _lower()), (True, Words(MAYBE["de"]), r"\s+"),
         (False, r"(?:^|\s)\d{1,2}\.$", rf"\s+{_words(DATES)}\b"),
         (False, r"\b(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Dd]em|[Dd]es|[Jj]ede[rsnm]?|[Ss]eit|[Bb]is)\s+\d{1,2}\.$", rf"\s+[{_UP}{_LOW}]"),
-        (False, r"\b[zZ]\.\s?[BTb]\.$|\bd\.\s?h\.$|\b[vu]\.\s?a\.$|\bi\.\s?d\.\s?R\.$", r"\s"),
+        (False, Words("z.B z.T z.b Z.B Z.T Z.b d.h v.a u.a i.d.R"), r"\s"),
     ],
-    "es": [(False, _after_word(NEVER["es"]), r"\s"), (False, _after_word(MAYBE["es"]), _lower()), (True, _after_word(MAYBE["es"]), r"\s+")],
-    "fr": [(False, _after_word(NEVER["fr"]), r"\s"), (False, _after_word(MAYBE["fr"]), _lower()), (True, _after_word(MAYBE["fr"]), r"\s+")],
+    "es": [(False, Words(NEVER["es"]), r"\s"), (False, Words(MAYBE["es"]), _lower()), (True, Words(MAYBE["es"]), r"\s+")],
+    "fr": [(False, Words(NEVER["fr"]), r"\s"), (False, Words(MAYBE["fr"]), _lower()), (True, Words(MAYBE["fr"]), r"\s+")],
     "ru": [
-        (False, _after_word(NEVER["ru"]), r"\s"),
+        (False, Words(NEVER["ru"]), r"\s"),
         (True, r"\bт\.\s?[дп]\.$|\bдр\.$|\d\s?(?:г|гг|руб|коп|тыс|млн|кг)\.$", rf"\s+{_OPEN}[{_UP}]"),
-        (False, _after_word(MAYBE["ru"]), rf"\s+{_OPEN}[{_LOW}]"),
-        (False, _after_word("г"), rf"\s+[{_UP}]"),
+        (False, Words(MAYBE["ru"]), rf"\s+{_OPEN}[{_LOW}]"),
+        (False, Words("г"), rf"\s+[{_UP}]"),
     ],
     "el": [
-        (False, _after_word(NEVER["el"]), r"\s"),
+        (False, Words(NEVER["el"]), r"\s"),
         (True, r"(?:λπ|τ\.\s?λ|[κπμ]\.\s?[άαμ])\.$", rf"\s+{_OPEN}[{_UP}]"),
-        (False, _after_word(MAYBE["el"]), _lower()), (True, _after_word(MAYBE["el"]), r"\s+"),
+        (False, Words(MAYBE["el"]), _lower()), (True, Words(MAYBE["el"]), r"\s+"),
     ],
-    "hi": [(False, _after_word(NEVER["hi"]), r"\s")],
-    "ar": [(False, _after_word(NEVER["ar"]), r"\s")],
+    "hi": [(False, Words(NEVER["hi"]), r"\s")],
+    "ar": [(False, r"(?<![^\W_])[ء-ي]\.$", r"\s")],
 }
 #: The languages whose tables apply after a letter of a script.
 LATIN, CYRILLIC, GREEK, INDIC, ARABIC = ("en", "de", "es", "fr"), ("ru",), ("el",), ("hi",), ("ar",)
 
-#: By the character before the position, the rules that can match there, each with what it looks back to (null: a few characters).
-_Compiled = dict[str, list[tuple[bool, re.Pattern, re.Pattern, re.Pattern | None]]]
+#: Characters before the marks that a pattern without a part of any length can see; others look back as far as they need.
+_NEAR = 24
 _ENDS = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA0, 0x3100), *range(0xFF00, 0xFF70)]) if re.match(f"{_MARKS}|{_CLOSERS}|[;\u037e»]", c)]
 
 
+class _First(NamedTuple):
+    """What a pattern can begin with: blanks (None: as it likes, else whether they must be there), then a sign of ``sign`` (None: any or none)."""
+
+    blank: bool | None
+    sign: re.Pattern | None
+
+    def allows(self, blank: bool, sign: str) -> bool:
+        if self.blank and not blank:
+            return False
+        if self.blank is False and blank:
+            return self.sign is None or bool(self.sign.match(" "))
+        return self.sign is None or bool(self.sign.match(sign))
+
+
+_ELEMENT = re.compile(r"(\[(?:[^\]\\]|\\.)*\]|\\[sd]|[\w/])([*+?]?)")
+
+
+def _first(after: str) -> _First:
+    """``_First`` of a pattern, read off its leading elements; where they are not plain, nothing is ruled out."""
+    blank: bool | None = False
+    at = 0
+    if after.startswith("\\s"):
+        follows = after[2:3]
+        blank, at = (None if follows in ("*", "?") else True), 3 if follows in ("*", "?", "+") else 2
+    classes = []
+    while m := _ELEMENT.match(after, at):
+        classes.append(m.group(1))
+        if m.group(2) not in ("*", "?"):
+            return _First(blank, re.compile("|".join(classes)))
+        at = m.end()
+    return _First(None if blank is False else blank, None)
+
+
+class _Test(NamedTuple):
+    """A rule made ready: a bit of ``Table.held`` for words, else a pattern, what must stand before its last sign, and what ends its way back."""
+
+    breaks: bool
+    after: Callable
+    bit: int
+    before: Callable
+    tail: Callable | None
+    far: re.Pattern | None
+
+
+class Table(NamedTuple):
+    """Rules by the character before the position, and the bits of the rules that each word belongs to, words with a stop inside apart.
+
+    ``near`` narrows the rules to those that can match given what follows: a
+    blank or none, and the first character that is none.
+    """
+
+    tests: dict[str, list[tuple[_Test, _First]]]
+    near: dict[tuple[str, bool, str], list[_Test]]
+    held: dict[str, int]
+    dotted: dict[str, int]
+    sizes: list[int]
+
+    def given(self, last: str, blank: bool, sign: str) -> list[_Test]:
+        key = (last, blank, sign)
+        if (found := self.near.get(key)) is None:
+            found = self.near[key] = [test for test, first in self.tests[last] if first.allows(blank, sign)]
+        return found
+
+
 def _may_end(before: str, c: str) -> bool:
     """Whether a text that ends in ``c`` can match; decided by the pattern's last element where that is plain."""
     if before.endswith("\\.$") and "|" not in before.rsplit(")", 1)[-1]:
@@ -189,26 +257,34 @@ def _looks_back_to(before: str) -> re.Pattern | None:
     return re.compile(r"\S\s") if r"\s+" in before else None
 
 
-def _compile(rules: Iterable[Rule]) -> _Compiled:
-    made = [(b, before, re.compile(before), re.compile(after), _looks_back_to(before)) for b, before, after in rules]
-    return {c: [(b, x, y, far) for b, before, x, y, far in made if _may_end(before, c)] for c in _ENDS}
+def _tail(before: str) -> Callable | None:
+    """The test of the character before a full stop at the end, where the pattern's last element says it plainly."""
+    m = re.search(r"(\[(?:[^\]\\]|\\.)*\]|\\d)(?:\+|\{\d(?:,\d)?\})?\\\.\$$", before) or re.search(r"[+)\]}]([^\W\d_])+\\\.\$$", before)
+    return re.compile(m.group(1)).match if m and not re.search(r"\|(?![^(]*\))", before) else None
+
+
+def _compile(rules: Iterable[Rule]) -> Table:
+    held: dict[str, int] = {}
+    made = []
+    for i, (breaks, before, after) in enumerate(rules):
+        bit = 0
+        if isinstance(before, Words):
+            bit = 1 << i
+            for w in before.words.split():
+                held[w] = held.get(w, 0) | bit
+            before = before.pattern()
+        made.append((before, _Test(breaks, re.compile(after).match, bit, re.compile(before).search, _tail(before), _looks_back_to(before)), _first(after)))
+    tests = {c: [(test, first) for before, test, first in made if _may_end(before, c)] for c in _ENDS}
+    dotted = {w: bits for w, bits in held.items() if "." in w}
+    return Table(tests, {}, {w: bits for w, bits in held.items() if w not in dotted}, dotted, sorted({len(w) for w in held if w not in dotted}))
 
 
 _FIRST, _LAST = _compile(FIRST), _compile(LAST)
 _TABLES = {langs: _compile(r for lang in langs for r in BY_LANGUAGE[lang]) for langs in (LATIN, CYRILLIC, GREEK, INDIC, ARABIC)}
 _NO_TABLE = _compile([])
-_LETTER = re.compile(r"[^\W\d_]")
-_WORD = re.compile(r"\s+([^\W_]+(?:\.[^\W_]+)*)")
-_KNOWN = frozenset(
-    w.casefold()
-    for table in (*NEVER.values(), *MAYBE.values(), "no nos Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec")
-    for x in table.split()
-    for w in re.findall(r"[^\W\d_]+", x.replace("\\s", ""))
-)
 _GREEK = re.compile("[Ͱ-Ͽἀ-\u1fff]")
-_SIGN = re.compile(_MARKS + "|[;;]")
-#: Characters before a mark that are read at a time; rules with a part of any length take more.
-_BACK = 60
+_SIGN = re.compile(_MARKS + "|[;;]")
+_STOP_BLANK = re.compile(r"\.\s")
 
 
 def _reach(text: str, low: int, at: int, far: re.Pattern) -> int:
@@ -219,13 +295,30 @@ def _reach(text: str, low: int, at: int, far: re.Pattern) -> int:
     return max(0, low - _BACK)
 
 
-def _holds(text: str, before: re.Pattern, far: re.Pattern | None, low: int, at: int) -> bool:
-    """Whether ``before`` matches the text up to ``at``."""
-    return bool(before.search(text, _reach(text, low, at, far) if far else low, at))
+#: Characters read at a time on the way back to what a pattern looks for.
+_BACK = 60
 
 
-def _tables(text: str, start: int, at: int) -> _Compiled:
-    """The tables of the script of the last letter before the mark."""
+def _rules_of(text: str, at: int, table: Table) -> int:
+    """The bits of the word rules that hold for the word before the full stop at ``at - 1``."""
+    stop, bits = at - 1, 0
+    for size in table.sizes:
+        i = stop - size
+        if i < 0:
+            break
+        found = table.held.get(text[i:stop])
+        if found and not (i and text[i - 1].isalnum()):
+            bits |= found
+    if table.dotted and "." in (tail := text[max(0, stop - _NEAR) : stop]):
+        tail = _STOP_BLANK.sub(".", tail)
+        for word, found in table.dotted.items():
+            if tail.endswith(word) and not (len(tail) > len(word) and tail[-len(word) - 1].isalnum()):
+                bits |= found
+    return bits
+
+
+def _script_table(text: str, start: int, at: int) -> Table:
+    """The table of the script of the last letter before the mark."""
     i = at - 1
     while i >= start and not text[i].isalpha():
         i -= 1
@@ -243,53 +336,26 @@ def _tables(text: str, start: int, at: int) -> _Compiled:
     return _TABLES[LATIN] if c < "\u0300" or "Ḁ" <= c <= "ỿ" else _NO_TABLE
 
 
-_GOES_ON = frozenset(",;:،؛，；、：])}）")
-_BEFORE_WORD = frozenset(" \t\r\n(\"“«„‘’'-")
-
+def _decide(text: str, start: int, mark: int, at: int, end: int) -> bool:
+    """Whether a sentence ends at ``at``: the first rule of the three tables whose patterns match says so, without any it does.
 
-def _plain(text: str, at: int, end: int) -> bool | None:
-    """What needs no table: inside a number or name no, after a whole word that is no abbreviation yes; else None."""
-    mark, after = text[at - 1], text[at]
-    if mark == ".":
-        if after.isascii() and (after.isdigit() or after.islower()):
-            return False
-        if not after.isspace():
-            return None
-        i = at - 2
-        while i >= 0 and text[i].isalpha():
-            i -= 1
-        word = text[i + 1 : at - 1]
-        if len(word) < 2 or (i >= 0 and text[i] not in _BEFORE_WORD) or word.casefold() in _KNOWN:
-            return None
-    elif mark not in "。！？｡।॥" and not (mark in "!?" and after.isspace()):
-        return None
-    i = at
+    ``start`` and ``end`` bound the block, the marks begin at ``mark``.
+    """
+    low = max(0, mark - _NEAR)
+    last, i = text[at - 1], at
     while i < end and text[i].isspace():
         i += 1
-    return None if i == end or text[i] in _GOES_ON else True
-
-
-def _decide(text: str, start: int, mark: int, at: int, end: int, names: frozenset[str]) -> bool:
-    """Whether a sentence ends at ``at``; ``start`` and ``end`` bound the block, the marks begin at ``mark``."""
-    low = max(0, mark - _BACK)
-    last = text[at - 1]
-    for breaks, before, after, far in _FIRST[last]:
-        if after.match(text, at, end) and _holds(text, before, far, low, at):
-            return breaks
-    tables = _tables(text, start, at)
-    named = False
-    if names and (m := _WORD.match(text, at, end)) and m.group(1)[0].islower():
-        named = m.group(1) in names
-    for breaks, before, after, far in tables[last]:
-        if named and not breaks and after.pattern != r"\s":
-            continue
-        if after.match(text, at, end) and _holds(text, before, far, low, at):
-            return breaks
-    if named:
-        return not re.search(r"(?<![^\W_])[^\W\d_]\.$", text[low:at]) or bool(re.search(r"\b[ap]\.\s?m\.$", text[low:at]))
-    for breaks, before, after, far in _LAST[last]:
-        if after.match(text, at, end) and _holds(text, before, far, low, at):
-            return breaks
+    blank, sign = i > at, text[i] if i < end else ""
+    for table in (_FIRST, _script_table(text, start, at), _LAST):
+        bits = -1
+        for breaks, after, bit, before, tail, far in table.given(last, blank, sign):
+            if bit:
+                if bits < 0:
+                    bits = _rules_of(text, at, table)
+                if bits & bit and after(text, at, end):
+                    return breaks
+            elif (tail is None or tail(text, at - 2)) and after(text, at, end) and before(text, _reach(text, low, at, far) if far else low, at):
+                return breaks
     return True
 
 
@@ -343,12 +409,8 @@ def _closes(text: str, start: int, m: re.Match) -> int:
     return end
 
 
-def sentence_spans(text: str | None, names: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """(start, end) of every sentence of ``text``, without the blanks around it.
-
-    ``names`` are names written in small letters that may begin a sentence.
-    Null, empty and blank texts have none.
-    """
+def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of every sentence of ``text``, without the blanks around it; null, empty and blank texts have none."""
     if not text or text.isspace():
         return []
     out: list[tuple[int, int]] = []
@@ -370,10 +432,8 @@ def sentence_spans(text: str | None, names: frozenset[str] = frozenset()) -> lis
                 at = _closes(text, start, m)
             elif text[at - 1] == ";" and not _GREEK.match(text, max(0, at - 2)):
                 continue
-            if start < at < end:
-                sure = _plain(text, at, end) if at - m.start() == 1 else None
-                if sure or (sure is None and _decide(text, start, m.start(), at, end, names)):
-                    cuts.append(at)
+            if start < at < end and _decide(text, start, m.start(), at, end):
+                cuts.append(at)
         if thai:
             cuts += [m.start() for m in _THAI_BLANK.finditer(text, first, end)]
             cuts = sorted(set(cuts))
@@ -388,47 +448,22 @@ def sentence_spans(text: str | None, names: frozenset[str] = frozenset()) -> lis
 SCHEMA = "doc_id bigint, start_pos int, end_pos int"
 
 
-def small_letter_names(sites: DataFrame) -> DataFrame:
-    """(name): the distinct values of the column ``website`` that begin with a small letter, without a leading ``www.``."""
-    plain = F.regexp_replace(F.trim("website"), r"^(?i)www\.", "")
-    return sites.select(plain.alias("name")).where(F.col("name").rlike("^[a-z][\\w.-]+$")).distinct()
-
-
-def _with_names(documents: DataFrame, names: DataFrame) -> DataFrame:
-    """``documents`` with those of the names that follow a mark in each, by joins: for more names than one set should hold."""
-    after = F.regexp_extract_all("text", F.lit(r"(?U)[.!?\u2026]\S{0,3}\s+([a-z][\w.-]*\w)"), F.lit(1))
-    words = documents.select("doc_id", F.explode(F.array_distinct(after)).alias("name"))
-    held = words.join(names, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    return documents.join(held, "doc_id", "left")
-
-
-def split_sentences(documents: DataFrame, names: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+def split_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, start_pos, end_pos): one row per sentence of ``documents`` (doc_id, text).
 
-    Positions count Unicode characters.  ``names`` (name) are names in small
-    letters that may begin a sentence: up to ``most`` are sent to the
-    executors, and the documents are then only mapped, never shuffled; more
-    are joined to the documents that use them.  Null, empty and blank texts
-    have no sentences.
+    Positions count Unicode characters.  The documents are only mapped, never
+    shuffled.  Null, empty and blank texts have no sentences; repeated rows
+    give their sentences each.
     """
-    kept = documents.select("doc_id", "text").where("text is not null")
-    known: frozenset[str] = frozenset()
-    if names is not None and rows_at_most(names, most):
-        known = frozenset(r.name for r in names.collect())
-    elif names is not None:
-        kept = _with_names(kept, names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, starts, ends = [], [], []
-            own = batch["names"] if "names" in batch else [known] * len(batch)
-            for doc, text, few in zip(batch["doc_id"], batch["text"], own, strict=True):
-                for a, b in sentence_spans(text, known if few is None else frozenset(few)):
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                for a, b in sentence_spans(text):
                     ids.append(doc)
                     starts.append(a)
                     ends.append(b)
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "start_pos": pd.Series(starts, dtype="int32"), "end_pos": pd.Series(ends, dtype="int32")})
 
-    if "names" not in kept.columns:
-        kept = spread(kept)
-    return kept.mapInPandas(run, SCHEMA)
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(run, SCHEMA)

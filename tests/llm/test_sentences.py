@@ -1,3 +1,6 @@
+import random
+import re
+
 from stepmill.llm import sentences as s
 
 # sentences are separated by ¦ here; what stands between two of them in the text is a blank, unless \0 says none
@@ -50,12 +53,6 @@ def test_lines_and_bullets():
         assert got == ["A heading", "One line goes on.", "Two", "- a bullet", "• bee.", "Then sea", "12. number", "* last"], (eol, got)
 
 
-def test_names_in_small_letters_begin_sentences():
-    text = "It sells lamps, etc. fomoband asks. He said “Pay?” fomoband asks. At 9 a.m. fomoband asks. It sells etc. stays."
-    assert len(s.sentence_spans(text)) == 4
-    assert len(s.sentence_spans(text, frozenset({"fomoband"}))) == 7
-
-
 def test_no_sentences_and_long_texts():
     assert s.sentence_spans(None) == s.sentence_spans("") == s.sentence_spans(" \n\t\n") == []
     assert s.sentence_spans("...") == [(0, 3)]
@@ -68,12 +65,6 @@ def test_table(spark):
     got = sorted(((r.doc_id or 0), r.start_pos, r.end_pos) for r in s.split_sentences(docs).collect())
     assert got == [(0, 0, 8), (1, 0, 6), (1, 0, 6), (1, 7, 13), (1, 7, 13)]
     assert s.split_sentences(docs.limit(0)).count() == 0
-    sites = spark.createDataFrame([("www.ab.c ",), ("AB",), (None,), ("ab",)], "website string")
-    names = s.small_letter_names(sites)
-    assert {r.name for r in names.collect()} == {"ab.c", "ab"}
-    more = spark.createDataFrame([(1, "It sells lamps, etc. ab asks. At 9 a.m. ab.c asks. So etc. it."), (2, "He said “Pay?” ab asks."), (3, "None."), (None, "x")], "doc_id bigint, text string")
-    one = sorted(map(tuple, s.split_sentences(more, names).na.fill(0, ["doc_id"]).collect()))
-    assert one == sorted(map(tuple, s.split_sentences(more, names, most=1).na.fill(0, ["doc_id"]).collect())) and len(one) == 9
 
 
 def test_rules_see_quotations_tokens_and_blanks_of_any_length():
@@ -106,3 +97,37 @@ def test_signs_that_begin_no_sentence_after_a_whole_word_and_a_blank():
         for text in (f"See the page. {sign} and the next", f"See the page.\n {sign}"):
             assert [text[a:b] for a, b in s.sentence_spans(text)] == [text]
     assert len(s.sentence_spans("See the page. (And the next)")) == 2
+
+
+def test_no_mark_is_decided_beside_the_tables():
+    whole = ["(See the list. ) Then go.", "He saw lamps. , and left.", "店员喊“" + "快" * 70 + "！”然后走了。", "We use it etc. and my-site stays."]
+    for text in whole[1:]:
+        assert len(s.sentence_spans(text)) == 1, text
+    assert [whole[0][a:b] for a, b in s.sentence_spans(whole[0])] == ["(See the list. ) Then go."]
+
+
+def _by_all_patterns(text, start, at, end):
+    """The decision of the rule tables read as they are written, every pattern over the whole text."""
+    c = next((c for c in reversed(text[start:at]) if c.isalpha()), "a")
+    langs = next((k for k, v in s._TABLES.items() if v is s._script_table(c + ".", 0, 2)), ())
+    for breaks, before, after in [*s.FIRST, *(r for lang in langs for r in s.BY_LANGUAGE[lang]), *s.LAST]:
+        before = before.pattern() if isinstance(before, s.Words) else before
+        if re.compile(after).match(text, at, end) and re.compile(before).search(text, 0, at):
+            return breaks
+    return True
+
+
+def test_decisions_are_those_of_all_patterns_in_order():
+    rnd = random.Random(11)
+    words = [w for table in (*s.NEVER.values(), *s.MAYBE.values()) for w in table.split()] + ["no", "No", "was", "is", "am", "3", "12", "4.5", "A", "J.R", "z. B", "p. m", "May", "The", "the", "He", "asked", "Hotel", "lamp", "页面", "说", "ด", "का", "مرحبا", "Дом", "дом", "Ένα", "x/y", "a_b", "«", "“", "„", "(", "「", "x" * 40]
+    signs = [".", "!", "?", "…", "。", "！", "।", "؟", ";", ".”", "!”", ".)", "!»", " »", "？」", "..", "?!", ".\"", "！”"]
+    gaps = [" ", " ", " ", "", "\n", "  ", " " * 30, ", ", " — ", " ) "]
+    seen = 0
+    for _ in range(3000):
+        text = "".join(rnd.choice(words) + (rnd.choice(signs) if rnd.random() < 0.6 else "") + rnd.choice(gaps) for _ in range(rnd.randint(1, 9)))
+        for m in s._CANDIDATE.finditer(text):
+            at = m.end()
+            if 0 < at < len(text):
+                seen += 1
+                assert s._decide(text, 0, m.start(), at, len(text)) == _by_all_patterns(text, 0, at, len(text)), (text, at)
+    assert seen > 8000

@@ -17,12 +17,15 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests, local runs) a local folder
-    is made once per session and set as the checkpoint folder.
+    Where ``spark.checkpoint.dir`` is unset in a local run (tests) a local
+    folder is made once per session and set as the checkpoint folder; on a
+    cluster an unset one is an error, since its machines share no such folder.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     sc = spark.sparkContext
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stepmill-shared-")
         spark.conf.set(CHECKPOINT_KEY, folder)
     if sc.getCheckpointDir() is None:
@@ -51,13 +54,20 @@ def rows_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is.
+def fits(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> bool:
+    """True if ``df`` has at most ``rows`` rows whose values, written as text, have at most ``size`` characters in all."""
+    text = F.concat_ws("", *[F.to_json(F.struct(c)) if "<" in t else F.col(f"`{c}`").cast("string") for c, t in df.dtypes])
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).first()
+    return got.n <= rows and (got.chars or 0) <= size
 
-    The hint is given only after counting, so a table that has outgrown the
-    bound is joined by shuffle.
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it ``fits``, else as it is.
+
+    The hint is given only after counting rows and characters, so a table that
+    has outgrown the bound is joined by shuffle.
     """
-    return F.broadcast(df) if rows_at_most(df, limit) else df
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -68,7 +78,7 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle so far: counting the partitions of others would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ship_code(spark: SparkSession) -> None:

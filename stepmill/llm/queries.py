@@ -46,8 +46,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per evaluation split and website."""
-    rows = _read(spark, folder, "eval_rows")
-    return overlap.overlap_counts(rows, cut(overlap.request_overlaps(rows)))
+    return overlap.overlap_counts(_read(spark, folder, "eval_rows"))
 
 
 def p2_tasks(spark: SparkSession, folder: str) -> DataFrame:

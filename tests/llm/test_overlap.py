@@ -39,7 +39,7 @@ def test_rows_without_split_or_task_are_left_out(spark):
     rows = _rows(spark, [("t0", "train", BASE, "a", None), ("e0", None, BASE, "a", None), ("e1", "", BASE, "a", None), ("e2", "overall", BASE, "a", None), (None, "val", BASE, "a", None), ("t0", "val", BASE, "a", None), ("e3", "cross_domain", BASE, None, None), ("e3", "cross_domain", BASE, None, None)])
     pairs = o.request_overlaps(rows)
     assert {(r.eval_task, r.split, r.train_task) for r in pairs.collect()} == {("e3", "cross_domain", "t0")}
-    counts = {(r.split, r.website): (r.tasks, r.tasks_found, r.pairs, r.exact_pairs) for r in o.overlap_counts(rows, pairs).collect()}
+    counts = {(r.split, r.website): (r.tasks, r.tasks_found, r.pairs, r.exact_pairs) for r in o.overlap_counts(rows).collect()}
     assert counts["cross_domain", ""] == (1, 1, 1, 1) and counts["val", "a"] == (1, 0, 0, 0)
     assert {(r.task, r.partners) for r in o.leaked_tasks(rows).collect()} >= {("e3", 1)}
     assert o.request_overlaps(rows.limit(0)).count() == 0
@@ -80,14 +80,43 @@ def test_partners_without_pairs_are_those_of_the_pairs(spark):
     assert ("lone", "val") not in got and got["both", "val"][0][1] == 2
 
 
-def test_slips_are_told_by_relative_frequency(spark):
+def test_slips_are_told_by_shares_at_any_count(spark):
     def right(*counts):
         table = spark.createDataFrame([(w, n, 0, n) for w, n in counts], "word string, df long, caps long, smalls long")
         return {(r.word, r.right) for r in o.corrections(table).collect()}
 
-    for times in (1, 10):
-        assert right(("tickts", 2 * times), ("tickets", 160 * times)) == {("tickts", "tickets")}
-    assert right(("tickts", 1), ("tickets", 8)) == right(("tickts", 2), ("tickets", 16)) == right(("tickts", 50), ("tickets", 5000)) == {("tickts", "tickets")}
-    assert right(("cabin", 200), ("cabins", 1600)) == right(("cabin", 2), ("cabins", 15)) == set()
+    for times in (1, 10, 100):
+        counts = [("tickts", 2), ("tickets", 160), ("adress", 1), ("address", 20), ("cart", 1), ("card", 20), ("cabin", 1), ("cabins", 10), ("patents", 1), ("patients", 600), ("fr", 40), ("for", 400), ("of", 2), ("or", 200)]
+        # a real word is none, unless next to never
+        assert right(*((w, n * times) for w, n in counts)) == {("tickts", "tickets"), ("adress", "address"), ("patents", "patients")}
     assert right(("fr", 2), ("for", 200)) == {("fr", "for")}
-    assert right(("of", 2), ("or", 200)) == right(("fr", 40), ("for", 400)) == right(("f", 1), ("fr", 200), ("for", 9)) == set()
+    assert right(("tickts", 1), ("tickets", 8)) == right(("tickts", 50), ("tickets", 5000)) == {("tickts", "tickets")}
+    assert right(("cabin", 200), ("cabins", 1600)) == right(("cabin", 2), ("cabins", 15)) == right(("f", 1), ("fr", 200), ("for", 9)) == set()
+
+
+def test_neighbours_tell_slips(spark):
+    def right(odd):
+        seqs = [["buy", "a", "vulmet", "for", f"n{i}"] for i in range(20)] + odd
+        table = spark.createDataFrame([(s,) for s in seqs], "words array<string>")
+        counts = table.select(o.F.explode("words").alias("word")).groupBy("word").agg(o.F.count("*").alias("df"), o.F.lit(0).alias("caps"), o.F.count("*").alias("smalls"))
+        return {(r.word, r.right) for r in o.corrections(counts, table).collect()}
+
+    assert right([["buy", "a", "vulmt", "for", "us"]]) == right([["buy", "the", "vulmt", "for", "us"]]) == {("vulmt", "vulmet")}
+    assert right([["read", "no", "vulmt", "today"]]) == set()
+
+
+def test_real_words_are_not_overwritten(spark):
+    card = [(f"t{i}", "train", f"Order a gift card with the sign {chr(97 + i)}{chr(98 + i)}o on it", "s", None) for i in range(20)]
+    rows = _rows(spark, [*card, ("a", "train", "buy a red card for the garden", "s", None), ("b", "val", "buy a red cart for the garden", "s", None)])
+    assert not {r.eval_task for r in o.request_overlaps(rows).collect()} & {"b"}
+
+
+def test_exact_is_as_written(spark):
+    got = _pairs(spark, [BASE, BASE.upper() + " !", "Please " + BASE, BASE.replace("tickets", "tikcets")])
+    assert got == {("e0", "t0"): True, ("e1", "t0"): True, ("e2", "t0"): False, ("e3", "t0"): False}
+
+
+def test_many_corrections_are_joined(spark):
+    goals = o.task_goals(_rows(spark, [("t0", "train", BASE, "a", None), ("e0", "val", BASE.replace("tickets", "tikcets"), "b", None)]))
+    few, many = ({(bytes(r.g), bytes(r.bag), r.h, r.raw) for r in o.request_keys(goals, most=most).collect()} for most in (100, 0))
+    assert few == many and len(few) == 62

@@ -33,19 +33,20 @@ def entity_edges(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("_annotation_id").alias("task"), site_key(F.col("website")).alias("site")).where("task is not null and site is not null").distinct()
 
 
-def connect(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """(site, label) with one label, the least site, for each component of (task, site).
 
     Minimum labels travel site -> task -> site; after each step a label is
     replaced by its own label, so chains shorten by half.  Only tasks with two
-    sites or more tie sites, so the iteration runs on these alone.  Each round
+    sites or more tie sites, so the iteration runs on these alone, until no
+    label changes: labels only fall, so it ends whatever the graph.  Each round
     is written to the shared folder, which cuts the lineage.
     """
     sites = edges.select("site").distinct()
     tying = edges.groupBy("task").agg(F.count("*").alias("n")).where("n > 1").select("task")
     links = cut(edges.join(tying, "task"))
     labels = cut(links.select("site").distinct().withColumn("label", F.col("site")))
-    for _ in range(rounds):
+    while True:
         tasks = links.join(labels, "site").groupBy("task").agg(F.min("label").alias("low"))
         seen = links.join(tasks, "task").groupBy("site").agg(F.min("low").alias("low"))
         step = labels.join(seen, "site").select("site", "label", F.least("label", "low").alias("low"))
@@ -55,21 +56,24 @@ def connect(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("site", F.col("new").alias("label"))
         if not changed:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return sites.join(labels, "site", "left").select("site", F.coalesce("label", "site").alias("label"))
 
 
+def site_classes(rows: DataFrame) -> DataFrame:
+    """(website, label): every distinct website value with the least site of its component; the form without pairs."""
+    labels = connect(cut(entity_edges(rows)))
+    values = rows.select("website").distinct().withColumn("site", site_key(F.col("website"))).where("site is not null")
+    return values.join(labels, "site", "left").select("website", F.coalesce("label", "site").alias("label"))
+
+
 def tied_sites(rows: DataFrame) -> DataFrame:
     """(website_a, website_b): all pairs of different website values that must share a split.
 
     Pairs are made only of the distinct values of one component, which the
-    result asks for; rows never meet in pairs.
+    result asks for; rows never meet in pairs.  ``site_classes`` says the same
+    in one row for each value.
     """
-    edges = cut(entity_edges(rows))
-    labels = connect(edges)
-    values = rows.select("website").distinct().withColumn("site", site_key(F.col("website"))).where("site is not null")
-    placed = cut(values.join(labels, "site", "left").select("website", F.coalesce("label", "site").alias("label")))
+    placed = cut(site_classes(rows))
     a = placed.select("label", F.col("website").alias("website_a"))
     b = placed.select("label", F.col("website").alias("website_b"))
     return a.join(b, "label").where(F.col("website_a") < F.col("website_b")).select("website_a", "website_b")
@@ -103,7 +107,7 @@ def record_groups(rows: DataFrame) -> DataFrame:
     return placed.join(merged, "grp", "left").groupBy("id").agg(F.min(F.coalesce("to", "grp")).alias("grp"), F.min("label").alias("label"))
 
 
-def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000) -> DataFrame:
+def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000, most_labels: int = 1000) -> DataFrame:
     """(grp, split) for ``records`` (id, grp, label) and ``shares`` (split, share_pct).
 
     Groups of at least 1/``large`` of all records (so at most ``large``, a
@@ -120,7 +124,11 @@ def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000) -> D
     wanted = {r.split: float(r.share_pct) for r in shares.orderBy("split").collect() if r.split is not None}
     if not wanted:
         raise ValueError("no shares given")
-    per = records.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    per = cut(records.groupBy("grp", "label").agg(F.count("*").alias("n")))
+    kept = per.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels + 1).collect()
+    if len(kept) > most_labels:
+        plain = [r.label for r in kept[:most_labels] if r.label is not None]
+        per = per.withColumn("label", F.when(F.col("label").isin(plain), F.col("label"))).groupBy("grp", "label").agg(F.sum("n").alias("n"))
     groups = cut(per.groupBy("grp").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main")))
     total = groups.agg(F.sum("n")).first()[0] or 0
     names = sorted(wanted)

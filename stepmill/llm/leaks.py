@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepmill.llm.charforms import _NEAR, _PROTO, FORMS, INVISIBLES, LATIN_VARIANTS
-from stepmill.session import rows_at_most, spread
+from stepmill.session import fits, spread, table_folder
 
 _WORD = re.compile(r"[^\W_]+")
 _HAN = re.compile("[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -103,31 +103,34 @@ def _hits(auto, text: str) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
-def _original_words(text: str) -> tuple[list[int], list[int]]:
-    """Start and end of every folded word in the original text, in order.
+def _joins(ch: str) -> bool:
+    """Whether a character (as it is compared) may change the one before it: a mark, a vowel or end of a Korean syllable, or nothing."""
+    new = _FOLD.get(ord(ch), ch)
+    return not new or unicodedata.category(new[0])[0] == "M" or "\u1160" <= new[0] <= "\u11ff"
 
-    The fold of a text and the folds of its characters agree in letters, so
-    the words are found again by walking over the original.
+
+def folded_places(text: str) -> tuple[str, list[int], list[int]]:
+    """``fold(text)`` with, for each of its characters, the start and end of what it stands for in ``text``.
+
+    The text is folded in pieces that do not touch each other: a character
+    with the marks and invisible characters after it.  Invisible characters at
+    the end of a piece belong to none.
     """
-    starts, ends = [], []
-    inside = False
-    for i, ch in enumerate(text):
-        folded = fold(ch)
-        if not folded and (inside or ch in INVISIBLES):
-            continue
-        if inside and unicodedata.combining(ch) and len(unicodedata.normalize("NFC", text[i - 1 : i + 1])) == 1:
-            ends[-1] = i + 1
-            continue
-        if folded and _WORD.fullmatch(folded):
-            if not inside:
-                starts.append(i)
-                ends.append(i + 1)
-                inside = True
-            else:
-                ends[-1] = i + 1
-        else:
-            inside = False
-    return starts, ends
+    out, starts, ends = [], [], []
+    at, size = 0, len(text)
+    while at < size:
+        end = at + 1
+        while end < size and not text[end].isascii() and _joins(text[end]):
+            end += 1
+        new = fold(text[at:end])
+        last = end
+        while last > at + 1 and not _FOLD.get(ord(text[last - 1]), "x"):
+            last -= 1
+        out.append(new)
+        starts += [at] * len(new)
+        ends += [last] * len(new)
+        at = end
+    return "".join(out), starts, ends
 
 
 def leaks_in(auto, has_words: bool, has_chars: bool, text: str) -> list[tuple[int, int, int]]:
@@ -135,61 +138,66 @@ def leaks_in(auto, has_words: bool, has_chars: bool, text: str) -> list[tuple[in
     found = words(text)
     if not found:
         return []
+    by_words = _hits(auto, " " + " ".join(found) + " ") if has_words else {}
+    by_chars = _hits(auto, "".join(found)) if has_chars and _HAN.search(text) else {}
+    if not by_words and not by_chars:
+        return []
+    folded, starts, ends = folded_places(text)
+    spans = [m.span() for m in _WORD.finditer(folded)]
     out = []
-    if has_words:
-        line = " " + " ".join(found) + " "
-        if hits := _hits(auto, line):
-            starts, ends = _original_words(text)
-            exact = len(starts) == len(found)
-            at = [0]
-            for w in found:
-                at.append(at[-1] + len(w) + 1)
-            place = {x: i for i, x in enumerate(at)}
-            for item, spans in hits.items():
-                for a, b in spans:
-                    i, j = place.get(a), place.get(b - 1)
-                    if i is None or j is None:
-                        continue  # a run of characters that happens to lie inside the line
-                    out.append((item, starts[i], ends[j - 1]) if exact else (item, 0, len(text)))
-    if has_chars and _HAN.search(text):
-        line = "".join(found)
-        if hits := _hits(auto, line):
-            letters = [i for i, ch in enumerate(text) for c in fold(ch) if _WORD.match(c)]
-            exact = len(letters) == len(line)
-            for item, spans in hits.items():
-                for a, b in spans:
-                    out.append((item, letters[a], letters[b - 1] + 1) if exact else (item, 0, len(text)))
+    # where each word begins in the line with a blank before every word, and in the line without blanks
+    for hits, gap in ((by_words, 1), (by_chars, 0)):
+        if not hits:
+            continue
+        place: dict[int, int] = {}
+        letters: list[int] = []
+        at = 0
+        for i, (a, b) in enumerate(spans):
+            place[at] = i
+            letters += range(a, b)
+            at += b - a + gap
+        place[at] = len(spans)
+        for item, stretches in hits.items():
+            for a, b in stretches:
+                if not gap:
+                    out.append((item, starts[letters[a]], ends[letters[b - 1]]))
+                elif a in place and b - 1 in place:  # else a run of characters that happens to lie inside the line
+                    out.append((item, starts[spans[place[a]][0]], ends[spans[place[b - 1] - 1][1] - 1]))
     return out
 
 
 SCHEMA = "doc_id bigint, item_id bigint, start_pos int, end_pos int"
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20, most_items: int = 20_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20, most_items: int = 20_000, most_chars: int = 500_000) -> DataFrame:
     """(doc_id, item_id, start_pos, end_pos): every stretch of ``documents`` (doc_id, text) taken from ``items`` (item_id, text).
 
-    The items are held-out material, bounded by ``most_items`` (checked before
-    they are sent to the executors); larger sets are scanned in blocks of that
-    size by ``find_leaks_in_blocks``.  Every document is scanned whole, where
-    it lies: nothing is shuffled.  Null and blank texts have no leaks.
+    The items are held-out material; one automaton holds up to ``most_items``
+    of them with up to ``most_chars`` characters (checked before they are sent
+    to the executors), larger sets are scanned in blocks of that size.  Every
+    document is scanned whole, where it lies: nothing is shuffled.  Null and
+    blank texts have no leaks.
     """
     wanted = items.select("item_id", "text").where("text is not null and item_id is not null")
-    if not rows_at_most(wanted, most_items):
-        return find_leaks_in_blocks(documents, items, min_words, min_chars, most_items)
+    if not fits(wanted, most_items, most_chars):
+        return find_leaks_in_blocks(documents, wanted, min_words, min_chars, most_items, most_chars)
     held = [(r.item_id, r.text) for r in wanted.orderBy("item_id").collect()]
     return _scan(documents, held, min_words, min_chars)
 
 
-def find_leaks_in_blocks(documents: DataFrame, items: DataFrame, min_words: int, min_chars: int, block: int) -> DataFrame:
-    """``find_leaks`` for more items than one automaton should hold: one scan for each block of items."""
-    wanted = items.select("item_id", "text").where("text is not null and item_id is not null")
-    blocks = -(-wanted.count() * 2 // block)
-    out = None
+def find_leaks_in_blocks(documents: DataFrame, items: DataFrame, min_words: int, min_chars: int, most_items: int, most_chars: int) -> DataFrame:
+    """``find_leaks`` for more items than one automaton should hold: one scan for each block of items.
+
+    The driver holds one block at a time; what it finds is written to the
+    shared folder before the next one comes.
+    """
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(-(-size.n // most_items), -(-(size.chars or 0) // most_chars)) * 2
+    folder = table_folder(items.sparkSession, "leaks")
     for k in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        one = _scan(documents, [(r.item_id, r.text) for r in part.collect()], min_words, min_chars)
-        out = one if out is None else out.unionAll(one)
-    return out
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        _scan(documents, [(r.item_id, r.text) for r in part.collect()], min_words, min_chars).write.parquet(f"{folder}/block={k}")
+    return items.sparkSession.read.schema(SCHEMA).parquet(*[f"{folder}/block={k}" for k in range(blocks)])
 
 
 def _scan(documents: DataFrame, held: list[tuple[int, str]], min_words: int, min_chars: int) -> DataFrame:

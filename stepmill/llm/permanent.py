@@ -1,13 +1,13 @@
 """Problem 5: a sample that stays the same as data grows.
 
-Every identifier gets a permanent random number when it is first seen: each
-delivery is anti-joined with the numbers already stored and only new ids are
-inserted.  The sample is always the ids under a threshold that never falls.
+Every identifier gets a permanent random number when it is first seen: new
+deliveries are anti-joined with the numbers already stored and only new ids
+are inserted.  The sample is always the ids under a threshold that never falls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepmill.llm.quota import uniform
@@ -63,11 +63,22 @@ class PermanentNumbers:
 
     def insert(self, ids: DataFrame, load: int) -> None:
         """Numbers for the ids of one delivery that were never seen; null ids get none."""
-        new = ids.select("id").where("id is not null").distinct()
+        self.insert_all(ids.select("id", F.lit(load).alias("load_no")), str(load))
+
+    def insert_all(self, rows: DataFrame, name: str = "all") -> None:
+        """Numbers for the ids of several deliveries (id, load_no) in one pass, as if each were inserted in its turn.
+
+        An id's first delivery is the least number it came with; ids already
+        stored keep theirs.  An insert without a new id leaves no folder.
+        """
+        new = rows.where("id is not null").groupBy("id").agg(F.min("load_no").cast("int").alias("first_load"))
         if self.parts:
             new = new.join(self.numbers().select("id"), "id", "left_anti")
-        part = f"{self.folder}/load={load}-{max(self._begun(), default=-1) + 1}"
-        new.select("id", uniform(F.col("id"), self.seed).alias("u"), F.lit(load).alias("first_load")).write.mode("error").parquet(part)
+        part = f"load={name}-{max(self._begun(), default=-1) + 1}"
+        new.select("id", uniform(F.col("id"), self.seed).alias("u"), "first_load").write.mode("error").parquet(f"{self.folder}/{part}")
+        if self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{part}").isEmpty():
+            fs, path = self._fs(part)
+            fs.delete(path, True)
 
     def raise_to(self, threshold: float) -> None:
         """Keep ``threshold`` as the highest; one below an earlier one is refused."""
@@ -85,11 +96,9 @@ class PermanentNumbers:
 
 
 def _filled(rows: DataFrame, seed: str, folder: str | None) -> PermanentNumbers:
-    """The store in ``folder`` after all deliveries of ``rows`` have been inserted in turn."""
-    base = rows.select("id", F.coalesce("load_no", F.lit(0)).alias("load_no"))
+    """The store in ``folder`` after all deliveries of ``rows`` have been inserted, by one pass over them."""
     store = PermanentNumbers(rows.sparkSession, folder, seed)
-    for r in base.select("load_no").distinct().orderBy("load_no").collect():
-        store.insert(base.where(F.col("load_no") == r.load_no), r.load_no)
+    store.insert_all(rows.select("id", F.coalesce("load_no", F.lit(0)).alias("load_no")))
     return store
 
 
@@ -111,7 +120,5 @@ def sample_history(rows: DataFrame, share: float = 0.2, seed: str = "permanent",
     store = _filled(rows, seed, folder)
     store.raise_to(share)
     per = store.numbers().groupBy("first_load").agg(F.count("*").alias("new_ids"), F.count_if(F.col("u") < share).alias("new_chosen"))
-    from pyspark.sql import Window
-
     upto = Window.orderBy("first_load").rowsBetween(Window.unboundedPreceding, 0)
     return per.select(F.col("first_load").alias("load_no"), "new_ids", "new_chosen", F.sum("new_ids").over(upto).alias("ids"), F.sum("new_chosen").over(upto).alias("chosen"))

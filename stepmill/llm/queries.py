@@ -59,6 +59,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.tied_sites(_read(spark, folder, "eval_rows"))
 
 
+def p3_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Every website value with the least site of its component: the same ties without pairs."""
+    return groups.site_classes(_read(spark, folder, "eval_rows"))
+
+
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the assignment, counted: distinct ids, and ids, sites and tasks that lie in two splits."""
+    rows = _read(spark, folder, "eval_rows").where("id is not null")
+    split = cut(p3_assignment(spark, folder))
+    placed = rows.select("id", groups.site_key(F.col("website")).alias("site"), F.col("_annotation_id").alias("task")).join(split, "id")
+    whole = split.agg(F.lit("ids").alias("rule"), F.countDistinct("id").alias("n")).unionAll(split.agg(F.lit("rows"), F.count("*")))
+    for key in ("id", "site", "task"):
+        torn = placed.where(F.col(key).isNotNull()).groupBy(key).agg((F.min("split") != F.max("split")).alias("torn"))
+        whole = whole.unionAll(torn.agg(F.lit(f"{key} in two splits"), F.count_if("torn")))
+    return whole
+
+
 def p3_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """(id, split) for every distinct id."""
     records = cut(groups.record_groups(_read(spark, folder, "eval_rows")))
@@ -73,9 +90,8 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets that cannot be met."""
-    _, report = quota.draw(_read(spark, folder, "eval_rows"), _read(spark, folder, "sample_targets"))
-    return report.where("unmet").select("target_set", "category")
+    """Targets that the sample cannot meet."""
+    return quota.unreached(_read(spark, folder, "eval_rows"), _read(spark, folder, "sample_targets"))
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,6 +131,14 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)[0]
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers, counted for each window: documents placed, and faults of four kinds."""
+    windows = _read(spark, folder, "context_windows")
+    sizes = cut(packing.token_counts(_read(spark, folder, "documents")))
+    packed = cut(packing.pack(packing.pieces(sizes, windows)))
+    return packing.faults(packed, sizes, windows)
+
+
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Containers used against the least possible."""
     packed, windows = _packed(spark, folder)
@@ -139,7 +163,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_canonical, p1_forms, p2_found, p2_counts, p2_tasks, p3_found, p3_assignment, p3_report,
-        p4_found, p4_sample, p4_report, p5_sample, p5_history, p6_containers, p6_report, p7_found, p7_stretches, p8_found,
+        p1_found, p1_canonical, p1_forms, p2_found, p2_counts, p2_tasks, p3_found, p3_sites, p3_assignment, p3_checks, p3_report,
+        p4_found, p4_sample, p4_report, p5_sample, p5_history, p6_containers, p6_checks, p6_report, p7_found, p7_stretches, p8_found,
     )
 }

@@ -82,6 +82,12 @@ def draw(rows: DataFrame, targets: DataFrame, seed: str = "stepmill") -> tuple[D
     category; no rows give an empty sample and every minimum unmet.  The same
     rows and seed give the same sample on any partitioning.
     """
+    sample, report, _ = _drawn(rows, targets, seed)
+    return sample, report
+
+
+def _drawn(rows: DataFrame, targets: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sample, report, left): as ``draw``, and (target_set, category, left) with the number of ids of each target's category that are not drawn."""
     each, report = plan(rows, targets)
     goals = report.collect()
     spark = rows.sparkSession
@@ -106,13 +112,14 @@ def draw(rows: DataFrame, targets: DataFrame, seed: str = "stepmill") -> tuple[D
     low, high = F.col("before") - F.col("start"), F.col("before") + F.col("p") - F.col("start")
     hit = F.ceil(high - F.lit(1e-9)) > F.ceil(low - F.lit(1e-9))
     chosen = ranked.withColumn("hit", hit).select("target_set", "category", "u", "id", "hit", "least")
-    got = chosen.where("hit and least is not null").groupBy("target_set", "category").agg(F.count("*").alias("got"))
-    need = wanted.where("least > 0").join(got, ["target_set", "category"], "left").select("target_set", "category", (F.col("least") - F.coalesce("got", F.lit(0))).alias("need")).where("need > 0")
+    tally = cut(chosen.where("least is not null").groupBy("target_set", "category").agg(F.count_if("hit").alias("got"), F.count_if(~F.col("hit")).alias("missed")))
+    need = wanted.where("least > 0").join(tally, ["target_set", "category"], "left").select("target_set", "category", (F.col("least") - F.coalesce("got", F.lit(0))).alias("need")).where("need > 0")
+    left = tally.join(F.broadcast(need), ["target_set", "category"], "left").select("target_set", "category", F.greatest(F.col("missed") - F.coalesce("need", F.lit(0)), F.lit(0)).alias("left"))
     spare = chosen.where("not hit").join(F.broadcast(need), ["target_set", "category"])
     first = Window.partitionBy("target_set", "category").orderBy("u", "id")
     extra = spare.withColumn("k", F.row_number().over(first)).where(F.col("k") <= F.col("need"))
     sample = chosen.where("hit").select("target_set", "id", "category", F.lit(False).alias("topped_up"))
-    return sample.unionAll(extra.select("target_set", "id", "category", F.lit(True).alias("topped_up"))), report
+    return sample.unionAll(extra.select("target_set", "id", "category", F.lit(True).alias("topped_up"))), report, left
 
 
 def _rank(laid: DataFrame) -> DataFrame:
@@ -136,6 +143,18 @@ def _rank(laid: DataFrame) -> DataFrame:
     return joined.withColumn("before", F.col("_off") + (F.col("_at") - F.col("_first")) * F.col("p")).select(*keys, "p", "before")
 
 
+def unreached(rows: DataFrame, targets: DataFrame, seed: str = "stepmill") -> DataFrame:
+    """(target_set, category): the targets that the sample of ``draw`` cannot meet.
+
+    Read off the sample: a target is out of reach where no id of its category
+    is left undrawn and what there is falls short of the share or the minimum,
+    by the exact figures of ``plan``.
+    """
+    _, report, left = _drawn(rows, targets, seed)
+    spent = F.coalesce("left", F.lit(0)) == 0
+    return report.join(F.broadcast(left), ["target_set", "category"], "left").where(spent & F.col("unmet")).select("target_set", "category")
+
+
 def quota_report(sample: DataFrame, report: DataFrame) -> DataFrame:
     """The report with what was drawn: (target_set, category, wanted_pct, have, asked, drawn, drawn_pct, unmet)."""
     got = sample.groupBy("target_set", "category").agg(F.count("*").alias("drawn"))

@@ -35,7 +35,26 @@ def test_passages_are_found_with_their_places(spark):
 def test_blocks_of_items_give_the_same(spark):
     docs = [(1, f"a {PART} b", 0, 0), (2, ITEMS[1][1], 0, 0)]
     one = {tuple(r) for r in _found(spark, docs).collect()}
-    assert one == {tuple(r) for r in _found(spark, docs, most_items=1).collect()} and len(one) == 2
+    assert one == {tuple(r) for r in _found(spark, docs, most_items=1).collect()} == {tuple(r) for r in _found(spark, docs, most_chars=40).collect()} and len(one) == 2
+
+
+def test_places_are_exact_whatever_stands_around():
+    passage = "住在河边的木匠打算修理半车干薰衣草，地点在老城墙"
+    auto = m.automaton(m.passages([(i, t) for i, t in ITEMS if t], 12, 20))
+    for odd in ("İ", "ΐ", "e\u0301\u0301", "\u200b", "ﬃ", "ｶﾞ", "ﾡￂ", "각", "İ\u200bﬁ", "\u0301", "ß", "한국"):
+        for text, part in ((f"{odd} x{odd}y {PART} {odd} z{odd}", PART), (f"{odd}前{odd} {passage}{odd}", passage)):
+            (one,) = m.leaks_in(auto, True, True, text)
+            assert text[one[1] : one[2]].rstrip("\u0301") == part, odd  # marks belong to their character
+
+
+def test_pieces_fold_as_the_whole_text():
+    rnd = random.Random(4)
+    signs = [chr(c) for c in (*range(0x20, 0x180), *range(0x300, 0x340), *range(0x370, 0x400), *range(0x1100, 0x1120), *range(0x1160, 0x1180), *range(0x11A8, 0x11B0), 0x200B, 0x200D, 0xFEFF, *range(0xFF01, 0xFFDD), 0xAC00, 0x1D400, 0x9C7, 0x9BE, 0x130, 0x1E9E)]
+    for _ in range(4000):
+        text = "".join(rnd.choices(signs, k=rnd.randint(1, 12)))
+        folded, starts, ends = m.folded_places(text)
+        assert folded == m.fold(text), [hex(ord(c)) for c in text]
+        assert len(starts) == len(ends) == len(folded) and all(0 <= a < b <= len(text) for a, b in zip(starts, ends, strict=True))
 
 
 def test_against_brute_force(spark):

@@ -92,3 +92,24 @@ def test_report_has_the_bound_of_the_sizes(spark):
     windows = spark.createDataFrame([("w", 100, 1), ("none", None, 1)], WINDOWS)
     row = k.packing_report(k.pack(k.pieces(table, windows)), windows).collect()
     assert [(r.window_name, r.tokens, r.containers, r.bound) for r in row] == [("w", 5500, 75, 75)]
+
+
+def test_rounds_go_on_until_nothing_is_saved(spark):
+    rnd = random.Random(9)
+    sizes = spark.createDataFrame([(i, rnd.choice([rnd.randint(1, 120), 55, 56, 67])) for i in range(3000)], "doc_id bigint, n_tokens int")
+    windows = spark.createDataFrame([("w", 100, 1), ("same", 54, 1)], WINDOWS)
+    packed = k.pack(k.pieces(sizes, windows), per_partition=40).cache()
+    assert [tuple(r)[1:] for r in k.faults(packed, sizes, windows).orderBy("window_name").collect()] == [(3000, 0, 0, 0, 0)] * 2
+    for name, cap in (("w", 100), ("same", 54)):
+        mine = [r["size"] for r in packed.where(k.F.col("window_name") == name).collect()]
+        assert k.lower_bound(mine, cap) <= packed.where(k.F.col("window_name") == name).select("container").distinct().count() <= len(k.best_fit(mine, cap)[1]) * 1.02 + 1
+
+
+def test_faults_are_seen(spark):
+    sizes = spark.createDataFrame([(1, 30), (2, 150), (3, 80)], "doc_id bigint, n_tokens int")
+    windows = spark.createDataFrame([("w", 100, 1)], WINDOWS)
+    bad = spark.createDataFrame(
+        [("w", 1, 0, 0, 30, "a", 0, True), ("w", 3, 0, 0, 80, "a", 0, True), ("w", 2, 0, 0, 75, "b", 25, True), ("w", 2, 1, 74, 75, "c", 24, True)],
+        "window_name string, doc_id bigint, piece int, start_token int, size int, container string, room int, certified boolean",
+    )
+    assert [tuple(r) for r in k.faults(bad, sizes, windows).collect()] == [("w", 3, 1, 1, 0, 2)]

@@ -9,8 +9,10 @@ null and empty pages give no nodes.
 
 from __future__ import annotations
 
+import codecs
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from stepmill.functions.schema import ATTRS_TYPE
+from stepmill.functions.text import class_words
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SAME_CLOSES = frozenset("p li option tr td th dt dd".split())
@@ -30,24 +33,24 @@ ANCESTOR_LABELS = ("aria-label", "title")
 INTERACTIVE = "a, button, input, select, option, textarea, [role]"
 
 _S = T.StringType()
-NODE = T.StructType(
-    [
-        T.StructField("pos", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("backend_node_id", _S),
-        T.StructField("tag", _S), T.StructField("role", _S), T.StructField("text", _S), T.StructField("attrs", ATTRS_TYPE),
-        T.StructField("matches", T.ArrayType(T.IntegerType())),
-    ]
-)
+_PLACE = [T.StructField("pos", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("backend_node_id", _S), T.StructField("tag", _S), T.StructField("role", _S), T.StructField("text", _S), T.StructField("attrs", ATTRS_TYPE)]
+NODE = T.StructType([*_PLACE, T.StructField("matches", T.ArrayType(T.IntegerType()))])
+#: As it leaves the parser: with the class attribute of nodes that have no other text.
+_PARSED = T.StructType([*NODE.fields, T.StructField("classes", _S)])
 
 
 class _Tree(HTMLParser):
-    """Elements in document order: [tag, attributes, parent, own text pieces in order]."""
+    """Elements in document order (tag, attributes, parent), with their places among siblings and their text pieces."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[str, dict, int]] = []
         self.pieces: list[tuple[int, str]] = []
         self.open: list[int] = []
-        self.last: list[int] = []
+        #: Of every node: its place among all siblings, among those of its tag, and the sibling before it.
+        self.places: list[tuple[int, int, int]] = []
+        self._seen: dict[int, tuple[int, int]] = {}
+        self._kinds: dict[tuple[int, str], int] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SAME_CLOSES and self.open and self.nodes[self.open[-1]][0] == tag:
@@ -56,8 +59,12 @@ class _Tree(HTMLParser):
         given: dict[str, str] = {}
         for k, v in attrs:
             given.setdefault(k, v or "")
-        self.nodes.append((tag, given, self.open[-1] if self.open else -1))
-        self.last.append(at)
+        parent = self.open[-1] if self.open else -1
+        self.nodes.append((tag, given, parent))
+        n, before = self._seen.get(parent, (0, -1))
+        kind = self._kinds.get((parent, tag), 0) + 1
+        self.places.append((n + 1, kind, before))
+        self._seen[parent], self._kinds[parent, tag] = (n + 1, at), kind
         if tag not in VOID:
             self.open.append(at)
 
@@ -67,7 +74,7 @@ class _Tree(HTMLParser):
             self._close()
 
     def _close(self) -> None:
-        self.last[self.open.pop()] = len(self.nodes) - 1
+        self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -98,11 +105,6 @@ def compact(attrs: dict) -> dict:
     return out
 
 
-def class_words(classes: str) -> str:
-    words = [w for w in re.sub("[-_]+", " ", classes).split() if len(w) > 2 and not w.isdigit()]
-    return " ".join(words[:4])
-
-
 def _texts(tree: _Tree) -> list[list[str]]:
     out: list[list[str]] = [[] for _ in tree.nodes]
     for owner, piece in tree.pieces:
@@ -113,7 +115,8 @@ def _texts(tree: _Tree) -> list[list[str]]:
     return out
 
 
-def _label(tree: _Tree, at: int, limit: int, pieces: list[str]) -> str:
+def _label(tree: _Tree, at: int, limit: int, pieces: list[str]) -> tuple[str, str | None]:
+    """(text, classes): the visible text of a node or what stands in for it; if nothing does, the class attribute for ``page_nodes`` to read."""
     text = " ".join(" ".join(pieces).split())
     attrs, parent = tree.nodes[at][1], tree.nodes[at][2]
     if not text:
@@ -123,116 +126,192 @@ def _label(tree: _Tree, at: int, limit: int, pieces: list[str]) -> str:
         above = tree.nodes[parent][1]
         text = next((above[k].strip() for k in ANCESTOR_LABELS if (above.get(k) or "").strip()), "")
         parent, steps = tree.nodes[parent][2], steps + 1
-    if not text and attrs.get("class"):
-        text = class_words(attrs["class"])
-    return text[:limit]
+    return text[:limit], (attrs.get("class") or None) if not text else None
 
 
-_SIMPLE = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<key>[\w-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?P<q>["']?)(?P<val>[^"'\]]*)(?P=q)\s*)?\]|:nth-child\((?P<nth>\d+)\)|(?P<first>:first-child)""")
+_SIMPLE = re.compile(
+    r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>(?:[\w-]|\\.)+)|\.(?P<cls>(?:[\w-]|\\.)+)"""
+    r"""|\[\s*(?P<key>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)'|(?P<w>[^\s"'\]]+))\s*)?\]"""
+    r"""|:(?P<nth>nth-child|nth-of-type)\(\s*(?P<n>\d+|odd|even)\s*\)|:(?P<first>first-child|first-of-type)"""
+)
+_LINK = re.compile(r"\s*([>+~])\s*|\s+")
+_ESCAPED = re.compile(r"\\(.)")
 
+#: A test takes (tree, position); a chain holds for each step how it hangs on the one before it, and its tests.
+_TestOf = Callable[[_Tree, int], bool]
 
-def _compound(text: str) -> list:
-    at, tests = 0, []
-    while at < len(text):
-        m = _SIMPLE.match(text, at)
-        if not m:
-            raise ValueError(f"selector not understood: {text}")
-        tests.append(m.groupdict())
-        at = m.end()
-    return tests
 
+def _attribute(key: str, op: str | None, want: str) -> _TestOf:
+    ways = {
+        None: lambda have: True,
+        "=": lambda have: have == want,
+        "~=": lambda have: want in have.split(),
+        "|=": lambda have: have == want or have.startswith(f"{want}-"),
+        "^=": lambda have: bool(want) and have.startswith(want),
+        "$=": lambda have: bool(want) and have.endswith(want),
+        "*=": lambda have: bool(want) and want in have,
+    }
+    way = ways[op]
+    return lambda tree, at: (have := tree.nodes[at][1].get(key)) is not None and way(have)
 
-def _fits(tree: _Tree, at: int, tests: list) -> bool:
-    tag, attrs, parent = tree.nodes[at]
-    for t in tests:
-        if t["tag"] and t["tag"] not in ("*", tag):
-            return False
-        if t["id"] and attrs.get("id") != t["id"]:
-            return False
-        if t["cls"] and t["cls"] not in (attrs.get("class") or "").split():
-            return False
-        if t["key"]:
-            have, want, op = attrs.get(t["key"]), t["val"], t["op"]
-            if have is None:
-                return False
-            ok = {None: True, "=": have == want, "~=": want in have.split(), "|=": have == want or have.startswith(f"{want}-"), "^=": bool(want) and have.startswith(want or ""), "$=": bool(want) and have.endswith(want or ""), "*=": bool(want) and (want or "") in have}[op]
-            if not ok:
-                return False
-        if t["nth"] or t["first"]:
-            order = [i for i, n in enumerate(tree.nodes) if n[2] == parent]
-            if order.index(at) + 1 != int(t["nth"] or 1):
-                return False
-    return True
 
+def _place(which: int, n: str) -> _TestOf:
+    if n in ("odd", "even"):
+        return lambda tree, at: tree.places[at][which] % 2 == (n == "odd")
+    return lambda tree, at: tree.places[at][which] == int(n)
 
-def select(tree: _Tree, selector: str) -> list[int]:
-    """Positions of the elements that a CSS selector matches (types, ids, classes, attributes, descendant and child steps, lists)."""
-    found: set[int] = set()
-    for part in re.split(r",(?![^\[]*\])", selector):
-        steps = re.findall(r"(>)|((?:\[[^\]]*\]|[^\s>\[])+)", part.strip())
-        chain: list[tuple[str, list]] = []
-        link = " "
-        for child, compound in steps:
-            if child:
-                link = ">"
-            else:
-                chain.append((link, _compound(compound)))
-                link = " "
-        if not chain:
+
+def _compound(text: str, at: int) -> tuple[list[_TestOf], int]:
+    """The tests of one element from ``at`` on, and where they end."""
+    tests: list[_TestOf] = []
+    begin = at
+    while at < len(text):
+        if text.startswith(":not(", at):
+            inner, at = _compound(text, at + 5)
+            if not inner or not text.startswith(")", at):
+                break
+            tests.append(lambda tree, k, inner=inner: not all(f(tree, k) for f in inner))
+            at += 1
+            continue
+        m = _SIMPLE.match(text, at)
+        if not m or (m["tag"] and at > begin):
+            break
+        if m["tag"] and m["tag"] != "*":
+            tests.append(lambda tree, k, tag=m["tag"].lower(): tree.nodes[k][0] == tag)
+        elif m["tag"]:
+            tests.append(lambda tree, k: True)
+        elif m["id"]:
+            tests.append(_attribute("id", "=", _ESCAPED.sub(r"\1", m["id"])))
+        elif m["cls"]:
+            tests.append(_attribute("class", "~=", _ESCAPED.sub(r"\1", m["cls"])))
+        elif m["key"]:
+            tests.append(_attribute(m["key"].lower(), m["op"], next((v for v in (m["d"], m["s"], m["w"]) if v is not None), "")))
+        else:
+            kind = m["nth"] or m["first"]
+            tests.append(_place(1 if kind.endswith("of-type") else 0, m["n"] or "1"))
+        at = m.end()
+    return tests, at
+
+
+@functools.lru_cache(1000)
+def chains(selector: str) -> tuple[tuple[tuple[str, tuple[_TestOf, ...]], ...], ...]:
+    """A selector list read into chains of steps; one that is not understood is a ``ValueError``."""
+    out, chain, link, at = [], [], " ", 0
+    text = selector.strip()
+    while True:
+        tests, end = _compound(text, at)
+        if not tests:
+            raise ValueError(f"selector not understood: {selector}")
+        chain.append((link, tuple(tests)))
+        comma = re.compile(r"\s*,\s*").match(text, end)
+        if end == len(text) or comma:
+            out.append(tuple(chain))
+            chain, link = [], " "
+            if end == len(text):
+                return tuple(out)
+            at = comma.end()
             continue
-        for at in range(len(tree.nodes)):
-            if _fits(tree, at, chain[-1][1]) and _above(tree, at, chain, len(chain) - 1):
-                found.add(at)
-    return sorted(found)
+        m = _LINK.match(text, end)
+        if not m:
+            raise ValueError(f"selector not understood: {selector}")
+        link, at = m[1] or " ", m.end()
 
 
-def _above(tree: _Tree, at: int, chain: list, k: int) -> bool:
+def _fits(tree: _Tree, at: int, chain: tuple, k: int) -> bool:
+    """Whether the node and what it hangs on match the first ``k`` + 1 steps of the chain."""
+    link, tests = chain[k]
+    if not all(f(tree, at) for f in tests):
+        return False
     if k == 0:
         return True
-    link, tests = chain[k][0], chain[k - 1][1]
-    parent = tree.nodes[at][2]
-    while parent >= 0:
-        if _fits(tree, parent, tests) and _above(tree, parent, chain, k - 1):
+    step = (lambda i: tree.nodes[i][2]) if link in " >" else (lambda i: tree.places[i][2])
+    at = step(at)
+    while at >= 0:
+        if _fits(tree, at, chain, k - 1):
             return True
-        if link == ">":
+        if link in ">+":
             return False
-        parent = tree.nodes[parent][2]
+        at = step(at)
     return False
 
 
+def select(tree: _Tree, selector: str) -> list[int]:
+    """Positions of the elements that a CSS selector matches.
+
+    Types, ids, classes, attributes, ``:nth-child`` and ``:nth-of-type`` of a
+    number, odd or even, ``:first-child``, ``:first-of-type``, ``:not``; the
+    four ways to combine them, and lists.
+    """
+    read = chains(selector)
+    return [at for at in range(len(tree.nodes)) if any(_fits(tree, at, chain, len(chain) - 1) for chain in read)]
+
+
+def readable(selector: str | None) -> bool:
+    """Whether a selector is understood; null and empty ones are, and match nothing."""
+    try:
+        return not selector or bool(chains(selector))
+    except ValueError:
+        return False
+
+
+_CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def decoded(page: bytes) -> str:
+    """The text of a page: by its byte order mark, else the character set it declares near its beginning, else UTF-8; what cannot be read is replaced."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if page.startswith(mark):
+            return page.decode(name, "replace")
+    m = _CHARSET.search(page[:2048])
+    try:
+        return page.decode(m[1].decode("ascii") if m else "utf-8", "replace")
+    except (LookupError, UnicodeDecodeError):
+        return page.decode("utf-8", "replace")
+
+
 def parse(page: str | bytes | None, selectors: tuple[str, ...] = (), limit: int = 120) -> list[tuple]:
-    """The nodes of a page in document order; ``matches`` holds the positions of the selectors each node fits."""
+    """The nodes of a page in document order; ``matches`` holds the positions of the selectors each node fits (unreadable ones fit none)."""
     if not page:
         return []
     tree = _Tree()
-    tree.feed(page.decode("utf-8", "replace") if isinstance(page, bytes) else page)
+    tree.feed(decoded(page) if isinstance(page, bytes) else page)
     tree.done()
     texts = _texts(tree)
     hits: dict[int, list[int]] = {}
     for k, s in enumerate(selectors):
-        try:
-            for at in select(tree, s) if s else []:
-                hits.setdefault(at, []).append(k)
-        except ValueError:
-            continue  # an unreadable selector matches nothing
-    return [
-        (at, parent, attrs.get("backend_node_id"), tag, attrs.get("role") or None, _label(tree, at, limit, texts[at]), tuple(compact(attrs).values()), hits.get(at, []))
-        for at, (tag, attrs, parent) in enumerate(tree.nodes)
-    ]
+        for at in select(tree, s) if s and readable(s) else []:
+            hits.setdefault(at, []).append(k)
+    out = []
+    for at, (tag, attrs, parent) in enumerate(tree.nodes):
+        text, classes = _label(tree, at, limit, texts[at])
+        out.append((at, parent, attrs.get("backend_node_id"), tag, attrs.get("role") or None, text, tuple(compact(attrs).values()), hits.get(at, []), classes))
+    return out
 
 
-def page_nodes(html: Column, selector: Column | None = None) -> Column:
-    """Array of the nodes of a page; with a selector, matches holds 0 for its hits and 1 for interactive elements."""
+def page_nodes(html: Column, selector: Column | None = None, limit: int = 120) -> Column:
+    """Array of the nodes of a page (text or bytes); with a selector, matches holds 0 for its hits and 1 for interactive elements.
 
-    @F.arrow_udf(T.ArrayType(NODE))
+    Nodes without any text but with a class are named by its words, which is
+    worked out in the JVM.
+    """
+
+    @F.arrow_udf(T.ArrayType(_PARSED))
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = to_arrow_type(T.ArrayType(NODE))
-        names = NODE.names
+        kind = to_arrow_type(T.ArrayType(_PARSED))
+        names = _PARSED.names
         for pages, chosen in batches:
             rows = []
-            for page, selectors in zip(pages.to_pylist(), chosen.to_pylist(), strict=True):
-                found = parse(page, (selectors or "", INTERACTIVE))
-                rows.append([dict(zip(names, (*n[:6], dict(zip(ATTRS_TYPE.names, n[6], strict=True)), n[7]), strict=True)) for n in found])
+            for page, wanted in zip(pages.to_pylist(), chosen.to_pylist(), strict=True):
+                found = parse(page, (wanted, INTERACTIVE) if wanted else (), limit)
+                rows.append([dict(zip(names, (*n[:6], dict(zip(ATTRS_TYPE.names, n[6], strict=True)), *n[7:]), strict=True)) for n in found])
             yield pa.array(rows, type=kind)
 
-    return run(html, selector if selector is not None else F.lit(None).cast("string"))
+    named = lambda n: F.when(n.getField("classes").isNotNull(), F.substring(class_words(n.getField("classes")), 1, limit)).otherwise(n.getField("text"))
+    parsed = run(html, selector if selector is not None else F.lit(None).cast("string"))
+    return F.transform(parsed, lambda n: n.withField("text", named(n)).dropFields("classes"))
+
+
+@F.arrow_udf(T.BooleanType())
+def is_readable(selectors: pa.Array) -> pa.Array:
+    """``readable`` of a column of selectors."""
+    return pa.array([readable(s) for s in selectors.to_pylist()], type=pa.bool_())

@@ -28,9 +28,10 @@ def softmax(scores: Column) -> Column:
 
 
 def first_argmax(values: Column) -> Column:
-    """0-based position of the first greatest value; null for an empty array."""
-    at = F.array_position(values, F.array_max(values)).cast("int") - 1
-    return F.when(at >= 0, at)
+    """0-based position of the first greatest value; null for an empty array and for one with a value that is no number."""
+    top = F.array_max(values)
+    at = F.array_position(values, top).cast("int") - 1
+    return F.when((at >= 0) & ~F.isnan(top), at)
 
 
 def brier(probs: Column, gold: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stepmill.functions.schema import OPERATIONS
 from stepmill.functions.scores import brier, by_keys, first_argmax, pick
+from stepmill.operators.ranking import running_sum
+from stepmill.session import broadcast_if_small, fits, input_bytes
 
 #: The built-in predictors in the order of the leaderboard; models follow as the caller lists them.
 ORDER = ("random", "first", "lexical")
@@ -15,9 +17,20 @@ LARGE = 200
 
 
 def one_per_id(rows: DataFrame, *newest: Column) -> DataFrame:
-    """One row for each id: the first in the given order (aggregated before the shuffle, no window over hot ids)."""
+    """One row for each id: the first in the given order.
+
+    Repeated ids are found on the id alone.  Where they are few they are sent
+    to the rows, and only rows that have one are shuffled and reduced; the
+    others stay where they lie.  Where they are many, all rows are reduced
+    (aggregated before the shuffle, no window over hot ids).
+    """
     row = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy("id").agg(F.min_by(row, F.struct(*newest)).alias("r")).select("r.*")
+    first = lambda df: df.groupBy("id").agg(F.min_by(row, F.struct(*newest)).alias("r")).select("r.*")
+    twice = rows.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col("id").alias("_id"), F.lit(True).alias("_twice"))
+    if not fits(twice):
+        return first(rows)
+    marked = rows.join(F.broadcast(twice), F.col("id").eqNullSafe(F.col("_id")), "left")
+    return marked.where("_twice is null").select(*rows.columns).unionByName(first(marked.where("_twice").select(*rows.columns)))
 
 
 def unique_predictions(predictions: DataFrame) -> DataFrame:
@@ -37,15 +50,20 @@ def per_row(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     Ids are unique on both sides (see ``unique_rows``); rows without a
     prediction are left out.  A null gold is never right.
     """
-    gold = rows.select("id", "split", "website", "gold_idx", F.col("operation").alias("gold_op"))
-    got = gold.join(predictions.select("id", "element_probs", "operation_probs", "latency_ms", "usage"), "id")
+    gold = rows.select("id", "split", "website", "gold_idx", "operation")
+    return score(gold.join(predictions.select("id", "element_probs", "operation_probs", "latency_ms", "usage"), "id"))
+
+
+def score(predicted: DataFrame, *by: str) -> DataFrame:
+    """``per_row`` of rows that carry their prediction, with the columns ``by`` kept."""
+    got = predicted.withColumn("gold_op", F.col("operation"))
     at = first_argmax(F.col("element_probs"))
     op = pick(OPERATIONS, first_argmax(by_keys(F.col("operation_probs"), OPERATIONS)))
     full = got.withColumn("pred_idx", at).withColumn("pred_op", op)
     element = F.coalesce(F.col("pred_idx") == F.col("gold_idx"), F.lit(False))
     operation = F.coalesce(F.col("pred_op") == F.col("gold_op"), F.lit(False))
     return full.select(
-        "id", "split", "website", "pred_idx", "gold_idx", "pred_op", "gold_op", element.alias("element_correct"), operation.alias("operation_correct"),
+        *by, "id", "split", "website", "pred_idx", "gold_idx", "pred_op", "gold_op", element.alias("element_correct"), operation.alias("operation_correct"),
         (element & operation).alias("step_success"), brier(F.col("element_probs"), F.col("gold_idx")).alias("brier"), F.array_max("element_probs").alias("top_prob"), "latency_ms", "usage",
     )
 
@@ -54,22 +72,60 @@ def _block() -> list[Column]:
     share = lambda c: F.avg(F.col(c).cast("int"))
     return [
         F.count("*").alias("n"), share("element_correct").alias("element_acc"), share("operation_correct").alias("operation_acc"), share("step_success").alias("step_success"),
-        F.avg("brier").alias("brier"), F.avg("latency_ms").alias("latency_mean_ms"), F.median("latency_ms").alias("latency_p50_ms"),
+        F.avg("brier").alias("brier"), F.avg("latency_ms").alias("latency_mean_ms"),
     ]
 
 
-def metrics(scored: DataFrame, *by: str) -> DataFrame:
+def middle(values: DataFrame, by: list[str], of: str) -> DataFrame:
+    """(by.., p50): the exact median of ``of`` in every group, worked out on many tasks.
+
+    Equal values are counted first; the counts are laid along one order, so a
+    group of any size is spread over many partitions, and the one or two
+    middle values are read off the running sum.  Nulls count for nothing.
+    """
+    counts = values.where(F.col(of).isNotNull()).groupBy(*by, of).agg(F.count("*").alias("_n"))
+    laid = running_sum(counts, [*by, of], "_n")
+    ends = laid.groupBy(*by).agg(F.min(F.col("upto") - F.col("_n")).alias("_lo"), F.max("upto").alias("_hi"))
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in by], "_lo", "_hi")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = laid.join(broadcast_if_small(ends), same)
+    at = lambda k: (F.col("upto") - F.col("_n") <= k) & (F.col("upto") > k)
+    low = F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo") - 1) / 2)
+    high = F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo")) / 2)
+    hit = both.where(at(low) | at(high)).withColumn("_w", at(low).cast("int") + at(high).cast("int"))
+    return hit.groupBy(*by).agg((F.sum(F.col(of) * F.col("_w")) / 2).alias("p50"))
+
+
+def metrics(scored: DataFrame, *by: str, most_bytes: int = 1 << 30) -> DataFrame:
     """The metric block overall and for each split, one pass of grouping sets.
 
+    The median holds the distinct latencies of a group in one task, so it is
+    taken in that pass only where the files read are at most ``most_bytes``;
+    beyond that ``middle`` gives the same on many tasks.
+
     ``scope`` is 'overall' or 'split', so that a split of that name stays
     apart.  Null and empty splits count in the overall block alone; no rows
     give no blocks.
     """
     # the input doubles (not one copy per measure), since only one column is expanded
     sets = scored.groupingSets([[*by], [*by, "split"]], *by, "split")
-    out = sets.agg(*_block(), F.grouping("split").alias("_all"))
+    small = input_bytes(scored) <= most_bytes
+    p50 = F.median("latency_ms") if small else F.lit(None).cast("double")
+    out = sets.agg(*_block(), p50.alias("latency_p50_ms"), F.grouping("split").alias("_all"))
     kept = out.where((F.col("_all") == 1) | (F.coalesce("split", F.lit("")) != ""))
-    return kept.select(*by, F.when(F.col("_all") == 1, "overall").otherwise("split").alias("scope"), F.when(F.col("_all") == 0, F.col("split")).alias("split"), "n", "element_acc", "operation_acc", "step_success", "brier", "latency_mean_ms", "latency_p50_ms")
+    scope = F.when(F.col("_all") == 1, "overall").otherwise("split")
+    blocks = kept.select(*by, scope.alias("scope"), F.when(F.col("_all") == 0, F.col("split")).alias("split"), "n", "element_acc", "operation_acc", "step_success", "brier", "latency_mean_ms", "latency_p50_ms")
+    if small:
+        return blocks
+    both = scored.select(*by, F.explode(F.array(F.struct(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("split")), F.struct(F.lit("split").alias("scope"), F.col("split").alias("split")))).alias("s"), "latency_ms")
+    half = middle(both.select(*by, "s.scope", "s.split", "latency_ms"), [*by, "scope", "split"], "latency_ms")
+    half = half.select(*[F.col(c).alias(f"_{c}") for c in (*by, "scope", "split")], "p50")
+    same = F.lit(True)
+    for c in (*by, "scope", "split"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return blocks.join(half, same, "left").withColumn("latency_p50_ms", F.col("p50")).select(*blocks.columns)
 
 
 def usage_totals(scored: DataFrame, *by: str) -> DataFrame:

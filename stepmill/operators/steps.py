@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepmill.functions.scores import seeded
+from stepmill.operators.sampling import with_split
 
 #: Rank of a candidate without one.
 NO_RANK = 1_000_000_000
@@ -116,36 +117,49 @@ def build_rows(steps: DataFrame, ranks: DataFrame, nodes: DataFrame, seed: str =
     pos, tag, role, text, attrs) the parsed pages.  With ``augment`` every
     usable step gives a second row with random negatives; both variants fill
     gaps from the negatives that neither chose.
+
+    The negatives of a step come out of one array of its row and go back into
+    one, with their rank and their node beside them: one join each, one
+    grouping, and from then on nothing leaves the row.
     """
     negs = steps.select("step_key", F.posexplode("negs").alias("pos", "c")).select("step_key", "pos", F.col("c.backend_node_id").alias("node"), F.col("c").alias("raw"))
-    ranked_in = negs.join(ranks.select("step_key", F.col("backend_node_id").alias("node"), "rank"), ["step_key", "node"], "left")
+    least = ranks.groupBy("step_key", F.col("backend_node_id").alias("node")).agg(F.min("rank").alias("rank"))
     first_node = nodes.groupBy("step_key", F.col("backend_node_id").alias("node")).agg(F.min_by(F.struct(F.lit(0).alias("idx"), "tag", "role", "text", "attrs"), "pos").alias("shown"))
-    every = ordered_negatives(ranked_in, "step_key", "node", "pos", "rank", seed).withColumnRenamed("rn", "base_rn")
-    chance = Window.partitionBy("step_key").orderBy(seeded(F.concat_ws(":", "step_key", "node", "pos"), f"{seed}-aug"), "pos")
-    every = every.withColumn("aug_rn", F.row_number().over(chance)).join(first_node, ["step_key", "node"], "left")
+    held = negs.join(least, ["step_key", "node"], "left").join(first_node, ["step_key", "node"], "left")
+    pool = held.groupBy("step_key").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "rank", "raw", "shown"))).alias("pool"))
+    gold = first_node.select("step_key", F.col("node").alias("gold_node"), F.col("shown").alias("gold_shown"))
+    full = steps.drop("html", "negs").withColumn("gold_node", F.col("gold.backend_node_id")).join(pool, "step_key", "left").join(gold, ["step_key", "gold_node"], "left")
+    full = full.withColumn("by_rank", F.exists("pool", lambda x: x.getField("rank").isNotNull()))
+
+    def chance(x: Column, of: str) -> Column:
+        return seeded(F.concat_ws(":", F.col("step_key"), x.getField("node"), x.getField("pos")), of)
+
+    def head(order) -> Column:
+        """The first negatives in an order of their own."""
+        laid = F.array_sort(F.transform("pool", lambda x: F.struct(*order(x), x.getField("pos").alias("p"), x.getField("node").alias("n"), x.alias("x"))))
+        return F.transform(F.slice(laid, 1, NEGATIVES), lambda y: y.getField("x"))
+
+    def hardest(x: Column) -> list[Column]:
+        ranked = F.coalesce(x.getField("rank"), F.lit(NO_RANK).cast("bigint"))
+        return [F.when(F.col("by_rank"), ranked).otherwise(F.lit(0)).alias("r"), F.when(~F.col("by_rank"), chance(x, seed)).alias("c")]
+
+    full = full.withColumn("hard", head(hardest)).withColumn("drawn", head(lambda x: [chance(x, f"{seed}-aug").alias("c")]) if augment else F.slice("pool", 1, 0))
     # negatives equal to a chosen one are not in the pool either
-    same = Window.partitionBy("step_key", "raw")
-    in_base, in_aug = F.col("base_rn") <= NEGATIVES, F.col("aug_rn") <= NEGATIVES
-    used = F.max((in_base | (in_aug if augment else F.lit(False))).cast("int")).over(same) > 0
-    every = every.withColumn("used", used)
-
-    def take(rn: str, tag: str) -> DataFrame:
-        mine = F.col(rn) <= NEGATIVES
-        able = every.where(F.col("shown").isNotNull() & (mine | ~F.col("used")))
-        order = Window.partitionBy("step_key").orderBy(F.when(mine, 0).otherwise(1), F.when(mine, F.col(rn)).otherwise(F.col("pos")))
-        kept = able.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= NEGATIVES)
-        return kept.groupBy("step_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "shown"))), lambda x: x.getField("shown")).alias(tag))
-
-    counts = every.groupBy("step_key").agg(F.count("*").alias("n_neg"), F.max("by_rank").alias("by_rank"))
-    gold = first_node.withColumnRenamed("node", "gold_node").withColumnRenamed("shown", "gold_shown")
-    full = steps.withColumn("gold_node", F.col("gold.backend_node_id")).join(counts, "step_key", "left").join(gold, ["step_key", "gold_node"], "left").join(take("base_rn", "base"), "step_key", "left")
-    full = full.join(take("aug_rn", "aug"), "step_key", "left") if augment else full.withColumn("aug", F.col("base"))
+    full = full.withColumn("used", F.transform(F.concat("hard", "drawn"), lambda x: x.getField("raw")))
+
+    def take(chosen: str) -> Column:
+        rest = F.filter("pool", lambda x: ~F.array_contains("used", x.getField("raw")))
+        able = F.filter(F.concat(F.col(chosen), rest), lambda x: x.getField("shown").isNotNull())
+        return F.transform(F.slice(able, 1, NEGATIVES), lambda x: x.getField("shown"))
+
+    full = full.withColumn("base", take("hard")).withColumn("aug", take("drawn") if augment else F.col("base"))
+    few = lambda c: F.coalesce(F.array_size(c), F.lit(0)) < NEGATIVES
     reason = (
         F.when(F.col("gold").isNull(), "skip_no_pos")
-        .when(F.coalesce("n_neg", F.lit(0)) < NEGATIVES, "skip_insufficient_neg")
+        .when(few("pool"), "skip_insufficient_neg")
         .when(F.col("gold_shown").isNull(), "skip_gold_not_found")
-        .when(F.coalesce(F.array_size("base"), F.lit(0)) < NEGATIVES, "skip_neg_not_found")
-        .when(F.coalesce(F.array_size("aug"), F.lit(0)) < NEGATIVES, "skip_neg_not_found_aug")
+        .when(few("base"), "skip_neg_not_found")
+        .when(few("aug"), "skip_neg_not_found_aug")
     )
     full = full.withColumn("skip_reason", reason)
     good = full.where("skip_reason is null").withColumn("id", F.col("step_key")).withColumn("variant", F.lit("base"))
@@ -155,3 +169,8 @@ def build_rows(steps: DataFrame, ranks: DataFrame, nodes: DataFrame, seed: str =
     placed, at = shuffle_place(F.concat(F.array("gold_shown"), chosen), F.col("id"), seed)
     rows = good.select("id", F.lit(None).cast("string").alias("split"), "website", "domain", "goal", "previous_actions", placed.alias("candidates"), at.alias("gold_idx"), "operation", "value", F.col("annotation_id").alias("_annotation_id"))
     return rows, full.select("step_key", "skip_reason", "by_rank")
+
+
+def written(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` as they are written: with the split of their site (as from ``hold_out``), without the task they came from."""
+    return with_split(rows, "website", named).drop("_annotation_id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepmill.functions.html import page_nodes
+from stepmill.functions.html import is_readable, page_nodes
 from stepmill.functions.scores import seeded
 from stepmill.functions.text import clean_value, site_of, value_overlap
 from stepmill.operators.ranking import position
 from stepmill.operators.steps import shuffle_place
+from stepmill.session import broadcast_if_small
 
 # Recorded action types and the operations they stand for.
 ACTION_TYPES = {"click": "CLICK", "type": "TYPE", "select": "SELECT"}
@@ -45,14 +46,14 @@ def with_history(actions: DataFrame, last: int = 5, tiebreak: tuple[str, ...] =
     """
     order = ("source_step_index", *tiebreak)
     label = action_label()
-    sizes = actions.groupBy("trace_uid").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("trace_uid")
-    long = [r.trace_uid for r in sizes.limit(10_000).collect()]
     plain = Window.partitionBy("trace_uid").orderBy(*order).rowsBetween(-last, -1)
-    if not long:
+    long = actions.groupBy("trace_uid").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(F.col("trace_uid").alias("_uid"), F.lit(True).alias("_hot"))
+    if long.isEmpty():
         return actions.withColumn("previous_actions", F.collect_list(label).over(plain))
-    hit = F.coalesce(F.col("trace_uid").isin([t for t in long if t is not None]), F.lit(None in long))
-    short = actions.where(~hit).withColumn("previous_actions", F.collect_list(label).over(plain))
-    laid = position(actions.where(hit), ["trace_uid", *order])
+    # traces that long are few among all actions, however many; the flag is joined, sent to the rows where it fits
+    told = actions.join(broadcast_if_small(long), F.col("trace_uid").eqNullSafe(F.col("_uid")), "left").drop("_uid")
+    short = told.where("_hot is null").drop("_hot").withColumn("previous_actions", F.collect_list(label).over(plain))
+    laid = position(told.where("_hot").drop("_hot"), ["trace_uid", *order])
     inside = laid.withColumn("_block", F.floor(F.col("pos") / hot)).withColumn("_lead", F.lit(False))
     lead = inside.where(F.col("pos") % hot >= hot - last).withColumn("_block", F.col("_block") + 1).withColumn("_lead", F.lit(True))
     block = Window.partitionBy("trace_uid", "_block").orderBy("pos").rowsBetween(-last, -1)
@@ -88,7 +89,7 @@ def hardest_by_overlap(pool: DataFrame, step: str, goal: Column, cand: Column, k
 def trace_rows(requests: DataFrame, pages: DataFrame, seed: str = "7") -> DataFrame:
     """Rows and skip reasons of ``requests`` given ``pages`` (html_dom_url, html).
 
-    The selector must match one node; of the other interactive nodes the nine
+    The selector must be understood and match one node; of the other interactive nodes the nine
     that share most tokens with the goal are the negatives.  Pages are parsed
     only for requests that are usable so far.  All work on a page stays inside
     its row.
@@ -104,7 +105,7 @@ def trace_rows(requests: DataFrame, pages: DataFrame, seed: str = "7") -> DataFr
             lambda n: F.struct((-value_overlap(F.col("goal"), n)).alias("s"), seeded(F.concat_ws(":", F.col("id"), n.getField("pos")), seed, "negs").alias("c"), shown(n).alias("n")),
         )
     )
-    reason = F.when(F.coalesce(F.array_size("hits"), F.lit(0)) != 1, "target_selector_no_unique_match").when(F.coalesce(F.array_size("pool"), F.lit(0)) < 9, "insufficient_pool")
+    reason = F.when(~is_readable("selector"), "target_selector_unreadable").when(F.coalesce(F.array_size("hits"), F.lit(0)) != 1, "target_selector_no_unique_match").when(F.coalesce(F.array_size("pool"), F.lit(0)) < 9, "insufficient_pool")
     full = parsed.withColumn("pool", pool).withColumn("skip_reason", reason).withColumn("negs", F.transform(F.slice(scored, 1, 9), lambda x: x.getField("n")))
     placed, at = shuffle_place(F.concat(F.array(shown(F.col("target"))), F.col("negs")), F.col("id"), seed)
     return full.select("id", F.lit(None).cast("string").alias("split"), "website", "domain", "goal", "previous_actions", F.when(F.col("skip_reason").isNull(), placed).alias("candidates"), F.when(F.col("skip_reason").isNull(), at).alias("gold_idx"), "operation", "value", "skip_reason")

@@ -11,6 +11,9 @@ from stepmill.functions import scores, text
 from stepmill.functions.html import page_nodes
 from stepmill.functions.schema import ATTRS, OPERATIONS
 from stepmill.operators import predict, records, sampling, sanity, scoring, steps, traces
+from stepmill.operators.ranking import position
+from stepmill.session import cut, table_folder
+from stepmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -190,10 +193,7 @@ def random_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = rows_of(spark, folder, "split", "website", "goal", "previous_actions", "candidates", "gold_idx", "operation")
-    done = None
-    for name in predict.NATIVE:
-        one = scoring.per_row(rows, predict.predict(name, rows)).withColumn("adapter", F.lit(name))
-        done = one if done is None else done.unionByName(one)
+    done = scoring.score(predict.predict_native(rows, *predict.NATIVE), "adapter")
     return scoring.metrics(done.withColumn("dataset_name", F.lit("eval_rows")), "adapter", "dataset_name"), rows
 
 
@@ -418,29 +418,97 @@ def record_faults(spark: SparkSession, folder: str) -> DataFrame:
     return sanity.record_faults(read(spark, folder, "train_records"))
 
 
-@query()
+#: Blanks at which a text is stripped, and those of which runs become one blank in a page.
+_B = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_B_PAGE = _B.replace("[", r"[\x{1c}-\x{1f}", 1)
+
+
+def _sql_strip(x: str, blanks: str = _B) -> str:
+    return f"regexp_replace({x}, '^{blanks}+|{blanks}+$', '', 'g')"
+
+
+def _sql_short(x: str, n: int) -> str:
+    return f"case when length({x}) > {n} then substr({x}, 1, {n - 3}) || '...' else {x} end"
+
+
+def _sql_repr(x: str) -> str:
+    """A text as Python writes it."""
+    code = r"""case when unicode(ch) < 256 then '\x' || printf('%02x', unicode(ch)) when unicode(ch) < 65536 then '\u' || printf('%04x', unicode(ch)) else '\U' || printf('%08x', unicode(ch)) end"""
+    one = rf"""case when ch = '\' then '\\' when ch = chr(10) then '\n' when ch = chr(13) then '\r' when ch = chr(9) then '\t' when ch <> ' ' and regexp_matches(ch, '[\pC\pZ]') then {code} else ch end"""
+    esc = f"array_to_string(list_transform(list_transform(range(1, length({x}) + 1), lambda i: substr({x}, i, 1)), lambda ch: {one}), '')"
+    return rf"""case when contains({x}, '''') and not contains({x}, '"') then '"' || {esc} || '"' else '''' || replace({esc}, '''', '\''') || '''' end"""
+
+
+_ATTRS_SQL = "concat_ws(', ', " + ", ".join(f"case when attrs['{k}'] is not null then '''{k}'': ' || " + _sql_repr(f"attrs['{k}']") + " end" for k in ATTRS) + ")"
+_LINES = f"""
+    {_ROWS}, cand as (select id, unnest(candidates) as c, unnest(range(len(candidates))) as i from rows1),
+    cl as (select id, i, c.idx as idx, coalesce(c.tag, '') as tag, coalesce(c.role, 'None') as role, c.attrs as attrs, replace({_sql_strip("coalesce(c.text, '')")}, chr(10), ' ') as t from cand),
+    ln as (select id, list('[' || idx || '] <' || tag || '> role=' || role || ' "' || {_sql_short("t", 80)} || '" attrs={{' || {_ATTRS_SQL} || '}}' order by i) as whole,
+        list('[' || idx || '] <' || tag || '> role=' || role || ' "' || {_sql_short("t", 60)} || '"' order by i) as short, list('[' || idx || '] <' || tag || '> "' || {_sql_short("t", 60)} || '"' order by i) as labels from cl group by id),
+    said as (select r.*, ln.*, list_transform(coalesce(previous_actions, []), lambda a: '- ' || a) as acts from rows1 r join ln on ln.id = r.id)"""
+_STATE = """array_to_string(list_concat(['Goal: ' || coalesce(goal, 'None'), 'Website: ' || coalesce(website, 'None') || ' (' || coalesce(domain, 'None') || ')'],
+    case when len(acts) > 0 then list_prepend('Previous actions:', acts) else [] end, list_prepend('Candidate elements:', whole)), chr(10))"""
+
+
+@query(f"with {_LINES} select id, {_STATE} as state from said")
 def render_states(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows_of(spark, folder, "goal", "website", "domain", "previous_actions", "candidates")
     return rows.select("id", text.render_state(F.col("goal"), F.col("website"), F.col("domain"), F.col("previous_actions"), F.col("candidates")).alias("state"))
 
 
-@query()
+@query(f"""
+    with {_LINES}
+    select id, array_to_string(list_concat(['Goal: ' || coalesce(goal, 'None')], case when len(acts) > 0 then list_prepend('Previous actions:', acts[-2:]) else [] end, list_prepend('Candidate elements:', short)), chr(10)) as state,
+        array_to_string(labels, chr(10)) as options, labels[gold_idx + 1] as label, operation, 'CLICK,TYPE,SELECT' as operations,
+        '{text.ELEMENT_INSTRUCTIONS}|{text.OPERATION_INSTRUCTIONS}' as asked
+    from said where gold_idx is not null
+""")
 def training_records(spark: SparkSession, folder: str) -> DataFrame:
-    return records.training_records(rows_of(spark, folder, "goal", "previous_actions", "candidates", "gold_idx", "operation"))
+    full = records.training_records(rows_of(spark, folder, "goal", "previous_actions", "candidates", "gold_idx", "operation"))
+    e, o = F.col("questions.element"), F.col("questions.operation")
+    options = lambda q, by: F.array_join(F.map_keys(q.getField("criteria")), by)
+    return full.select(
+        "_meta.id", "state", options(e, "\n").alias("options"), e.getField("label").alias("label"), o.getField("label").alias("operation"), options(o, ",").alias("operations"),
+        F.concat_ws("|", e.getField("instructions"), o.getField("instructions")).alias("asked"),
+    )
 
 
-@query()
+@query("select count(*)::bigint as n, 0::bigint as changed from train_records")
+def record_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Training records written as JSON lines and read again."""
+    return files.round_trip(read(spark, folder, "train_records"))
+
+
+@query(f"""
+    with {_LINES}, p as (select unnest([{", ".join(f"{{'variant': '{k}', 'asked': '{v}'}}" for k, v in text.PHRASINGS.items())}], recursive := true))
+    select id, variant, {_STATE} as state, asked, array_to_string(list_transform(candidates, lambda c: c.idx::varchar), ',') as options, 'CLICK,TYPE,SELECT' as operations from said, p
+""")
 def decision_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return records.decision_requests(rows_of(spark, folder, "goal", "website", "domain", "previous_actions", "candidates"), "b")
+    """The requests in each wording, read back out of their JSON."""
+    rows = rows_of(spark, folder, "goal", "website", "domain", "previous_actions", "candidates")
+    form = "struct<state string, questions struct<element struct<type string, instructions string, options array<string>>, operation struct<type string, instructions string, options array<string>>>>"
+    done = None
+    for variant in text.PHRASINGS:
+        one = records.decision_requests(rows, variant).select("id", F.lit(variant).alias("variant"), F.from_json("request", form).alias("r"))
+        done = one if done is None else done.unionByName(one)
+    join = lambda c: F.array_join(c, ",")
+    return done.select("id", "variant", "r.state", F.col("r.questions.element.instructions").alias("asked"), join("r.questions.element.options").alias("options"), join("r.questions.operation.options").alias("operations"))
 
 
-@query("""
-    select o_orderkey, regexp_extract('https://u' || o_custkey || '@' || o_clerk_host || ':80/x', '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1) as host
-    from (select o_orderkey, o_custkey, lower(replace(o_orderstatus, ' ', '')) || '.example' as o_clerk_host from orders)
+def _sql_compact(x: str) -> str:
+    return f"case when {x} <> '' then substr({_sql_strip(x)}, 1, 80) end"
+
+
+@query(f"""
+    with {_ROWS}, c as (select id, unnest(candidates) as c from rows1)
+    select id, c.idx as idx, c.attrs.href as host, null::varchar as bare, concat_ws('|', {", ".join("coalesce(" + _sql_compact(f"c.attrs['{k}']") + ", '-')" for k in ATTRS[:5])}) as attrs from c
 """)
-def href_netloc(spark: SparkSession, folder: str) -> DataFrame:
-    href = F.concat(F.lit("https://u"), F.col("o_custkey").cast("string"), F.lit("@"), F.lower(F.replace("o_orderstatus", F.lit(" "), F.lit(""))), F.lit(".example:80/x"))
-    return read(spark, folder, "orders").select("o_orderkey", text.netloc(href).alias("host"))
+def compact_attrs(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts of links built on every candidate's host, and its other attributes as they are kept."""
+    cands = rows_of(spark, folder, "candidates").select("id", F.explode("candidates").alias("c"))
+    href = F.col("c.attrs.href")
+    kept = [F.coalesce(text.compact_attr(F.col("c.attrs").getField(k)), F.lit("-")) for k in ATTRS[:5]]
+    return cands.select("id", "c.idx", text.netloc(F.concat(F.lit("https://"), href, F.lit("/a b?q#r"))).alias("host"), text.netloc(F.concat(F.lit("/"), href)).alias("bare"), F.concat_ws("|", *kept).alias("attrs"))
 
 
 @query("""
@@ -453,13 +521,217 @@ def class_words(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select("p_partkey", text.class_words(cls).alias("words"))
 
 
-@query()
+def _page(node, own: bool):
+    """A candidate as markup: all that is known of it, its text, a class if it is one of the step's own."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    c = node.getField("c")
+    tag = c.getField("tag")
+    given = lambda k, v: F.coalesce(F.concat(F.lit(f' {k}="'), esc(v), F.lit('"')), F.lit(""))
+    attrs = [given(k, c.getField("attrs").getField(k)) for k in ATTRS[:5]]
+    head = F.concat(F.lit("<"), tag, given("backend_node_id", node.getField("node")), given("role", c.getField("role")), *attrs, given("href", F.concat(F.lit("//"), c.getField("attrs").getField("href"), F.lit("/q"))), given("class", F.concat(F.lit("item-"), tag)) if own else F.lit(""), F.lit(">"))
+    return F.when(tag == "input", head).otherwise(F.concat(head, esc(F.coalesce(c.getField("text"), F.lit(""))), F.lit("</"), tag, F.lit(">")))
+
+
+def _tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The eval rows nested to tasks as they are published: a page, positives and negatives for each action.
+
+    The negatives of an action are its other candidates and those of the
+    action before.  The digest of the id decides what is wrong with it: 0: few
+    negatives; 1: no gold node in the page; 2: no odd nodes; 3: no odd nodes of
+    its own.
+    """
+    rows = rows_of(spark, folder, "website", "domain", "goal", "candidates", "gold_idx", "operation", "value", "_annotation_id").where("_annotation_id is not null and id is not null")
+    acts = F.array_sort(F.collect_list(F.struct("id", "candidates", "gold_idx", "operation", "value")))
+    tasks = rows.groupBy(F.col("_annotation_id").alias("annotation_id")).agg(F.min("website").alias("website"), F.min("domain").alias("domain"), F.min("goal").alias("confirmed_task"), acts.alias("acts"))
+    node = lambda i, c: F.struct(F.concat_ws("-", i, c.getField("idx")).alias("node"), c.alias("c"))
+
+    def action(a, i):
+        h = F.substring(F.md5(a.getField("id")), 1, 1)
+        gold = a.getField("gold_idx")
+        own = F.transform(a.getField("candidates"), lambda c: node(i, c))
+        prev = F.coalesce(F.transform(F.get(F.col("acts"), i - 1).getField("candidates"), lambda c: node(i - 1, c)), F.slice(own, 1, 0))
+        is_gold = lambda n: F.coalesce(n.getField("c").getField("idx") == gold, F.lit(False))
+        odd = lambda n: n.getField("c").getField("idx") % 2 == 1
+        raw = lambda n, mark: F.struct(n.getField("node").alias("backend_node_id"), F.lit(mark).cast("boolean").alias("is_original_target"))
+        negs = F.transform(F.concat(F.filter(own, lambda n: ~is_gold(n)), prev), lambda n: raw(n, None))
+        mine = F.filter(own, lambda n: ~(((h == "1") & is_gold(n)) | (h.isin("2", "3") & odd(n))))
+        theirs = F.filter(prev, lambda n: ~((h == "2") & odd(n)))
+        page = F.concat(F.lit("<main><div>"), F.array_join(F.transform(mine, lambda n: _page(n, True)), "\n"), F.lit('</div><section title=" Box "><b>'), F.array_join(F.transform(theirs, lambda n: _page(n, False)), ""), F.lit("</b></section></main>"))
+        return F.struct(
+            a.getField("id").alias("action_uid"), page.alias("cleaned_html"), F.struct(a.getField("operation").alias("op"), a.getField("value").alias("value")).alias("operation"),
+            F.transform(F.filter(own, is_gold), lambda n: raw(n, True)).alias("pos_candidates"), F.when(h == "0", F.slice(negs, 1, 5)).otherwise(negs).alias("neg_candidates"),
+        )
+
+    said = F.transform("acts", lambda a: F.concat_ws(" ", a.getField("operation"), a.getField("value")))
+    return tasks.select("annotation_id", "website", "domain", "confirmed_task", said.alias("action_reprs"), F.transform("acts", action).alias("actions"))
+
+
+def _built(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and skip reasons of those tasks, out of their pages, with ranks for most negatives."""
+    each = cut(steps.explode_steps(_tasks(spark, folder)))
+    nodes = each.select("step_key", F.explode(page_nodes(F.col("html"))).alias("n")).where("n.backend_node_id is not null").select("step_key", "n.backend_node_id", "n.pos", "n.tag", "n.role", "n.text", "n.attrs")
+    of = each.select("step_key", F.explode("negs").alias("c")).select("step_key", "c.backend_node_id")
+    rank = F.conv(F.substring(F.md5(F.concat_ws(":", "step_key", "backend_node_id")), 1, 4), 16, 10).cast("bigint")
+    ranks = of.withColumn("rank", rank).where((F.col("rank") % 5 > 0) & ~F.substring(F.md5("step_key"), 1, 1).isin("a", "b"))
+    return steps.build_rows(each, ranks, nodes, "7", augment=True)
+
+
+def _sql_label(own: str) -> str:
+    named = [f"nullif({_sql_strip(f'coalesce(c.attrs[{k!r}], {chr(39) * 2})', _B_PAGE)}, '')" for k in ("aria-label", "placeholder")]
+    body = f"nullif({_sql_strip(f'regexp_replace(c.text, {chr(39)}{_B_PAGE}+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})', _B_PAGE)}, '')"
+    return f"substr(coalesce(case when c.tag <> 'input' then {body} end, {', '.join(named)}, case when {own} then 'item' || case when length(c.tag) > 2 then ' ' || c.tag else '' end else 'Box' end), 1, 120)"
+
+
+_STEPS = f"""
+    {_ROWS},
+    st as (select _annotation_id || '_' || id as step, _annotation_id as task, md5(id)[1] as h, candidates, gold_idx, operation, nullif(value, '') as value, min(website) over t as website, min(domain) over t as domain, min(goal) over t as goal,
+            row_number() over o - 1 as i, lag(candidates) over o as prev, coalesce(list(concat_ws(' ', operation, value)) over (partition by _annotation_id order by id rows between 5 preceding and 1 preceding), []) as hist
+        from rows1 where _annotation_id is not null and id is not null window t as (partition by _annotation_id), o as (partition by _annotation_id order by id)),
+    nd0 as (select step, h, gold_idx, i || '-' as pre, true as own, unnest(candidates) as c, unnest(range(len(candidates))) as ord from st
+        union all select step, h, gold_idx, (i - 1) || '-', false, unnest(prev), unnest(range(10, 10 + len(prev))) from st where prev is not null),
+    nd as (select step, h, own, ord, pre || c.idx as node, coalesce(own and c.idx = gold_idx, false) as gold, c.tag as tag, c.role as role, {_sql_label("own")} as txt, {_sql_compact("c.attrs['aria-label']")} as aria, c.attrs.href as href, c.idx % 2 = 1 as odd from nd0),
+    pg as (select *, not ((h = '1' and gold) or (h = '2' and odd) or (h = '3' and odd and own)) as there, tag || ':' || coalesce(role, '') || ':' || txt || ':' || coalesce(aria, '') || ':' || coalesce(href, '') as shown from nd),
+    ng0 as (select *, row_number() over (partition by step order by ord) - 1 as pos, ('0x' || substr(md5(step || ':' || node), 1, 4))::bigint as v from pg where not gold),
+    ng as (select *, case when v % 5 > 0 and md5(step)[1] not in ('a', 'b') then v end as rank from ng0 where h <> '0' or pos < 5),
+    kn as (select *, max((rank is not null)::int) over (partition by step) > 0 as known from ng),
+    od as (select *, row_number() over (partition by step order by case when known then coalesce(rank, 1000000000) else 0 end, case when not known then md5('7:' || step || ':' || node || ':' || pos) end, pos, node) as base_rn,
+        row_number() over (partition by step order by md5('7-aug:' || step || ':' || node || ':' || pos), pos, node) as aug_rn from kn),
+    tk as (select step, any_value(known) as known, count(*) as n_neg, list(shown order by (base_rn > 9)::int, case when base_rn <= 9 then base_rn else pos end) filter (there and (base_rn <= 9 or aug_rn > 9))[1:9] as base,
+        list(shown order by (aug_rn > 9)::int, case when aug_rn <= 9 then aug_rn else pos end) filter (there and (aug_rn <= 9 or base_rn > 9))[1:9] as aug from od group by step),
+    gd as (select step, any_value(shown) filter (gold and there) as shown, count(*) filter (gold) as golds from pg group by step),
+    fl as (select st.*, tk.known, tk.base, tk.aug, gd.shown, case when coalesce(golds, 0) = 0 then 'skip_no_pos' when coalesce(n_neg, 0) < 9 then 'skip_insufficient_neg' when shown is null then 'skip_gold_not_found'
+        when coalesce(len(base), 0) < 9 then 'skip_neg_not_found' when coalesce(len(aug), 0) < 9 then 'skip_neg_not_found_aug' end as skip_reason from st left join tk using (step) left join gd using (step)),
+    vr as (select case when variant = 'aug' then step || '_aug' else step end as id, * from (select *, unnest(['base', 'aug']) as variant from fl where skip_reason is null)),
+    mx as (select *, list_sort(list_transform(list_prepend(shown, case when variant = 'aug' then aug else base end), lambda s, i: {{'o': md5('7:' || id || ':' || (i - 1)::varchar || ':shuffle'), 'i': i - 1, 's': s}})) as m from vr)"""
+
+
+@query(f"""
+    with {_STEPS} select id, website, domain, goal, array_to_string(hist, ' | ') as history, array_to_string(list_transform(m, lambda x, i: (i - 1) || ':' || x.s), chr(10)) as candidates,
+        (list_position(list_transform(m, lambda x: x.i), 0) - 1)::int as gold_idx, operation, value, task as _annotation_id from mx
+""")
+def step_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows built from tasks, ranks and parsed pages, plain and augmented."""
+    rows, _ = _built(spark, folder)
+    some = lambda c: F.coalesce(c, F.lit(""))
+    shown = F.transform("candidates", lambda c: F.concat_ws(":", c.getField("idx"), c.getField("tag"), some(c.getField("role")), c.getField("text"), some(c.getField("attrs").getField("aria-label")), some(c.getField("attrs").getField("href"))))
+    return rows.select("id", "website", "domain", "goal", F.array_join("previous_actions", " | ").alias("history"), F.array_join(shown, "\n").alias("candidates"), "gold_idx", "operation", "value", "_annotation_id")
+
+
+@query(f"with {_STEPS} select coalesce(skip_reason, 'written') as skip_reason, coalesce(known, false) as by_rank, count(*)::bigint as n from fl group by all")
+def step_skips(spark: SparkSession, folder: str) -> DataFrame:
+    """Why steps give no row, and whether their negatives have ranks."""
+    _, skipped = _built(spark, folder)
+    return skipped.groupBy(F.coalesce("skip_reason", F.lit("written")).alias("skip_reason"), F.coalesce("by_rank", F.lit(False)).alias("by_rank")).agg(F.count("*").alias("n"))
+
+
+_WORDS = ("find", "hotel", "tickets", "book", "room", "price", "search", "city", "adults", "buy", "store", "table", "map", "add", "order", "lamp")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A page for every address of the action log, from 0 to 2 elements for each kind of selector, and links besides."""
+    log = read(spark, folder, "action_log").where("coalesce(html_dom_url, '') <> ''")
+    v = F.conv(F.substring(F.md5("html_dom_url"), 1, 6), 16, 10).cast("bigint")
+    urls = log.groupBy("html_dom_url").agg(F.array_sort(F.collect_set(F.when(F.col("selector").startswith("#el-"), F.substring("selector", 2, 99)))).alias("els")).withColumn("v", v)
+    word = lambda j, salt: F.element_at(F.array(*[F.lit(w) for w in _WORDS]), ((F.col("v") + j * 7 + salt) % len(_WORDS) + 1).cast("int"))
+    some = lambda n, one: F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(8)), 1, n.cast("int")), one), "")
+    part = lambda k: F.floor(F.col("v") / k)
+    html = F.concat(
+        F.lit('<div id="main"><p>'), some(part(1) % 3, lambda j: F.concat(F.lit("<button>"), word(j, 1), F.lit("</button>"))), F.lit("</p></div>"),
+        some(part(3) % 3, lambda j: F.concat(F.lit('<a class="new item" href="//shop.example:1/x">'), word(j, 2), F.lit("</a>"))), some(part(9) % 3, lambda j: F.concat(F.lit('<li role="tab">'), word(j, 3), F.lit("</li>"))),
+        some(part(27) % 3, lambda j: F.concat(F.lit('<input name="q" placeholder="'), word(j, 4), F.lit('">'))), F.array_join(F.transform("els", lambda e: F.concat(F.lit('<span role="link" id="'), e, F.lit('">go</span>'))), ""),
+        some(part(81) % 9, lambda j: F.concat(F.lit("<a>"), word(j, 5), F.lit(" "), word(j * 3, 6), F.lit("</a>"))),
+    )
+    return urls.select("html_dom_url", F.encode(html, "utf-8").alias("html"))
+
+
+def _sql_word(j: str, salt: int) -> str:
+    return f"([{', '.join(repr(w) for w in _WORDS)}])[(v + {j} * 7 + {salt}) % {len(_WORDS)} + 1]"
+
+
+_TRACES = f"""
+    {_UTRACE},
+    pg as (select html_dom_url as url, ('0x' || substr(md5(html_dom_url), 1, 6))::bigint as v, list_sort(list(distinct selector[2:]) filter (starts_with(selector, '#el-'))) as els from action_log where coalesce(html_dom_url, '') <> '' group by 1),
+    nd0 as (select url, 0 as k, 0 as j, 'div' as tag, null as role, '' as txt, 'main' as eid, '' as more from pg union all select url, 1, 0, 'p', null, '', null, '' from pg
+        union all select url, 2, j, 'button', null, {_sql_word("j", 1)}, null, '' from pg, range(3) r(j) where j < v % 3
+        union all select url, 3, j, 'a', null, {_sql_word("j", 2)}, null, 'shop.example:1' from pg, range(3) r(j) where j < v // 3 % 3
+        union all select url, 4, j, 'li', 'tab', {_sql_word("j", 3)}, null, '' from pg, range(3) r(j) where j < v // 9 % 3
+        union all select url, 5, j, 'input', null, {_sql_word("j", 4)}, null, 'q' from pg, range(3) r(j) where j < v // 27 % 3
+        union all select url, 6, unnest(range(len(els))), 'span', 'link', 'go', unnest(els), '' from pg
+        union all select url, 7, j, 'a', null, {_sql_word("j", 5)} || ' ' || {_sql_word("j * 3", 6)}, null, '' from pg, range(9) r(j) where j < v // 81 % 9),
+    nd as (select *, row_number() over (partition by url order by k, j) - 1 as pos from nd0),
+    rq as (select row_number() over () as rid, 'webchain_' || trace_uid || '_' || source_step_id as id, query as goal, selector, html_dom_url as url from action_log left join ut on uid = trace_uid where {_ELIG} and coalesce(query, '') <> ''),
+    mt as (select rq.*, nd.* exclude (url), case when starts_with(selector, '#el-') then eid = selector[2:] when selector = '#main button' then k = 2 when selector = 'a.item' then k = 3 when selector = '[role=tab]' then k = 4 when selector = 'input[name=q]' then k = 5 end as hit
+        from rq join nd on nd.url = rq.url),
+    tg as (select rid, count(*) filter (hit) as hits, min(pos) filter (hit) as target from mt group by rid),
+    pl as (select mt.*, target, hits, row_number() over (partition by mt.rid order by len(list_intersect({_TOK.format(x="goal")}, list_distinct(regexp_extract_all(lower(concat_ws(' ', txt, eid, more)), '[a-z0-9]+')))) desc, md5('7:' || id || ':' || pos || ':negs')) as rn
+        from mt join tg on tg.rid = mt.rid where k > 1 and pos <> target),
+    ps as (select rid, count(*) as pool, list(tag || ':' || txt order by rn) filter (rn <= 9) as negs from pl group by rid),
+    fl as (select rq.id, case when coalesce(hits, 0) <> 1 then 'target_selector_no_unique_match' when coalesce(pool, 0) < 9 then 'insufficient_pool' end as skip_reason, negs, nd.tag || ':' || nd.txt as shown
+        from rq left join tg on tg.rid = rq.rid left join ps on ps.rid = rq.rid left join nd on nd.url = rq.url and nd.pos = tg.target),
+    mx as (select *, list_sort(list_transform(list_prepend(shown, negs), lambda s, i: {{'o': md5('7:' || id || ':' || (i - 1)::varchar || ':shuffle'), 'i': i - 1, 's': s}})) as m from fl)"""
+
+
+@query(f"""
+    with {_TRACES} select id, skip_reason, case when skip_reason is null then (list_position(list_transform(m, lambda x: x.i), 0) - 1)::int end as gold_idx,
+        case when skip_reason is null then array_to_string(list_transform(m, lambda x: x.s), '|') end as candidates from mx
+""")
+def trace_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows built from the action log, its traces and the pages of its addresses."""
+    asked = traces.step_requests(read(spark, folder, "action_log"), read(spark, folder, "traces"))
+    rows = traces.trace_rows(asked, _pages(spark, folder))
+    shown = F.transform("candidates", lambda c: F.concat_ws(":", c.getField("tag"), c.getField("text")))
+    return rows.select("id", "skip_reason", "gold_idx", F.array_join(shown, "|").alias("candidates"))
+
+
+@query(f"with {_HOLD}, {_ROWS} select id, h.split, goal, 'id,split,website,domain,goal,gold_idx' as columns from rows1 join h on h.website = coalesce(rows1.website, '')")
+def written_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as they are written: the split of their site, without their task."""
+    rows = rows_of(spark, folder, "split", "website", "domain", "goal", "gold_idx", "_annotation_id")
+    done = steps.written(rows, sampling.hold_out(rows, "website", "9"))
+    return done.select("id", "split", "goal", F.lit(",".join(done.columns)).alias("columns"))
+
+
+@query(f"with {_ROWS} select id, goal, previous_actions[-1] as last, len(candidates)::int as n, candidates[1].text as first, gold_idx, value from rows1")
+def json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows written as ASCII lines and read again with the check of their form."""
+    where = table_folder(spark, "rows")
+    files.write_ascii_json(rows_of(spark, folder, "split", "website", "domain", "goal", "previous_actions", "candidates", "gold_idx", "operation", "value"), where)
+    return files.read_rows(spark, where).select("id", "goal", F.get("previous_actions", F.size("previous_actions") - 1).alias("last"), F.size("candidates").alias("n"), F.get("candidates", F.lit(0)).getField("text").alias("first"), "gold_idx", "value")
+
+
+@query(f"""
+    with {_SCORED}
+    select 'model' as adapter, 'eval_rows' as dataset_name, case when grouping(split) = 1 then 'overall' else 'split' end as scope, split, count(*)::bigint as n, round(avg(ec::int), 6) as element_acc, round(avg(oc::int), 6) as operation_acc,
+        round(avg((ec and oc)::int), 6) as step_success, round(avg(brier), 6) as brier, round(avg(latency_ms), 6) as latency_mean_ms, round(median(latency_ms), 6) as latency_p50_ms
+    from sc group by grouping sets ((), (split)) having grouping(split) = 1 or (coalesce(split, '') <> '' and split <> 'overall')
+""")
+def run_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """A run written as one payload, found again and unfolded to its metric blocks."""
+    done = _scored(spark, folder).where("split is null or split <> 'overall'")
+    whole = _scored(spark, folder)
+    where = table_folder(spark, "runs")
+    blocks = scoring.metrics(whole).where("scope = 'overall'").unionByName(scoring.metrics(done).where("scope = 'split'"))
+    files.write_run(f"{where}/model.json", "model", "eval_rows", blocks, {"calls": 1.0}, render_mode="default")
+    return rounded(files.run_blocks(files.read_runs(spark, where)))
+
+
+@query(f"with {_ROWS} select id, (row_number() over (order by md5('13:' || id), id) - 1)::bigint as place from rows1 where id is not null")
+def shuffled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every row in a full shuffle."""
+    return position(rows_of(spark, folder).where("id is not null").select("id"), [scores.seeded(F.col("id"), "13"), "id"]).select("id", F.col("pos").alias("place"))
+
+
+@query(f"""
+    with {_ROWS}, c as (select id, unnest(candidates) as c, unnest(range(len(candidates))) as i from rows1)
+    select id, (i + 1)::int as pos, 0 as parent, c.idx::varchar as backend_node_id, c.tag as tag, nullif(c.role, '') as role,
+        case when c.tag = 'input' then '' else substr({_sql_strip(f"regexp_replace(coalesce(c.text, ''), '{_B_PAGE}+', ' ', 'g')", _B_PAGE)}, 1, 120) end as text from c
+""")
 def dom_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Every row's candidates written as a page and parsed again."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     one = lambda c: F.concat(F.lit("<"), c.getField("tag"), F.lit(' backend_node_id="'), c.getField("idx").cast("string"), F.lit('" role="'), esc(c.getField("role")), F.lit('">'), esc(c.getField("text")), F.lit("</"), c.getField("tag"), F.lit(">"))
     pages = rows_of(spark, folder, "candidates").select("id", F.concat(F.lit("<div>"), F.array_join(F.transform("candidates", one), ""), F.lit("</div>")).alias("html"))
-    return pages.select("id", F.explode(page_nodes(F.col("html"))).alias("n")).select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
+    return pages.select("id", F.explode(page_nodes(F.col("html"))).alias("n")).where("n.parent >= 0").select("id", "n.pos", "n.parent", "n.backend_node_id", "n.tag", "n.role", "n.text")
 
 
 @query(f"""

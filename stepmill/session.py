@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,17 @@ def kept_folder(spark: SparkSession, name: str, key: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
 
 
+@contextlib.contextmanager
+def writing(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """A function that appends bytes to a new file at ``path``, on whichever file system the path belongs to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        yield lambda data: out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """True if ``df`` has at most ``limit`` rows; reads no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit
@@ -70,6 +83,12 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20)
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of everything a plan reads, as Spark knows it without running it; written intermediate tables count as boundless."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that is heavy for each row.
 

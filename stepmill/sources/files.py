@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from stepmill.functions.schema import EVAL_ROW, PREDICTION, RANK, TASK, TRAINING_RECORD
 from stepmill.functions.text import ascii_json
+from stepmill.session import writing
 
 
 def read_rows(spark: SparkSession, path: str | list[str], check: bool = True) -> DataFrame:
@@ -48,12 +49,18 @@ def read_tasks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(TASK).option("multiLine", True).json(paths)
 
 
-def unpack_zip(archive: str, member: str, folder: str, password: str | None = None) -> str:
-    """Stage one member of a (password-protected) ZIP for ``read_tasks``; gives the file's path."""
+def unpack_zip(spark: SparkSession, archive: str, member: str, folder: str, password: str | None = None, piece: int = 1 << 20) -> str:
+    """Stage one member of a (password-protected) ZIP for ``read_tasks`` below ``folder``, on any file system Spark knows; gives the file's path.
+
+    The member streams through the driver in pieces and is never held whole.
+    """
     import zipfile
 
-    with zipfile.ZipFile(archive) as z:
-        return z.extract(member, folder, pwd=password.encode() if password else None)
+    path = f"{folder.rstrip('/')}/{member}"
+    with zipfile.ZipFile(archive) as z, z.open(member, pwd=password.encode() if password else None) as source, writing(spark, path) as write:
+        while data := source.read(piece):
+            write(data)
+    return path
 
 
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +68,13 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RANK).parquet(path)
 
 
+def read_rank_map(spark: SparkSession, path: str) -> DataFrame:
+    """The long rank table out of the nested form, JSON objects {"ranks": {step_key: {backend_node_id: rank}}}."""
+    nested = spark.read.schema("ranks map<string,map<string,bigint>>").option("multiLine", True).json(path)
+    steps = nested.select(F.explode("ranks").alias("step_key", "of_step"))
+    return steps.select("step_key", F.explode("of_step").alias("backend_node_id", "rank"))
+
+
 def read_parts(spark: SparkSession, folder: str, table: str, parts: list[int] | None = None) -> DataFrame:
     """A table stored in numbered part files; only the parts asked for are listed."""
     if parts is None:
@@ -69,9 +83,9 @@ def read_parts(spark: SparkSession, folder: str, table: str, parts: list[int] |
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(html_dom_url, html): snapshots staged as files, named by their path below ``folder``; bytes are decoded by the parser."""
+    """(html_dom_url, html): snapshots staged as files, named by their path below ``folder``; ``html`` holds the bytes, which the parser decodes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.col("path").alias("html_dom_url"), F.decode("content", "UTF-8").alias("html"))
+    return files.select(F.col("path").alias("html_dom_url"), F.col("content").alias("html"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +103,13 @@ def write_ascii_json(df: DataFrame, path: str) -> None:
     df.select(ascii_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def round_trip(rows: DataFrame) -> DataFrame:
+    """(n, changed): how many rows there are, and how many do not come back the same from ``write_ascii_json``'s lines."""
+    line = ascii_json(F.struct(*[F.col(c) for c in rows.columns]))
+    again = rows.select(line.alias("line")).withColumn("back", F.from_json("line", rows.schema))
+    return again.agg(F.count("*").alias("n"), F.count_if(~F.col("line").eqNullSafe(ascii_json(F.col("back")))).alias("changed"))
+
+
 RUN = T.StructType(
     [
         *[T.StructField(k, T.StringType()) for k in ("adapter", "dataset_name", "dataset_path")],
@@ -102,12 +123,12 @@ RUN = T.StructType(
 
 
 def write_run(path: str, adapter: str, dataset_name: str, metrics: DataFrame, usage: dict | None = None, **about) -> dict:
-    """The payload of one run: its settings and metric blocks (a few rows) in one JSON file; gives the payload."""
+    """The payload of one run: its settings and metric blocks (a few rows) in one JSON file, on any file system Spark knows; gives the payload."""
     blocks = {"overall" if r.scope == "overall" else r.split: {k: v for k, v in r.asDict().items() if k not in ("scope", "split", "adapter", "dataset_name")} for r in metrics.collect()}
     now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     run = {"adapter": adapter, "dataset_name": dataset_name, "generated_at": now, "n": blocks.get("overall", {}).get("n", 0), "metrics": blocks, "usage_total": usage or None} | about
-    with open(path, "w", encoding="ascii") as f:
-        json.dump(run, f)
+    with writing(metrics.sparkSession, path) as write:
+        write(json.dumps(run).encode("ascii"))
     return run
 
 

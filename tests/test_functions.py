@@ -54,6 +54,7 @@ def test_tokens_and_fields(spark):
 
 def test_scores_on_edges(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.5],), ([0.0, 0.0],), ([],), ([-1000.0, -1000.0],)], "p array<double>")
+    assert spark.createDataFrame([([float("nan"), 0.5],)], "p array<double>").select(scores.first_argmax(F.col("p")).alias("a")).first().a is None
     rows = df.select(scores.first_argmax(F.col("p")).alias("a"), scores.softmax(F.col("p")).alias("s"), scores.renormalise(F.col("p")).alias("n"), scores.brier(F.col("p"), F.lit(1)).alias("b")).collect()
     assert [r.a for r in rows] == [1, 0, None, 0]
     assert rows[3].s == [0.5, 0.5] and rows[2].s == [] and rows[1].n == [0.0, 0.0] and rows[1].b == 1.0
@@ -83,11 +84,39 @@ def test_page_nodes(spark):
     assert by["a"].matches == [0, 1] and by["select"].matches == [1] and by["select"].role == "listbox" and by["i"].matches == []
 
 
+def _hits(page, s):
+    return [n[0] for n in html.parse(page, (s,)) if 0 in n[7]]
+
+
 def test_selectors():
-    def hit(s):
-        return [n[0] for n in html.parse('<div id=a class="x y"><p><a href=q>1</a></p><a>2</a></div>', (s,)) if 0 in n[7]]
+    page = '<div id=a class="x y"><p><a href=q>1</a></p><a>2</a></div>'
+    for s, want in [("a", [2, 3]), ("div > a", [3]), ("#a p a", [2]), (".x.y", [0]), ("a[href]", [2]), ("a:nth-child(2)", [3]), ("p, [href=q]", [1, 2]), ("a:::b", []), ("DIV>p>a", [2]), ("*", [0, 1, 2, 3])]:
+        assert _hits(page, s) == want, s
+
+
+def test_selectors_among_siblings():
+    page = "<ul><li id=b:1 class=k>1</li><b>x</b><li>2</li><li class='k m'>3</li><i data-n='a b'>y</i></ul><ul><li>4</li></ul>"
+    for s, want in [
+        ("li:nth-of-type(2)", [3]), ("li:nth-child(2)", []), ("ul > :nth-child(2)", [2]), ("li:first-of-type", [1, 7]), ("b + li", [3]), ("b ~ li", [3, 4]), ("li ~ i", [5]), ("li:not(.k)", [3, 7]), ("li:not(.k.m)", [1, 3, 7]), ("ul+ul>li", [7]),
+        ("li:nth-child(odd):not(:first-child)", [3]), (r"#b\:1", [1]), ("[data-n~=b]", [5]), ('i[data-n="a b"]', [5]), ("li:not(::x)", []), ("li >", []), ("", []), ("b,,i", []),
+    ]:
+        assert _hits(page, s) == want, s
+    assert not html.readable("li:not(::x)") and not html.readable("a:hover") and html.readable(None) and html.readable("a , b > c")
+
+
+def test_pages_are_decoded_as_they_say(spark):
+    pages = ["<p>é</p>".encode(), b'<meta charset="iso-8859-1"><p>\xe9</p>', b"<p>\xe9\xff</p>", "<p>é</p>".encode("utf-16"), b"<meta charset=none-such><p>e</p>", b"", None, b"<meta http-equiv=x content='text/html; charset=windows-1251'><p>\xe6</p>"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h binary").select("i", F.explode(html.page_nodes(F.col("h"))).alias("n")).where("n.tag = 'p'")
+    assert {r.i: r.n.text for r in df.collect()} == {0: "é", 1: "é", 2: "\ufffd\ufffd", 3: "é", 4: "e", 7: "ж"}
+
+
+def test_places_among_siblings_take_no_second_look():
+    import time
 
-    assert hit("a") == [2, 3] and hit("div > a") == [3] and hit("#a p a") == [2] and hit(".x.y") == [0] and hit("a[href]") == [2] and hit("a:nth-child(2)") == [3] and hit("p, [href=q]") == [1, 2] and hit("a:::b") == []
+    page = "<ul>" + "<li>x</li><b>y</b>" * 20_000 + "</ul>"
+    began = time.process_time()
+    assert len(_hits(page, "li:nth-of-type(3)")) == len(_hits(page, "li:nth-child(3)")) == 1
+    assert time.process_time() - began < 20
 
 
 def test_long_page():

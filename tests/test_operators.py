@@ -130,6 +130,66 @@ def test_predictors_never_see_labels(spark):
         predict.register("first", factory)
 
 
+def test_predictors_that_take_many_rows(spark):
+    class Many:
+        def predict_batch(self, rows):
+            assert all("gold_idx" not in r for r in rows)
+            return [{"element_probs": [float(r["goal"][-1] == str(i)) for i in range(10)], "operation_probs": {"CLICK": 1.0}} for r in rows]
+
+    predict.register("many", Many)
+    got = scoring.per_row(_eval(spark), predict.predict("many", _eval(spark)))
+    assert got.where("element_correct and latency_ms >= 0").count() == 40
+
+
+def test_overloaded_services_are_asked_again():
+    waits, left = [], [3]
+
+    def call(x):
+        if left[0]:
+            left[0] -= 1
+            raise predict.Overloaded
+        return x
+
+    assert predict.retrying(call, sleep=waits.append)(7) == 7 and waits == [1.0, 2.0, 4.0]
+    left[0] = 9
+    with pytest.raises(predict.Overloaded):
+        predict.retrying(call, tries=2, sleep=waits.append)(7)
+    assert len(waits) == 4
+
+
+def test_answers_of_all_forms(spark):
+    forms = [
+        '{"answers": {"element": {"probabilities": {"a": 3, "b": 1}}}}', '{"element": {"probs": {"a": 0.75, "b": 0.25}}}', '{"element": {"a": 0.3, "b": 0.1, "z": 9}}', '{"answers": {"element": {"label": "b"}}}', '{"element": "a"}',
+        '{"element": {"choice": "none"}}', "no json", None, '{"element": {"distribution": {"b": 2}}}',
+    ]
+    keys = F.array(F.lit("a"), F.lit("b"))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], "i int, x string").select("i", predict.decode_response(F.col("x"), "element", keys).alias("p"))
+    assert [[round(v, 9) for v in r.p] for r in df.orderBy("i").collect()] == [[0.75, 0.25]] * 3 + [[0, 1], [1, 0], [0, 0], [0, 0], [0, 0], [0, 1]]
+    logits = spark.createDataFrame([({"A": 1.0, "C": 1.0},), ({},)], "m map<string,double>").select(predict.letter_probabilities(F.col("m"), 3).alias("p"))
+    assert [[round(v, 6) for v in r.p] for r in logits.collect()] == [[round(1 / 3, 6)] * 3] * 2
+
+
+def test_medians_on_many_tasks(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(3)
+    rows = [(str(i), rnd.choice(["a", "b", None]), True, True, True, 0.0, rnd.choice([None, float(rnd.randint(0, 9))]), None) for i in range(301)]
+    table = _scored(spark, rows)
+    want = {("overall", None): statistics.median([r[6] for r in rows if r[6] is not None])} | {("split", s): statistics.median([r[6] for r in rows if r[1] == s and r[6] is not None]) for s in "ab"}
+    for most in (0, 1 << 60):
+        got = {(r.scope, r.split): r.latency_p50_ms for r in scoring.metrics(table.repartition(5), most_bytes=most).collect()}
+        assert got == want, most
+    assert scoring.metrics(_scored(spark, [r for r in rows if r[6] is None]), most_bytes=0).where("latency_p50_ms is not null").count() == 0
+
+
+def test_repeated_ids_become_one(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 1, "only"), (None, 3, "x"), (None, 2, "y")], "id string, load_no int, v string").withColumn("added_at", F.lit(None).cast("timestamp"))
+    few = {(r.id, r.v) for r in scoring.unique_rows(rows).collect()}
+    monkeypatch.setattr(scoring, "fits", lambda df: False)
+    assert few == {(r.id, r.v) for r in scoring.unique_rows(rows).collect()} == {("a", "first"), ("b", "only"), (None, "y")}
+
+
 def test_native_predictors(spark):
     rows = _eval(spark)
     board = None
@@ -187,7 +247,9 @@ def test_traces_to_rows(spark):
     assert set(good) == {f"webchain_u_s{i}" for i in (0, 2, 3, 5, 6)}
     r = good["webchain_u_s6"]
     assert r.website == "p.q" and r.candidates[r.gold_idx].text == "open item 6" and "open item 3" in {c.text for c in r.candidates} and r.previous_actions[-1] == "[type]  c -> TYPE" and len(r.previous_actions) == 5
-    assert {r.skip_reason for r in rows} == {None, "target_selector_no_unique_match"} or rows
+    assert {r.skip_reason for r in rows} == {None, "target_selector_no_unique_match"}
+    odd = traces.trace_rows(asked.withColumn("selector", F.lit("a:::b")), spark.createDataFrame([("page", page)], "html_dom_url string, html string"))
+    assert {r.skip_reason for r in odd.collect()} == {"target_selector_unreadable"}
     assert {(r.skip_reason, r.n) for r in steps.skip_counts(asked).collect()} == {("written", 6), ("not_eligible", 2), ("no_goal", 1)}
 
 
@@ -218,6 +280,18 @@ def test_sources_round_trip(spark, tmp_path):
     runs = files.read_runs(spark, str(tmp_path))
     assert [(r.adapter, r.n) for r in runs.collect()] == [("first", 1)]
     assert files.run_blocks(runs).where("scope = 'overall'").first().element_acc == 1.0
+    assert files.round_trip(rows).first()[:] == (4, 0)
+    import zipfile
+
+    with zipfile.ZipFile(f"{tmp_path}/z.zip", "w") as z:
+        z.writestr("in/p_0.json", '[{"annotation_id": "t"}, {"annotation_id": "u"}]')
+    staged = files.unpack_zip(spark, f"{tmp_path}/z.zip", "in/p_0.json", f"file://{tmp_path}/staged", piece=7)
+    assert {r.annotation_id for r in files.read_tasks(spark, staged).collect()} == {"t", "u"}
+    (tmp_path / "ranks.json").write_text('{"scores": {}, "ranks": {"s_1": {"n1": 3, "n2": 0}, "s_2": {}}}')
+    assert {tuple(r) for r in files.read_rank_map(spark, f"{tmp_path}/ranks.json").collect()} == {("s_1", "n1", 3), ("s_1", "n2", 0)}
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_bytes(b"<a>\xe9</a>")
+    assert files.read_pages(spark, f"{tmp_path}/pages").first().html == b"<a>\xe9</a>"
     assert files.shard_paths("d/test_x", 2) == ["d/test_x/test_x_0.json", "d/test_x/test_x_1.json"]
 
 

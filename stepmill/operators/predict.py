@@ -38,17 +38,21 @@ def _operations(values: list[Column]) -> Column:
     return F.create_map(*[x for op, v in zip(OPERATIONS, values, strict=True) for x in (F.lit(op), v)])
 
 
-def _first() -> tuple[Column, Column]:
-    return F.transform("candidates", lambda c, i: F.when(i == 0, 1.0).otherwise(0.0)), _operations([F.lit(1.0), F.lit(0.0), F.lit(0.0)])
+def _struct(adapter: str, element: Column, operation: Column) -> Column:
+    return F.struct(F.lit(adapter).alias("adapter"), element.alias("element_probs"), operation.alias("operation_probs"))
 
 
-def _random(seed: str = "random") -> tuple[Column, Column]:
+def _first() -> Column:
+    return _struct("first", F.transform("candidates", lambda c, i: F.when(i == 0, 1.0).otherwise(0.0)), _operations([F.lit(1.0), F.lit(0.0), F.lit(0.0)]))
+
+
+def _random(seed: str = "random") -> Column:
     def scaled(values: Column) -> Column:
         return bind(values, lambda v: bind(total(v), lambda whole: F.transform(v, lambda x: x / whole)))
 
     element = scaled(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: uniform(F.concat_ws(":", F.col("id"), i), seed)))
     ops = scaled(F.array(*[uniform(F.concat_ws(":", F.col("id"), F.lit(op)), seed) for op in OPERATIONS]))
-    return element, bind(ops, lambda o: _operations([F.get(o, F.lit(i)) for i in range(3)]))
+    return bind(ops, lambda o: _struct("random", element, _operations([F.get(o, F.lit(i)) for i in range(3)])))
 
 
 def lexical_operation(cand: Column) -> Column:
@@ -57,12 +61,16 @@ def lexical_operation(cand: Column) -> Column:
     return F.when((tag == "select") | role.isin("combobox", "listbox"), "SELECT").when(tag.isin("input", "textarea") & ~role.isin("button", "checkbox", "radio", "link"), "TYPE").otherwise("CLICK")
 
 
-def _lexical() -> tuple[Column, Column]:
-    # the asked tokens and the scores are bound once for each row, not worked out again for each candidate
+def _lexical() -> Column:
+    # the asked tokens, the scores and the best candidate are worked out once for each row
     asked = query_tokens(F.col("goal"), F.col("previous_actions"))
     shared = bind(asked, lambda q: F.transform("candidates", lambda c: overlap(q, candidate_tokens(c)).cast("double")))
-    op = bind(shared, lambda s: lexical_operation(F.get("candidates", first_argmax(s))))
-    return bind(shared, softmax), bind(op, lambda o: _operations([F.when(o == name, 0.7).otherwise(0.15) for name in OPERATIONS]))
+
+    def answer(s: Column) -> Column:
+        best = bind(F.get("candidates", first_argmax(s)), lexical_operation)
+        return bind(best, lambda op: _struct("lexical", softmax(s), _operations([F.when(op == name, 0.7).otherwise(0.15) for name in OPERATIONS])))
+
+    return bind(shared, answer)
 
 
 def native(name: str) -> Column:
@@ -73,8 +81,7 @@ def native(name: str) -> Column:
     softmax of the tokens each candidate shares with goal and last action; the
     operation from the best one's tag and role.
     """
-    element, operation = {"first": _first, "random": _random, "lexical": _lexical}[name]()
-    return F.struct(F.lit(name).alias("adapter"), element.alias("element_probs"), operation.alias("operation_probs"))
+    return {"first": _first, "random": _random, "lexical": _lexical}[name]()
 
 
 def predict_native(rows: DataFrame, *names: str) -> DataFrame:

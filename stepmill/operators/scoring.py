@@ -16,16 +16,20 @@ ORDER = ("random", "first", "lexical")
 LARGE = 200
 
 
-def one_per_id(rows: DataFrame, *newest: Column) -> DataFrame:
+def one_per_id(rows: DataFrame, *newest: Column, most_bytes: int = 4 << 30) -> DataFrame:
     """One row for each id: the first in the given order.
 
-    Repeated ids are found on the id alone.  Where they are few they are sent
-    to the rows, and only rows that have one are shuffled and reduced; the
-    others stay where they lie.  Where they are many, all rows are reduced
-    (aggregated before the shuffle, no window over hot ids).
+    Rows are reduced after one shuffle (aggregated before it, no window over
+    hot ids).  Large tables of wide rows, those with nested lists, are not
+    moved for the few rows that repeat: repeated ids are found on the id alone,
+    and where they are few they are sent to the rows, and only rows that have
+    one are shuffled.  Below ``most_bytes`` of input one shuffle costs less
+    than that second look; the result is the same.
     """
     row = F.struct(*[F.col(c) for c in rows.columns])
     first = lambda df: df.groupBy("id").agg(F.min_by(row, F.struct(*newest)).alias("r")).select("r.*")
+    if not any("array<struct" in kind for _, kind in rows.dtypes) or input_bytes(rows) <= most_bytes:
+        return first(rows)
     twice = rows.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col("id").alias("_id"), F.lit(True).alias("_twice"))
     if not fits(twice):
         return first(rows)
@@ -39,9 +43,9 @@ def unique_predictions(predictions: DataFrame) -> DataFrame:
     return one_per_id(predictions, late, F.concat_ws(",", F.transform("element_probs", lambda p: F.format_number(1 - p, 6))))
 
 
-def unique_rows(rows: DataFrame) -> DataFrame:
-    """One row for each id: the earliest delivery."""
-    return one_per_id(rows, F.coalesce("load_no", F.lit(0)), F.coalesce("added_at", F.timestamp_micros(F.lit(0))))
+def unique_rows(rows: DataFrame, most_bytes: int = 4 << 30) -> DataFrame:
+    """One row for each id: the earliest delivery; ``most_bytes`` as in ``one_per_id``."""
+    return one_per_id(rows, F.coalesce("load_no", F.lit(0)), F.coalesce("added_at", F.timestamp_micros(F.lit(0))), most_bytes=most_bytes)
 
 
 def per_row(rows: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from stepmill.functions.html import page_nodes
 from stepmill.functions.schema import ATTRS, OPERATIONS
 from stepmill.operators import predict, records, sampling, sanity, scoring, steps, traces
 from stepmill.operators.ranking import position
-from stepmill.session import cut, table_folder
+from stepmill.session import cut, spread, table_folder
 from stepmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,7 +568,7 @@ def _tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _built(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rows and skip reasons of those tasks, out of their pages, with ranks for most negatives."""
-    each = cut(steps.explode_steps(_tasks(spark, folder)))
+    each = spread(cut(steps.explode_steps(_tasks(spark, folder))))
     nodes = each.select("step_key", F.explode(page_nodes(F.col("html"))).alias("n")).where("n.backend_node_id is not null").select("step_key", "n.backend_node_id", "n.pos", "n.tag", "n.role", "n.text", "n.attrs")
     of = each.select("step_key", F.explode("negs").alias("c")).select("step_key", "c.backend_node_id")
     rank = F.conv(F.substring(F.md5(F.concat_ws(":", "step_key", "backend_node_id")), 1, 4), 16, 10).cast("bigint")

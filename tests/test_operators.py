@@ -186,8 +186,10 @@ def test_medians_on_many_tasks(spark):
 def test_repeated_ids_become_one(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 1, "only"), (None, 3, "x"), (None, 2, "y")], "id string, load_no int, v string").withColumn("added_at", F.lit(None).cast("timestamp"))
     few = {(r.id, r.v) for r in scoring.unique_rows(rows).collect()}
+    wide = rows.withColumn("c", F.array(F.struct("v")))
+    assert few == {(r.id, r.v) for r in scoring.unique_rows(wide, most_bytes=0).collect()}
     monkeypatch.setattr(scoring, "fits", lambda df: False)
-    assert few == {(r.id, r.v) for r in scoring.unique_rows(rows).collect()} == {("a", "first"), ("b", "only"), (None, "y")}
+    assert few == {(r.id, r.v) for r in scoring.unique_rows(wide, most_bytes=0).collect()} == {(r.id, r.v) for r in scoring.unique_rows(rows).collect()} == {("a", "first"), ("b", "only"), (None, "y")}
 
 
 def test_native_predictors(spark):

@@ -6,6 +6,11 @@ are intersected.  A token written in several scripts is spelled in the script
 that is left; a token written wholly in look-alikes of another script (a
 whole-script confusable) follows the script of the words around it; then
 invisible characters, odd blanks, width and accent forms are normalised.
+
+Which letters look alike in all scripts of Unicode comes from the confusables
+that the ICU library on Spark's class path ships (``look_alikes``); the short
+lists here hold only what those lack or leave open for the scripts that are
+mixed most.
 """
 
 from __future__ import annotations
@@ -13,11 +18,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,13 +55,10 @@ GREEK_CYRILLIC = [("ΓΠΦ", "ГПФ")]
 # Letters of one Japanese script that look like one of another.
 KATAKANA_FOR = {"力": "カ", "口": "ロ", "二": "ニ", "八": "ハ", "夕": "タ", "工": "エ", "卜": "ト", "へ": "ヘ"}
 
-#: Letters of the scripts that are mistaken for each other, with Latin first.
+#: Letters of the scripts that are mistaken for each other, with Latin first; ``extend`` adds more.
 LATIN_CLASS = "A-Za-zªºÀ-ÖØ-öø-ɏɐ-ʯḀ-ỿ"
 OTHER_CLASS = "Ͱ-ͳͶ-ͷͿΆΈ-Ͽἀ-\u1fffЀ-ҁҊ-ԯᲀ-\u1c8fԱ-Ֆա-ևᎠ-Ᏽꓐ-ꓷ"
 _MARKS = "\u0300-\u036f\u0483-\u0487"
-_TOKEN = re.compile(f"[{LATIN_CLASS}{OTHER_CLASS}][{LATIN_CLASS}{OTHER_CLASS}{_MARKS}]*")
-_OTHER = re.compile(f"[{OTHER_CLASS}]")
-_LATIN = re.compile(f"[{LATIN_CLASS}]")
 _CJK = re.compile("[\u3040-ヿ㐀-鿿豈-\ufaff가-힣]")
 _KATAKANA_PAIR = re.compile("(?<=[ァ-ヺー])([力口二八夕工卜へ])(?=[ァ-ヺー])")
 
@@ -76,6 +78,7 @@ _SCRIPTS: dict[str, frozenset[str]] = {}
 _NEAR_SCRIPTS: dict[str, frozenset[str]] = {}
 
 
+@lru_cache(100_000)
 def _script(ch: str) -> str:
     cp = ord(ch)
     if cp < 0x250 or 0x250 <= cp <= 0x2AF or 0x1E00 <= cp <= 0x1EFF:
@@ -86,7 +89,12 @@ def _script(ch: str) -> str:
         return "C"
     if 0x530 <= cp <= 0x58F:
         return "A"
-    return "K" if cp < 0xA000 else "S"
+    if 0x13A0 <= cp <= 0x13FF or 0xAB70 <= cp <= 0xABBF:
+        return "K"
+    if 0xA4D0 <= cp <= 0xA4FF:
+        return "S"
+    name = unicodedata.name(ch, "")
+    return "L" if name.startswith("LATIN ") else name.partition(" ")[0]
 
 
 def _fill() -> None:
@@ -103,14 +111,17 @@ def _fill() -> None:
     for a, b in zip(*GREEK_CYRILLIC[0], strict=True):
         _PROTO[a] = _PROTO[b] = "\x00" + b
         _SPELL["\x00" + b, "G"], _SPELL["\x00" + b, "C"] = a, b
+    _share_scripts()
+
+
+def _share_scripts() -> None:
+    """The scripts in which each letter could be written: those of all letters that look like it."""
     exact: dict[str, set[str]] = {}
     for a, b in _PROTO.items():
         exact.setdefault(b, set()).add(_script(a))
-    for b, scripts in exact.items():
-        with_latin = frozenset(scripts | ({"L"} if b[0] != "\x00" else set()))
-        _SCRIPTS[b] = with_latin
-        for a in [x for x, y in _PROTO.items() if y == b]:
-            _SCRIPTS[a] = with_latin
+    shared = {b: frozenset(scripts | ({"L"} if b[0] != "\x00" else set())) for b, scripts in exact.items()}
+    _SCRIPTS.update(shared)
+    _SCRIPTS.update({a: shared[b] for a, b in _PROTO.items()})
     for a, b in _NEAR.items():
         _NEAR_SCRIPTS[a] = frozenset({_script(a), "L"})
 
@@ -118,6 +129,94 @@ def _fill() -> None:
 _fill()
 
 
+def _letters() -> Iterator[str]:
+    """All letters and digits beyond ASCII but those of Chinese, Korean and Japanese."""
+    for cp in [*range(0x80, 0x3040), *range(0xA000, 0xAC00), *range(0xFB00, 0xFE00), *range(0x10000, 0x1D400), *range(0x1E000, 0x20000)]:
+        kind = unicodedata.category(chr(cp))
+        if kind[0] == "L" or kind == "Nd":
+            yield chr(cp)
+
+
+def _joined_scripts() -> frozenset[str]:
+    """Scripts left out of the look-alikes: those whose words are made of letters with vowel signs, and Arabic, whose letters join."""
+    names = (unicodedata.name(chr(cp), "") for cp in [*range(0x900, 0x1C00), *range(0xA800, 0xAB00), *range(0x11000, 0x12000), *range(0x16F00, 0x17000)])
+    return frozenset({"ARABIC", *(n.partition(" ")[0] for n in names if " VOWEL SIGN " in n)})
+
+
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Letters and digits of all scripts that look like one Latin letter, with that letter; worked out once for a Spark context.
+
+    Two characters look alike where ICU gives them the same skeleton; of the
+    Latin letters of a skeleton the one of the same case is taken.  A small
+    letter that looks like a small capital stands for the capital.  Letters
+    without case that are a mere stroke are left out, since they look like too
+    many things.
+    """
+    sc = spark.sparkContext
+    if (made := getattr(sc, "_stepmill_look_alikes", None)) is not None:
+        return made
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    own = [*map(chr, range(65, 91)), *map(chr, range(97, 123)), "ß"]
+    asked = [*own, *_letters()]
+    seen = dict(zip(asked, checker.getSkeleton("\n".join(asked)).split("\n"), strict=True))
+    latin: dict[str, list[str]] = {}
+    for c in own:
+        latin.setdefault(seen[c], []).append(c)
+    for c in asked:
+        m = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(c, ""))
+        if m and seen[c] == c:
+            latin[c] = [m.group(1)]
+    joined = _joined_scripts()
+    made = {}
+    for c in asked[len(own) :]:
+        fits = latin.get(seen[c], [])
+        name = unicodedata.name(c, "")
+        digit, ours = unicodedata.category(c) == "Nd", name.startswith("LATIN ")
+        if not fits or (ours and (ord(c) < 0x180 or not (c.islower() or c.isupper()) or "SMALL CAPITAL" in name)):
+            continue
+        if unicodedata.decomposition(c).startswith("<") or unicodedata.normalize("NFC", c) != c or (not digit and name.partition(" ")[0] in joined):
+            continue
+        if len(fits) > 1 and not (c.islower() or c.isupper()) and not digit:
+            continue
+        made[c] = next((x for x in fits if x.isupper() == c.isupper()), fits[0])
+    sc._stepmill_look_alikes = made
+    return made
+
+
+#: Digits of other scripts that look like a letter; read as one only between letters of ASCII.
+DIGITS_FOR: dict[str, str] = {}
+_TOKEN = _OTHER = _VARIANT = _DIGIT = re.compile("")
+_extended: frozenset[str] | None = None
+
+
+def extend(more: dict[str, str]) -> bool:
+    """Take ``more`` look-alikes (as from ``look_alikes``) into the tables of this process; the lists above come first. True if they are new."""
+    global _TOKEN, _OTHER, _VARIANT, _DIGIT, _extended
+    if _extended is not None and _extended >= more.keys():
+        return False
+    scripts = set()
+    for a, b in more.items():
+        if unicodedata.category(a) == "Nd":
+            DIGITS_FOR[a] = b
+        elif _script(a) == "L":
+            LATIN_VARIANTS.setdefault(a, b)
+        elif a not in _PROTO and a not in _NEAR and not ("α" <= a <= "ω" or "а" <= a <= "я" or "А" <= a <= "Я" or "Α" <= a <= "Ω"):
+            _PROTO[a] = b
+            _SPELL.setdefault((b, _script(a)), a)
+            scripts.add(_script(a))
+    _share_scripts()
+    _scripts_of.cache_clear()
+    _read_kept.cache_clear()
+    wider = "".join(_ranges(c for c in _letters() if unicodedata.category(c)[0] == "L" and _script(c) in scripts)) if scripts else ""
+    latin = LATIN_CLASS + "".join(map(re.escape, LATIN_VARIANTS))
+    _TOKEN = re.compile(f"[{latin}{OTHER_CLASS}{wider}][{latin}{OTHER_CLASS}{wider}{_MARKS}]*")
+    _OTHER = re.compile(f"[{OTHER_CLASS}{wider}]")
+    _VARIANT = re.compile(_class(LATIN_VARIANTS))
+    _DIGIT = re.compile(f"(?<=[A-Za-z]){_class(DIGITS_FOR)}(?=[A-Za-z])") if DIGITS_FOR else re.compile("(?!)")
+    _extended = (_extended or frozenset()) | more.keys()
+    return True
+
+
 def _simple_forms() -> tuple[dict[int, str], frozenset[str], dict[int, str]]:
     """Width and presentation forms, invisible characters, odd blanks."""
     forms: dict[int, str] = {}
@@ -156,21 +255,29 @@ FORMS, INVISIBLES, BLANKS = _simple_forms()
 WIDE_SIGNS = {cp: chr(cp - 0xFEE0) for cp in range(0xFF01, 0xFF5F) if cp not in FORMS} | {0x3000: " "}
 
 
-def _class(chars) -> str:
-    """A pattern class with neighbours as ranges: classes with many single astral characters are searched slowly."""
+def _ranges(chars: Iterable[str]) -> list[str]:
+    """Characters as the ranges of a pattern class."""
     runs: list[list[int]] = []
     for cp in sorted(map(ord, chars)):
         if runs and cp == runs[-1][1] + 1:
             runs[-1][1] = cp
         else:
             runs.append([cp, cp])
-    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]"
+    return [f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs]
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A pattern class with neighbours as ranges: classes with many single astral characters are searched slowly."""
+    return "[" + "".join(_ranges(chars)) + "]"
 
 
 _INVISIBLE_RE = re.compile(_class(INVISIBLES))
 _FORMS_RE = re.compile(_class(map(chr, FORMS)))
 _BLANKS_RE = re.compile(_class(map(chr, BLANKS)))
 _WIDE_SIGNS_RE = re.compile(_class(map(chr, WIDE_SIGNS)))
+#: Letters that fill the holes of the mathematical alphabets, with the plain one; read so only beside letters of ASCII (and not the litre).
+HOLES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2100, 0x2150) if c != 0x2113 and unicodedata.decomposition(chr(c)).startswith("<font>") and unicodedata.normalize("NFKC", chr(c)).isascii()}
+_HOLE = re.compile(f"(?<=[A-Za-z]){_class(HOLES)}|{_class(HOLES)}(?=[A-Za-z])")
 
 
 def _arabic(ch: str) -> bool:
@@ -268,6 +375,38 @@ def _same_script(token: str) -> list[list[str]]:
     return out
 
 
+def _read(token: str) -> tuple[str | None, tuple[str, ...], bool]:
+    """What a token says by itself: its new spelling if it has one, the scripts it is surely written in, and whether the words around it must decide."""
+    letters = [c for c in token if not unicodedata.combining(c)]
+    if not _OTHER.search(token):
+        new = None
+        if _VARIANT.search(token) and re.search("[A-Za-z]", token):
+            plain = "".join(LATIN_VARIANTS.get(c, c) for c in token)
+            # phonetic writing keeps its letters: only a word that is then plain is respelled
+            if not any("\u0180" <= c <= "\u02af" or "\u1d00" <= c <= "\u1dbf" for c in plain):
+                token = new = plain
+        only_latin = frozenset.intersection(*(_scripts_of(c, False) for c in letters)) == {"L"}
+        return new, ("L",) if only_latin else (), False
+    scripts = {_script(_base(c)[0]) for c in letters}
+    if len(scripts) == 1:
+        own = any("L" not in _scripts_of(c, False) for c in letters)
+        return None, tuple(scripts) if own else (), not own
+    if _plain_halves(token):
+        return None, (), False
+    spelled, sure, still_open = "", [], False
+    for run, left in _runs(token):
+        if len(left) == 1:
+            sure += left
+            spelled += _respell(run, next(iter(left)))
+        else:
+            spelled += run
+            still_open = True
+    return spelled, tuple(sure), still_open
+
+
+_read_kept = lru_cache(100_000)(_read)
+
+
 def _fix_scripts(text: str) -> str:
     """Every token in the script it belongs to (method step one to three)."""
     tokens = list(_TOKEN.finditer(text))
@@ -276,32 +415,11 @@ def _fix_scripts(text: str) -> str:
     new: dict[int, str] = {}
     for i, m in enumerate(tokens):
         token = m.group()
-        if not _OTHER.search(token):
-            if any(c in LATIN_VARIANTS for c in token):
-                token = new[i] = "".join(LATIN_VARIANTS.get(c, c) for c in token) if re.search("[A-Za-z]", token) else token
-            if any(len(_scripts_of(c, False)) == 1 for c in token if not unicodedata.combining(c)):
-                sure["L"] += 1
-            continue
-        letters = [c for c in token if not unicodedata.combining(c)]
-        scripts = {_script(_base(c)[0]) for c in letters}
-        if len(scripts) == 1:
-            if any("L" not in _scripts_of(c, False) for c in letters):
-                sure[next(iter(scripts))] += 1
-            else:
-                open_tokens.append(i)
-            continue
-        if _plain_halves(token):
-            continue
-        spelled = ""
-        for run, left in _runs(token):
-            if len(left) == 1:
-                target = next(iter(left))
-                sure[target] += 1
-                spelled += _respell(run, target)
-            else:
-                spelled += run
-        new[i] = spelled
-        if any(len(left) > 1 for _, left in _runs(token)):
+        spelled, scripts, still_open = (_read_kept if len(token) < 40 else _read)(token)
+        if spelled is not None:
+            new[i] = spelled
+        sure.update(scripts)
+        if still_open:
             open_tokens.append(i)
     for i in open_tokens:
         token = new.get(i, tokens[i].group())
@@ -347,7 +465,11 @@ def canonicalise(text: str | None) -> tuple[str | None, int]:
         text, kinds = text.translate(WIDE_SIGNS), kinds | WIDTH
     if not unicodedata.is_normalized("NFC", text):
         text, kinds = unicodedata.normalize("NFC", text), kinds | ACCENT
-    if _OTHER.search(text) or any(c in text for c in LATIN_VARIANTS):
+    if _HOLE.search(text):
+        text, kinds = _HOLE.sub(lambda m: HOLES[m.group()], text), kinds | WIDTH
+    if _DIGIT.search(text):
+        text, kinds = _DIGIT.sub(lambda m: DIGITS_FOR[m.group()], text), kinds | SCRIPT
+    if _OTHER.search(text) or _VARIANT.search(text):
         new = _fix_scripts(text)
         if new != text:
             text, kinds = unicodedata.normalize("NFC", new), kinds | SCRIPT
@@ -356,6 +478,8 @@ def canonicalise(text: str | None) -> tuple[str | None, int]:
     return text, kinds
 
 
+extend({})
+
 _STATE_LINE = re.compile(r'^(\[\d+\] <[^>]*> role=\S+ ")(.*)("?)$', re.S)
 
 
@@ -376,21 +500,28 @@ def canonicalise_state(state: str | None) -> tuple[str | None, int]:
 
 
 _SCHEMA = T.StructType([T.StructField("canonical", T.StringType()), T.StructField("kinds", T.IntegerType())])
-_KEPT = 200_000
+#: Characters of texts and forms that a task remembers, and the longest text worth it.
+_KEPT, _KEPT_LENGTH = 20_000_000, 500
 
 
-def _batches(one):
+def _batches(one, more: dict[str, str]):
     @F.pandas_udf(_SCHEMA)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        extend(more)
         seen: dict[str, tuple[str, int]] = {}
+        held = 0
         for batch in batches:
-            if len(seen) > _KEPT:
-                seen.clear()
             out = []
             for text in batch:
                 hit = seen.get(text) if text is not None else (None, 0)
                 if hit is None:
-                    hit = seen[text] = one(text)
+                    hit = one(text)
+                    if len(text) <= _KEPT_LENGTH:
+                        if held > _KEPT:
+                            seen.clear()
+                            held = 0
+                        seen[text] = hit
+                        held += 2 * len(text)
                 out.append(hit)
             yield pd.DataFrame(out, columns=["canonical", "kinds"])
 
@@ -399,12 +530,13 @@ def _batches(one):
 
 def canonical_form(text: Column, state: bool = False) -> Column:
     """Struct (canonical, kinds) of a string column; Python runs only on ``suspect`` texts if filtered first."""
-    return _batches(canonicalise_state if state else canonicalise)(text)
+    return _batches(canonicalise_state if state else canonicalise, look_alikes(SparkSession.active()))(text)
 
 
 def suspect(text: Column) -> Column:
     """Whether the text has a character that may be unusual; evaluated in the JVM."""
-    return text.rlike(SUSPECT)
+    odd = [c for c in (*look_alikes(SparkSession.active()), *HOLES) if not re.match(SUSPECT, c)]
+    return text.rlike(f"[{SUSPECT}{''.join(odd)}]" if odd else SUSPECT)
 
 
 def texts_of(rows: DataFrame, records: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepmill.llm.charforms import _NEAR, _PROTO, FORMS, INVISIBLES, LATIN_VARIANTS
+from stepmill.llm.charforms import _NEAR, _PROTO, FORMS, HOLES, INVISIBLES, LATIN_VARIANTS, _ranges, extend, look_alikes
 from stepmill.session import fits, spread, table_folder
 
 _WORD = re.compile(r"[^\W_]+")
@@ -24,13 +24,22 @@ _HAN = re.compile("[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
 #: Characters as they are compared: invisible ones gone, width forms plain,
 #: look-alikes as the Latin letter they resemble.
-_FOLD: dict[int, str] = {ord(c): "" for c in INVISIBLES}
-_FOLD |= FORMS
-_FOLD |= {ord(a): b for a, b in [*_PROTO.items(), *_NEAR.items(), *LATIN_VARIANTS.items()] if b[0] != "\x00"}
+_FOLD: dict[int, str] = {}
+#: Finds out fast whether the table is needed; all astral characters go to it.
+_FOLDS = re.compile("")
 
 
-#: Finds out fast whether the table is needed; all astral characters go to it.
-_FOLDS = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_FOLD) if c < 0x10000) + "\U00010000-\U0010ffff]")
+def refold(more: dict[str, str]) -> None:
+    """Make the tables of this process from those of problem 1 with ``more`` look-alikes."""
+    global _FOLDS
+    if not extend(more) and _FOLD:
+        return
+    _FOLD.update({ord(c): "" for c in INVISIBLES} | FORMS)
+    _FOLD.update({ord(a): b for a, b in [*_PROTO.items(), *_NEAR.items(), *LATIN_VARIANTS.items(), *HOLES.items()] if b[0] != "\x00"})
+    _FOLDS = re.compile("[" + "".join(_ranges(chr(c) for c in _FOLD if c < 0x10000)) + "\U00010000-\U0010ffff]")
+
+
+refold({})
 
 
 def fold(text: str) -> str:
@@ -201,10 +210,12 @@ def find_leaks_in_blocks(documents: DataFrame, items: DataFrame, min_words: int,
 
 
 def _scan(documents: DataFrame, held: list[tuple[int, str]], min_words: int, min_chars: int) -> DataFrame:
+    more = look_alikes(documents.sparkSession)
     has_chars = any(without_blanks(t) for _, t in held)
     has_words = any(not without_blanks(t) for _, t in held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refold(more)
         auto = automaton(passages(held, min_words, min_chars))
         for batch in batches:
             rows = []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepmill.llm.charforms import canonicalise
+from stepmill.llm.charforms import canonicalise, extend, look_alikes
 from stepmill.llm.groups import site_key
 from stepmill.session import broadcast_if_small, cut, fits
 
@@ -68,10 +68,16 @@ def tokens(goal: str) -> tuple[list[str], list[int]]:
 _TOKENS = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("flags", T.ArrayType(T.IntegerType()))])
 
 
-@F.pandas_udf(_TOKENS)
-def _tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for goals in batches:
-        yield pd.DataFrame([tokens(g) for g in goals], columns=["words", "flags"])
+def _tokens(goal, more: dict[str, str]):
+    """``tokens`` of a column, with ``more`` look-alikes."""
+
+    @F.pandas_udf(_TOKENS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        extend(more)
+        for goals in batches:
+            yield pd.DataFrame([tokens(g) for g in goals], columns=["words", "flags"])
+
+    return run(goal)
 
 
 def slip(a: str, b: str) -> bool:
@@ -279,7 +285,7 @@ def request_keys(goals: DataFrame, vocabulary: str | None = VOCABULARY, most: in
     joined word by word.
     """
     forms = goals.groupBy(digest(F.col("goal")).alias("g")).agg(F.first("goal").alias("goal"))
-    forms = forms.withColumn("t", _tokens("goal")).select("g", F.col("t.words").alias("words"), F.col("t.flags").alias("flags"))
+    forms = forms.withColumn("t", _tokens("goal", look_alikes(goals.sparkSession))).select("g", F.col("t.words").alias("words"), F.col("t.flags").alias("flags"))
     forms = cut(forms.withColumn("raw", F.xxhash64("words")))
     seqs = cut(forms.groupBy("raw").agg(F.first("words").alias("words"), F.max("flags").alias("flags")))
     fixes = cut(corrections(cut(word_counts(seqs)), seqs, vocabulary))

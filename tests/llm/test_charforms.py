@@ -115,3 +115,19 @@ def test_query_gives_the_form_of_every_text(spark, tmp_path):
     assert got == sorted(want, key=repr)
     cases = {tuple(r) for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()}
     assert cases == {r[:3] for r in got if r[4]}
+
+
+def test_look_alikes_of_all_scripts(spark):
+    more = c.look_alikes(spark)
+    c.extend(more)
+    assert len(more) > 250 and all(len(a) == len(b) == 1 for a, b in more.items())
+    for odd, plain in {"ⲟpen": "open", "ⲣage": "page", "סpen": "open", "ᖇent": "Rent", "ҽmail": "email", "ɩogin": "iogin", "Ɩogin": "Iogin", "ꞵook": "ßook", "ℎotel": "hotel", "ꭺpple": "Apple", "l०gin": "login", "ⲟⲣen now": "open now"}.items():
+        assert c.canonicalise(odd) == (plain, c.WIDTH if "ℎ" in odd else c.SCRIPT), odd
+    for plain in ("שלום עולם", "ⲁⲛⲟⲕ ⲡⲉ", "ქართული ენა", "ህሎ ዐለም", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "[ɡoʊ]", "ǀXam", "500 mℓ", "ıssız", "בGoogle", "ଠ ଓଡ଼ିଆ", "१० घंटे", "Привет", "Ελλάδα", "ℝ and ℕ", "Հայաստան", "ሰላም ዐ"):
+        assert c.canonicalise(plain) == (plain, 0), plain
+    rows = spark.createDataFrame([("Ɩogin",), ("ℎotel",), ("plain ö",), ("ɩogin",), (None,)], "t string")
+    assert [r.s for r in rows.select(c.suspect(c.F.col("t")).alias("s")).collect()] == [True, True, False, True, None]
+
+
+def test_words_are_read_by_the_intersection_of_their_scripts():
+    assert c.canonicalise("Mobile арр") == ("Mobile app", c.SCRIPT) and c.canonicalise("мир арр") == ("мир арр", 0)

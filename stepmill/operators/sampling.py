@@ -51,13 +51,22 @@ def site_cap(counts: DataFrame, target: int, share: float = 0.05) -> DataFrame:
     return reach.select(F.when(F.col("reach") >= target, F.lit(soft)).otherwise(hard).cast("bigint").alias("cap"))
 
 
+def first_in_group(rows: DataFrame, group: str, key: Column, most: int, seed: str) -> DataFrame:
+    """Up to ``most`` rows of every group in a seeded order, with their place ``_rn``; the limit is taken before the shuffle as well, so a hot group shrinks to it."""
+    inside = Window.partitionBy(group).orderBy(seeded(key, seed), key)
+    return rows.withColumn("_rn", F.row_number().over(inside)).where(F.col("_rn") <= most)
+
+
+def prefix(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows in an order; each task keeps no more than that many."""
+    return rows.orderBy(*order).limit(most)
+
+
 def capped_by_group(rows: DataFrame, group: str, key: str, target: int, seed: str) -> DataFrame:
     """``target`` rows dealt round robin from the groups, none giving more than the cap that reaches the target."""
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    inside = Window.partitionBy(group).orderBy(seeded(F.col(key), seed), key)
     # no group gives more than target rows: this static limit is taken before the shuffle
-    first = rows.withColumn("_rn", F.row_number().over(inside)).where(F.col("_rn") <= target)
-    capped = first.where(F.col("_rn") <= site_cap(counts, target).scalar())
+    capped = first_in_group(rows, group, F.col(key), target, seed).where(F.col("_rn") <= site_cap(counts, target).scalar())
     name = F.coalesce(F.col(group).cast("string"), F.lit(""))
     return capped.orderBy("_rn", seeded(name, seed, "site"), name).limit(target).drop("_rn")
 

@@ -211,9 +211,9 @@ _BOARD = f"""
         from preds p join rows1 r on r.id = p.id group by place, adapter)"""
 
 
-@query(f"with {_BOARD} select 'eval_rows' as dataset_name, place, adapter, n, round(element_acc, 6) as element_acc, round(operation_acc, 6) as operation_acc, round(step_success, 6) as step_success, round(brier, 6) as brier from board")
+@query(f"with {_BOARD} select 'eval_rows' as dataset_name, place, adapter, n, round(element_acc, 6) as element_acc, round(operation_acc, 6) as operation_acc, round(step_success, 6) as step_success, round(brier, 6) as brier, 0.0::double as latency_mean_ms, 0.0::double as latency_p50_ms from board")
 def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(scoring.leaderboard(_results(spark, folder)[0])).drop("latency_mean_ms", "latency_p50_ms")
+    return rounded(scoring.leaderboard(_results(spark, folder)[0]))
 
 
 @query(f"""
@@ -753,6 +753,37 @@ def example_rows(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def capped_lineitems(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty lines of every supplier: the capped sample at scale."""
-    lines = read(spark, folder, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    order = Window.partitionBy("l_suppkey").orderBy(scores.seeded(F.col("k"), "2"), "k")
-    return lines.withColumn("rn", F.row_number().over(order)).where("rn <= 20").select("l_suppkey", "l_orderkey", "l_linenumber")
+    lines = sampling.first_in_group(read(spark, folder, "lineitem"), "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber"), 20, "2")
+    return lines.select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query(f"with {_ROWS} select id, goal, website from rows1 where id is not null order by id limit 100")
+def first_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The first hundred rows by id."""
+    return sampling.prefix(rows_of(spark, folder, "goal", "website").where("id is not null"), 100, "id").select("id", "goal", "website")
+
+
+@query(f"with {_SCORED}, u as (select unnest(map_entries(usage)) as e from sc), s as (select e.key as key, round(sum(e.value), 3) as total from u where e.value is not null group by 1) select string_agg(key || '=' || round(total)::bigint, ',' order by key) as usage from s")
+def run_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """The usage of a whole run as one map, written out."""
+    one = scoring.usage_map(scoring.usage_totals(_scored(spark, folder)))
+    return one.select(F.array_join(F.transform(F.array_sort(F.map_entries("usage_total")), lambda e: F.concat(e.getField("key"), F.lit("="), F.round(F.round(e.getField("value"), 3)).cast("bigint"))), ",").alias("usage"))
+
+
+@query(f"""
+    with {_SCORED}, m as (select count(*) as n, avg(ec::int) as acc from sc),
+    ra as (select r.id, r.gold_idx, list_transform(range(10), lambda i: ('0x' || substr(md5('random:' || r.id || ':' || i::varchar), 1, 13))::bigint::double / 4503599627370496.0) as u from rows1 r),
+    c as (select avg(coalesce((list_position(u, list_max(u)) - 1) = gold_idx, false)::int) as rnd from ra)
+    select 'model' as adapter, 'differs from random by more than 3 points' as gate, case when n >= 200 then abs(acc - rnd) > 0.03 end as ok, round(acc, 6) as value, round(rnd, 6) as reference from m, c
+    union all select 'few', 'differs from random by more than 3 points', null, round(acc, 6), round(rnd, 6) from (select avg(ec::int) as acc from (select ec from sc order by id limit 150)), c
+""")
+def model_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """The gates of two models against chance, one of them on too few rows to be held to it."""
+    scored = _scored(spark, folder)
+    chance = scoring.score(predict.predict_native(rows_of(spark, folder, "split", "website", "gold_idx", "operation"), "random"))
+    runs = None
+    for name, one in (("model", scored), ("few", sampling.prefix(scored, 150, "id")), ("random", chance)):
+        blocks = scoring.metrics(one.withColumn("adapter", F.lit(name)).withColumn("dataset_name", F.lit("eval_rows")), "adapter", "dataset_name")
+        runs = blocks if runs is None else runs.unionByName(blocks)
+    first = runs.select("dataset_name", F.lit(0.1).alias("gold_first_rate")).distinct()
+    return scoring.gates(runs, first).where("adapter <> 'random'").select("adapter", "gate", "ok", F.round("value", 6).alias("value"), F.round("reference", 6).alias("reference"))

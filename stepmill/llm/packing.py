@@ -11,6 +11,7 @@ pool is left or nothing is gained.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,15 @@ def load_tokenizer(path: str = TOKENIZER):
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of every document (doc_id, text); null texts have 0 tokens."""
+    """(doc_id, n_tokens) of every document (doc_id, text); null texts have 0 tokens.
+
+    The rank file need lie on the driver alone; Spark hands it to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = load_tokenizer(path)
+        enc = load_tokenizer(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(enc.encode_ordinary(t)) if t is not None else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": pd.Series(sizes, dtype="int32")})

@@ -88,23 +88,31 @@ def record_groups(rows: DataFrame) -> DataFrame:
     base = rows.select("id", F.col("_annotation_id").alias("task"), site_key(F.col("website")).alias("site"), F.col("operation").alias("label")).where("id is not null")
     edges = cut(base.where("task is not null and site is not null").select("task", "site").distinct())
     labels = connect(edges)
-    by_task = edges.join(labels, "site").groupBy("task").agg(F.min("label").alias("task_grp"))
+    by_task = edges.join(broadcast_if_small(labels), "site").groupBy("task").agg(F.min("label").alias("task_grp"))
     by_site = labels.select("site", F.col("label").alias("site_grp"))
-    each = base.groupBy("id", "task", "site").agg(F.min("label").alias("label"))
-    # the hot side is the record side: where the sites are few they are sent to it, else AQE splits hot sites
-    named = each.join(broadcast_if_small(by_site), "site", "left").join(by_task, "task", "left")
+    # the hot side is the record side: where the others are few they are sent to it, else AQE splits hot keys
+    named = base.join(broadcast_if_small(by_site), "site", "left").join(broadcast_if_small(by_task), "task", "left")
     key = F.coalesce(
         F.concat(F.lit("s:"), F.coalesce("site_grp", "task_grp")),
         F.concat(F.lit("s:"), F.col("site")),
         F.concat(F.lit("t:"), F.col("task")),
         F.concat(F.lit("r:"), F.col("id")),
     )
-    placed = cut(named.select("id", key.alias("grp"), "label"))
+    placed = named.select("id", key.alias("grp"), "label")
+    # one row for each id, aggregated before the shuffle; an id whose copies agree has one group
+    one = cut(placed.groupBy("id").agg(F.min("grp").alias("grp"), F.max("grp").alias("other"), F.min("label").alias("label")))
+    several = one.where("grp <> other").select("id")
+    if several.isEmpty():
+        return one.select("id", "grp", "label")
     # ids whose copies lie in several groups tie these groups: the same iteration over (id, group)
-    several = placed.groupBy("id").agg(F.countDistinct("grp").alias("n")).where("n > 1").select("id")
-    ties = placed.join(several, "id").select(F.col("id").alias("task"), F.col("grp").alias("site")).distinct()
+    ties = placed.join(broadcast_if_small(several), "id").select(F.col("id").alias("task"), F.col("grp").alias("site")).distinct()
     merged = connect(ties).select(F.col("site").alias("grp"), F.col("label").alias("to"))
-    return placed.join(merged, "grp", "left").groupBy("id").agg(F.min(F.coalesce("to", "grp")).alias("grp"), F.min("label").alias("label"))
+    return one.join(broadcast_if_small(merged), "grp", "left").select("id", F.coalesce("to", "grp").alias("grp"), "label")
+
+
+def assigned_ids(records: DataFrame, shares: DataFrame) -> DataFrame:
+    """(id, split) of all records; the groups are sent to them where they are few, so that a hot group is not one task's work."""
+    return records.join(broadcast_if_small(assign_splits(records, shares)), "grp").select("id", "split")
 
 
 def assign_splits(records: DataFrame, shares: DataFrame, large: int = 2000, most_labels: int = 1000) -> DataFrame:

@@ -79,7 +79,7 @@ def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
 def p3_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """(id, split) for every distinct id."""
     records = cut(groups.record_groups(_read(spark, folder, "eval_rows")))
-    return records.join(groups.assign_splits(records, _read(spark, folder, "split_shares")), "grp").select("id", "split")
+    return groups.assigned_ids(records, _read(spark, folder, "split_shares"))
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:

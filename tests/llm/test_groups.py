@@ -80,6 +80,12 @@ def test_many_small_groups_come_near_the_shares(spark):
     assert abs(report["all", "train", None] - 80) < 0.5 and abs(report["label", "val", "TYPE"] - 10) < 1
 
 
+def test_copies_of_an_id_tie_their_groups(spark):
+    rows = [("a", "x", "t1", None, None, None), ("a", "y", "t2", None, None, None), ("b", "y", "t3", None, None, None), ("c", "z", "t4", None, None, None), ("c", None, None, None, None, None), ("d", None, "t5", None, None, None), ("d", None, "t6", None, None, None), ("e", None, "t6", None, None, None)]
+    grp = {r.id: r.grp for r in g.record_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(grp) == set("abcde") and grp["a"] == grp["b"] and grp["d"] == grp["e"] and len(set(grp.values())) == 3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     shares = spark.createDataFrame([("train", 100)], "split string, share_pct int")

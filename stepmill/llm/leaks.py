@@ -1,16 +1,18 @@
 """Problem 7: held-out passages inside documents.
 
-One Aho-Corasick automaton holds every run of ``min_words`` words (for items
-in scripts without blanks: ``min_chars`` characters) of the normalised items.
-Each document is normalised and scanned once; where the automaton finds
-something, the places are mapped back to the original text.
+One Aho-Corasick automaton holds the normalised items, cut into pieces of
+half the words (for items in scripts without blanks: characters) that make a
+leak.  Any shared run that is long enough holds a whole piece, so each
+document is normalised and scanned once; where a piece is found the run is
+followed to both sides, and its place is mapped back to the original text.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,44 +73,78 @@ def without_blanks(text: str) -> bool:
     return len(letters) > 0 and len(_HAN.findall(text)) * 2 > len(letters)
 
 
-def passages(items: list[tuple[int, str]], min_words: int, min_chars: int) -> dict[str, set[int]]:
-    """The runs to look for, with the items that hold them; word runs stand between blanks."""
-    runs: dict[str, set[int]] = {}
-    for item, text in items:
-        if not text:
-            continue
-        found = words(text)
-        if without_blanks(text):
-            chars = "".join(found)
-            for i in range(len(chars) - min_chars + 1):
-                runs.setdefault(chars[i : i + min_chars], set()).add(item)
+class Passages:
+    """The items made ready to be looked for: their words or characters, and the automaton of their pieces.
+
+    The pieces do not overlap, so the automaton grows with the items' text and
+    not with the number of runs in it.
+    """
+
+    def __init__(self, items: Iterable[tuple[int, str | None]], min_words: int, min_chars: int) -> None:
+        import ahocorasick
+
+        self.items: list[tuple[int, list[str] | str]] = []
+        self.least = {True: min_words, False: min_chars}
+        pieces: dict[str, list[tuple[int, int]]] = {}
+        for item, text in items:
+            found = words(text) if text else []
+            by_words = not without_blanks(text or "")
+            units = found if by_words else "".join(found)
+            size = (self.least[by_words] + 1) // 2
+            if len(units) < self.least[by_words]:
+                continue
+            for k in range(0, len(units) - size + 1, size):
+                piece = f" {' '.join(units[k : k + size])} " if by_words else units[k : k + size]
+                pieces.setdefault(piece, []).append((len(self.items), k))
+            self.items.append((item, units))
+        self.by_words = any(isinstance(units, list) for _, units in self.items)
+        self.by_chars = any(isinstance(units, str) for _, units in self.items)
+        self.automaton = ahocorasick.Automaton()
+        for piece, held in pieces.items():
+            self.automaton.add_word(piece, (len(piece), held))
+        self.automaton.make_automaton()
+
+    def shared(self, found: list[str], by_words: bool) -> dict[int, list[tuple[int, int]]]:
+        """By item, the stretches [start, end) of ``found`` (words, or their characters) that it shares, in order and apart."""
+        line = f" {' '.join(found)} " if by_words else "".join(found)
+        hits = list(self.automaton.iter(line)) if self.items else []
+        if not hits:
+            return {}
+        place = range(len(line))
+        if by_words:
+            starts = [0, *accumulate(len(w) + 1 for w in found)]
+            place = {at: i for i, at in enumerate(starts)}
+        whole = found if by_words else line
+        seen: dict[tuple[int, int], int] = {}
+        out: dict[int, list[tuple[int, int]]] = {}
+        for end, (size, held) in hits:
+            at = end + 1 - size
+            if by_words and at not in place:
+                continue  # a piece of characters that happens to lie inside the line
+            at = place[at]
+            for n, k in held:
+                item, units = self.items[n]
+                if isinstance(units, list) != by_words or at < seen.get((n, at - k), 0):
+                    continue
+                low, shift = k, at - k
+                while low > 0 and low + shift > 0 and units[low - 1] == whole[low + shift - 1]:
+                    low -= 1
+                high = k
+                while high < len(units) and high + shift < len(whole) and units[high] == whole[high + shift]:
+                    high += 1
+                seen[n, shift] = max(high + shift, at + 1)
+                if high - low >= self.least[by_words]:
+                    out.setdefault(item, []).append((low + shift, high + shift))
+        return {item: _merged(spans) for item, spans in out.items()}
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            for i in range(len(found) - min_words + 1):
-                runs.setdefault(" " + " ".join(found[i : i + min_words]) + " ", set()).add(item)
-    return runs
-
-
-def automaton(runs: dict[str, set[int]]):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for run, held in runs.items():
-        a.add_word(run, (len(run), tuple(sorted(held))))
-    a.make_automaton()
-    return a
-
-
-def _hits(auto, text: str) -> dict[int, list[tuple[int, int]]]:
-    """By item, the stretches [start, end) of the normalised text that it shares."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for end, (size, held) in auto.iter(text):
-        a, b = end + 1 - size, end + 1
-        for item in held:
-            spans = out.setdefault(item, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], b)
-            else:
-                spans.append((a, b))
+            out.append((a, b))
     return out
 
 
@@ -142,43 +178,28 @@ def folded_places(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
-def leaks_in(auto, has_words: bool, has_chars: bool, text: str) -> list[tuple[int, int, int]]:
+def leaks_in(passages: Passages, text: str) -> list[tuple[int, int, int]]:
     """(item, start, end) of every shared stretch of ``text``, in its own positions."""
     found = words(text)
     if not found:
         return []
-    by_words = _hits(auto, " " + " ".join(found) + " ") if has_words else {}
-    by_chars = _hits(auto, "".join(found)) if has_chars and _HAN.search(text) else {}
+    by_words = passages.shared(found, True) if passages.by_words else {}
+    by_chars = passages.shared(found, False) if passages.by_chars and _HAN.search(text) else {}
     if not by_words and not by_chars:
         return []
     folded, starts, ends = folded_places(text)
     spans = [m.span() for m in _WORD.finditer(folded)]
-    out = []
-    # where each word begins in the line with a blank before every word, and in the line without blanks
-    for hits, gap in ((by_words, 1), (by_chars, 0)):
-        if not hits:
-            continue
-        place: dict[int, int] = {}
-        letters: list[int] = []
-        at = 0
-        for i, (a, b) in enumerate(spans):
-            place[at] = i
-            letters += range(a, b)
-            at += b - a + gap
-        place[at] = len(spans)
-        for item, stretches in hits.items():
-            for a, b in stretches:
-                if not gap:
-                    out.append((item, starts[letters[a]], ends[letters[b - 1]]))
-                elif a in place and b - 1 in place:  # else a run of characters that happens to lie inside the line
-                    out.append((item, starts[spans[place[a]][0]], ends[spans[place[b - 1] - 1][1] - 1]))
+    out = [(item, starts[spans[a][0]], ends[spans[b - 1][1] - 1]) for item, stretches in by_words.items() for a, b in stretches]
+    if by_chars:
+        letters = [i for a, b in spans for i in range(a, b)]
+        out += [(item, starts[letters[a]], ends[letters[b - 1]]) for item, stretches in by_chars.items() for a, b in stretches]
     return out
 
 
 SCHEMA = "doc_id bigint, item_id bigint, start_pos int, end_pos int"
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20, most_items: int = 20_000, most_chars: int = 500_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20, most_items: int = 20_000, most_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, start_pos, end_pos): every stretch of ``documents`` (doc_id, text) taken from ``items`` (item_id, text).
 
     The items are held-out material; one automaton holds up to ``most_items``
@@ -211,17 +232,14 @@ def find_leaks_in_blocks(documents: DataFrame, items: DataFrame, min_words: int,
 
 def _scan(documents: DataFrame, held: list[tuple[int, str]], min_words: int, min_chars: int) -> DataFrame:
     more = look_alikes(documents.sparkSession)
-    has_chars = any(without_blanks(t) for _, t in held)
-    has_words = any(not without_blanks(t) for _, t in held)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refold(more)
-        auto = automaton(passages(held, min_words, min_chars))
+        passages = Passages(held, min_words, min_chars)
         for batch in batches:
             rows = []
-            if len(auto):
+            if passages.items:
                 for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    rows += [(doc, *x) for x in leaks_in(auto, has_words, has_chars, text)]
+                    rows += [(doc, *x) for x in leaks_in(passages, text)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_pos", "end_pos"]).astype({"doc_id": "Int64", "item_id": "int64", "start_pos": "int32", "end_pos": "int32"})
 
     return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(run, SCHEMA)

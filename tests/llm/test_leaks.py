@@ -40,10 +40,10 @@ def test_blocks_of_items_give_the_same(spark):
 
 def test_places_are_exact_whatever_stands_around():
     passage = "住在河边的木匠打算修理半车干薰衣草，地点在老城墙"
-    auto = m.automaton(m.passages([(i, t) for i, t in ITEMS if t], 12, 20))
+    passages = m.Passages(ITEMS, 12, 20)
     for odd in ("İ", "ΐ", "e\u0301\u0301", "\u200b", "ﬃ", "ｶﾞ", "ﾡￂ", "각", "İ\u200bﬁ", "\u0301", "ß", "한국"):
         for text, part in ((f"{odd} x{odd}y {PART} {odd} z{odd}", PART), (f"{odd}前{odd} {passage}{odd}", passage)):
-            (one,) = m.leaks_in(auto, True, True, text)
+            (one,) = m.leaks_in(passages, text)
             assert text[one[1] : one[2]].rstrip("\u0301") == part, odd  # marks belong to their character
 
 
@@ -73,6 +73,30 @@ def test_against_brute_force(spark):
     assert got == want and want
 
 
+def test_stretches_are_those_of_all_runs():
+    rnd = random.Random(8)
+    for least in (1, 2, 3, 4, 5, 7, 12):
+        for _ in range(60):
+            units = [rnd.choices(["ab", "c", "ddd"], weights=[5, 1, 1], k=rnd.randint(0, 25)) for _ in range(3)]
+            text = ", ".join(x for u in rnd.choices(units, k=3) for x in u[rnd.randint(0, 5) :]) + " c"
+            found = m.words(text)
+            want = {}
+            for i, u in enumerate(units):
+                runs = {tuple(u[k : k + least]) for k in range(len(u) - least + 1)}
+                inside = [(k, k + least) for k in range(len(found) - least + 1) if tuple(found[k : k + least]) in runs]
+                if inside:
+                    want[i] = m._merged(inside)
+            assert m.Passages([(i, " ".join(u)) for i, u in enumerate(units)], least, 20).shared(found, True) == want
+            chars = ["".join(rnd.choices("河边木", k=rnd.randint(0, 30))) for _ in range(3)]
+            line = "".join(rnd.choices(chars, k=2)) + "木"
+            want = {}
+            for i, u in enumerate(chars):
+                inside = [(k, k + least) for k in range(len(line) - least + 1) if line[k : k + least] in {u[j : j + least] for j in range(len(u) - least + 1)}]
+                if inside:
+                    want[i] = m._merged(inside)
+            assert m.Passages(enumerate(chars), 12, least).shared([line], False) == want
+
+
 def test_empty_tables(spark):
     assert _found(spark, []).count() == 0
     d = spark.createDataFrame([(1, PART)], "doc_id bigint, text string")

@@ -533,10 +533,16 @@ def canonical_form(text: Column, state: bool = False) -> Column:
     return _batches(canonicalise_state if state else canonicalise, look_alikes(SparkSession.active()))(text)
 
 
+@lru_cache(10)
+def _suspect_pattern(odd: frozenset[str]) -> str:
+    """``SUSPECT`` with the characters ``odd`` as well; the first, cheap class keeps plain letters from the long one."""
+    plain = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in odd and not re.match(SUSPECT, chr(c))]
+    return f"[[^\\x00-\\x7F]&&[^{''.join(_ranges(plain))}]]"
+
+
 def suspect(text: Column) -> Column:
     """Whether the text has a character that may be unusual; evaluated in the JVM."""
-    odd = [c for c in (*look_alikes(SparkSession.active()), *HOLES) if not re.match(SUSPECT, c)]
-    return text.rlike(f"[{SUSPECT}{''.join(odd)}]" if odd else SUSPECT)
+    return text.rlike(_suspect_pattern(frozenset({*look_alikes(SparkSession.active()), *HOLES})))
 
 
 def texts_of(rows: DataFrame, records: DataFrame) -> DataFrame:

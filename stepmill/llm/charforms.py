@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -155,7 +156,12 @@ def look_alikes(spark: SparkSession) -> dict[str, str]:
     sc = spark.sparkContext
     if (made := getattr(sc, "_stepmill_look_alikes", None)) is not None:
         return made
-    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    try:
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    except TypeError:
+        warnings.warn("no ICU library on Spark's class path: only the short lists of look-alikes are used", stacklevel=2)
+        sc._stepmill_look_alikes = {}
+        return {}
     own = [*map(chr, range(65, 91)), *map(chr, range(97, 123)), "ß"]
     asked = [*own, *_letters()]
     seen = dict(zip(asked, checker.getSkeleton("\n".join(asked)).split("\n"), strict=True))

@@ -6,6 +6,8 @@ exactly one reason (null for a usable one).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ NO_RANK = 1_000_000_000
 NEGATIVES = 9
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out a single time for each row, however often the body names it and wherever the optimizer copies names to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gold_candidate(pos: Column) -> Column:
     """The first positive marked as the original target, else the first; null for none."""
     marked = F.filter(pos, lambda c: F.coalesce(c.getField("is_original_target"), F.lit(False)))
@@ -30,8 +37,13 @@ def history_slice(reprs: Column, step: Column, last: int = 5) -> Column:
 
 
 def explode_steps(tasks: DataFrame) -> DataFrame:
-    """One row per action of every task, with its key, position and history."""
-    each = tasks.select("annotation_id", "website", "domain", F.col("confirmed_task").alias("goal"), "action_reprs", F.posexplode("actions").alias("step_idx", "action"))
+    """One row per action of every task, with its key, position and history.
+
+    ``posexplode`` by itself would have Spark ask for tasks with actions first,
+    and so work out the actions twice where they are computed.
+    """
+    named = tasks.select("annotation_id", "website", "domain", F.col("confirmed_task").alias("goal"), "action_reprs", F.posexplode_outer("actions").alias("step_idx", "action"))
+    each = named.where("step_idx is not null")
     return each.select(
         F.concat_ws("_", "annotation_id", "action.action_uid").alias("step_key"), "annotation_id", "website", "domain", "goal", "step_idx",
         history_slice(F.col("action_reprs"), F.col("step_idx")).alias("previous_actions"),
@@ -129,30 +141,70 @@ def build_rows(steps: DataFrame, ranks: DataFrame, nodes: DataFrame, seed: str =
     pool = held.groupBy("step_key").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "rank", "raw", "shown"))).alias("pool"))
     gold = first_node.select("step_key", F.col("node").alias("gold_node"), F.col("shown").alias("gold_shown"))
     full = steps.drop("html", "negs").withColumn("gold_node", F.col("gold.backend_node_id")).join(pool, "step_key", "left").join(gold, ["step_key", "gold_node"], "left")
-    full = full.withColumn("by_rank", F.exists("pool", lambda x: x.getField("rank").isNotNull()))
+    return _rows(full, seed, augment)
+
+
+def build_rows_in_place(steps: DataFrame, rank: Callable[[Column, Column], Column], seed: str = "7", augment: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``build_rows`` of ``steps`` that hold what they need: nothing is joined, and nothing leaves its row.
+
+    ``rank`` gives the rank of a negative from (step_key, backend_node_id);
+    ``shown`` is the array of the nodes of the gold one and of the negatives,
+    as from ``nodes_by_id``.
+    """
+    node = lambda n: F.when(n.isNotNull(), F.struct(F.lit(0).alias("idx"), *[n.getField(k).alias(k) for k in ("tag", "role", "text", "attrs")]))
 
-    def chance(x: Column, of: str) -> Column:
-        return seeded(F.concat_ws(":", F.col("step_key"), x.getField("node"), x.getField("pos")), of)
+    def pool(s: Column) -> Column:
+        def negative(c: Column, i: Column) -> Column:
+            of = c.getField("backend_node_id")
+            return F.struct(i.alias("pos"), of.alias("node"), F.when(of.isNotNull(), rank(s.getField("step_key"), of)).alias("rank"), c.alias("raw"), node(F.get(s.getField("shown"), i + 1)).alias("shown"))
 
-    def head(order) -> Column:
+        return F.transform(s.getField("negs"), negative)
+
+    held = once(F.struct("step_key", "negs", "shown"), lambda s: F.struct(pool(s).alias("pool"), node(F.get(s.getField("shown"), F.lit(0))).alias("gold_shown")))
+    full = steps.withColumn("_held", held).drop("html", "negs", "shown")
+    return _rows(full.withColumn("pool", F.col("_held.pool")).withColumn("gold_shown", F.col("_held.gold_shown")).drop("_held"), seed, augment)
+
+
+def _rows(full: DataFrame, seed: str, augment: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of steps with the node of their gold one and the ``pool`` of their negatives.
+
+    What is chosen is one expression of ``once`` each, and usable steps are
+    told by an array to explode and not by a filter: Spark would move the
+    filter down and work all of it out again for it.
+    """
+
+    def head(s: Column, order) -> Column:
         """The first negatives in an order of their own."""
-        laid = F.array_sort(F.transform("pool", lambda x: F.struct(*order(x), x.getField("pos").alias("p"), x.getField("node").alias("n"), x.alias("x"))))
+        laid = F.array_sort(F.transform(s.getField("pool"), lambda x: F.struct(*order(x), x.getField("pos").alias("p"), x.getField("node").alias("n"), x.alias("x"))))
         return F.transform(F.slice(laid, 1, NEGATIVES), lambda y: y.getField("x"))
 
-    def hardest(x: Column) -> list[Column]:
-        ranked = F.coalesce(x.getField("rank"), F.lit(NO_RANK).cast("bigint"))
-        return [F.when(F.col("by_rank"), ranked).otherwise(F.lit(0)).alias("r"), F.when(~F.col("by_rank"), chance(x, seed)).alias("c")]
+    def heads(s: Column) -> Column:
+        def chance(x: Column, of: str) -> Column:
+            return seeded(F.concat_ws(":", s.getField("step_key"), x.getField("node"), x.getField("pos")), of)
+
+        def hardest(x: Column) -> list[Column]:
+            ranked = F.coalesce(x.getField("rank"), F.lit(NO_RANK).cast("bigint"))
+            return [F.when(s.getField("by_rank"), ranked).otherwise(F.lit(0)).alias("r"), F.when(~s.getField("by_rank"), chance(x, seed)).alias("c")]
+
+        drawn = head(s, lambda x: [chance(x, f"{seed}-aug").alias("c")]) if augment else F.slice(s.getField("pool"), 1, 0)
+        return F.struct(head(s, hardest).alias("hard"), drawn.alias("drawn"))
 
-    full = full.withColumn("hard", head(hardest)).withColumn("drawn", head(lambda x: [chance(x, f"{seed}-aug").alias("c")]) if augment else F.slice("pool", 1, 0))
-    # negatives equal to a chosen one are not in the pool either
-    full = full.withColumn("used", F.transform(F.concat("hard", "drawn"), lambda x: x.getField("raw")))
+    def rest(s: Column, h: Column) -> Column:
+        """Negatives that neither chose; those equal to a chosen one are not among them either."""
+        used = F.transform(F.concat(h.getField("hard"), h.getField("drawn")), lambda x: x.getField("raw"))
+        return once(used, lambda u: F.filter(s.getField("pool"), lambda x: ~F.array_contains(u, x.getField("raw"))))
 
-    def take(chosen: str) -> Column:
-        rest = F.filter("pool", lambda x: ~F.array_contains("used", x.getField("raw")))
-        able = F.filter(F.concat(F.col(chosen), rest), lambda x: x.getField("shown").isNotNull())
+    def take(chosen: Column, others: Column) -> Column:
+        able = F.filter(F.concat(chosen, others), lambda x: x.getField("shown").isNotNull())
         return F.transform(F.slice(able, 1, NEGATIVES), lambda x: x.getField("shown"))
 
-    full = full.withColumn("base", take("hard")).withColumn("aug", take("drawn") if augment else F.col("base"))
+    def both(s: Column) -> Column:
+        kept = lambda h, r: F.struct(take(h.getField("hard"), r).alias("base"), take(h.getField("drawn") if augment else h.getField("hard"), r).alias("aug"))
+        return once(heads(s), lambda h: once(rest(s, h), lambda r: kept(h, r)))
+
+    full = full.withColumn("by_rank", F.exists("pool", lambda x: x.getField("rank").isNotNull()))
+    full = full.withColumn("_took", once(F.struct("step_key", "pool", "by_rank"), both))
+    full = full.withColumn("base", F.col("_took.base")).withColumn("aug", F.col("_took.aug")).drop("_took")
     few = lambda c: F.coalesce(F.array_size(c), F.lit(0)) < NEGATIVES
     reason = (
         F.when(F.col("gold").isNull(), "skip_no_pos")
@@ -162,11 +214,11 @@ def build_rows(steps: DataFrame, ranks: DataFrame, nodes: DataFrame, seed: str =
         .when(few("aug"), "skip_neg_not_found_aug")
     )
     full = full.withColumn("skip_reason", reason)
-    good = full.where("skip_reason is null").withColumn("id", F.col("step_key")).withColumn("variant", F.lit("base"))
-    if augment:
-        good = variants(good.drop("variant"))
-    chosen = F.when(F.col("variant") == "aug", F.col("aug")).otherwise(F.col("base"))
-    placed, at = shuffle_place(F.concat(F.array("gold_shown"), chosen), F.col("id"), seed)
+    kinds = F.array(F.lit("base"), F.lit("aug")) if augment else F.array(F.lit("base"))
+    good = full.withColumn("variant", F.explode(F.when(F.col("skip_reason").isNull(), kinds)))
+    is_aug = F.col("variant") == "aug"
+    good = good.withColumn("id", F.when(is_aug, F.concat("step_key", F.lit("_aug"))).otherwise(F.col("step_key")))
+    placed, at = shuffle_place(F.concat(F.array("gold_shown"), F.when(is_aug, F.col("aug")).otherwise(F.col("base"))), F.col("id"), seed)
     rows = good.select("id", F.lit(None).cast("string").alias("split"), "website", "domain", "goal", "previous_actions", placed.alias("candidates"), at.alias("gold_idx"), "operation", "value", F.col("annotation_id").alias("_annotation_id"))
     return rows, full.select("step_key", "skip_reason", "by_rank")
 

@@ -28,6 +28,12 @@ def test_step_rows_stay_in_their_row(spark):
     assert _kept_in_its_row(QUERIES["step_rows"](spark, FOLDER))
 
 
+@tables
+def test_step_skips_stay_in_their_row(spark):
+    df = QUERIES["step_skips"](spark, FOLDER)
+    assert _kept_in_its_row(df) and _plan(df).count("Aggregate") == 3
+
+
 def _page(nodes):
     return "".join(f'<a backend_node_id="{n}" class="of-{n}">{t}</a>' for n, t in nodes)
 
